@@ -14,6 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,12 +83,20 @@ class MergeReplay:
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         index: dict[int, list[int]] = {}
+        known, pair = self._pairs, self.pair
+        place = defaultdict(list, index)
         for _, start, end in spans:
             before[start], after[end - 1] = -1, -1
-            for at in range(start, end - 1):
-                rank = self.pair(symbols[at], symbols[at + 1])
+            left = symbols[start]
+            for at in range(start + 1, end):
+                right = symbols[at]
+                rank = known.get((left, right))
+                if rank is None:
+                    rank = pair(left, right)
                 if rank >= 0:
-                    index.setdefault(rank, []).append(at)
+                    place[rank].append(at - 1)
+                left = right
+        index = dict(place)
         queue = list(index)
         heapq.heapify(queue)
         odd: set[int] = set()
@@ -96,14 +107,19 @@ class MergeReplay:
                 if left < 0:
                     continue  # merged into its left neighbour
                 follow = after[at]
-                if follow < 0 or self.pair(left, symbols[follow]) != rank:
+                if follow < 0 or known.get((left, symbols[follow])) != rank and pair(left, symbols[follow]) != rank:
                     continue
                 symbols[at], symbols[follow] = rank, -1
                 behind, front = after[follow], before[at]
                 after[at] = behind
                 if behind >= 0:
                     before[behind] = at
-                for where, other in ((front, self.pair(symbols[front], rank) if front >= 0 else -1), (at, self.pair(rank, symbols[behind]) if behind >= 0 else -1)):
+                for where, one, two in ((front, symbols[front], rank), (at, rank, symbols[behind] if behind >= 0 else -1)):
+                    if where < 0 or two < 0:
+                        continue
+                    other = known.get((one, two))
+                    if other is None:
+                        other = pair(one, two)
                     if other < 0:
                         continue
                     if other <= rank:
@@ -114,12 +130,32 @@ class MergeReplay:
                         index[other] = [where]
                         heapq.heappush(queue, other)
         for s, (k, start, end) in enumerate(spans):
-            ids = self.one(words[k]) if s in odd else [x for x in symbols[start:end] if x >= 0]
-            out[k] = np.array(ids, "<u4").tobytes()
+            out[k] = array("I", self.one(words[k]) if s in odd else [x for x in symbols[start:end] if x >= 0]).tobytes()
         return out
 
 
+#: The pattern for which chunks() is right: a lone white-space character between others never lies inside a match,
+#: a blank only at its start, a line feed always alone.
+CHUNKABLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_DOUBLE = re.compile(r"\s\s").search
+
+
+def chunks(text: str | None) -> list[str]:
+    """Parts of a text that can be split into pre-tokens one by one, so that equal parts are split once.
+
+    Where white-space characters stand alone, each blank and each line feed begins a part; other texts stay whole.
+    """
+    if not text:
+        return []
+    if _DOUBLE(text):
+        return [text]
+    parts = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+    return parts if parts[0] else parts[1:]
+
+
 def _encoder(ranks_blob, pattern: str, id_column: str, text_column: str, outputs: tuple[str, ...], cache_size: int):
+    plain_spaces = pattern == CHUNKABLE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -132,14 +168,16 @@ def _encoder(ranks_blob, pattern: str, id_column: str, text_column: str, outputs
         cache: dict[str, bytes] = {}
         for batch in batches:
             for part in slices(batch, text_column, 4_000_000):
-                texts = [pieces(x) if x else [] for x in part.column(text_column).to_pylist()]
+                texts = [chunks(x) if plain_spaces else [x] if x else [] for x in part.column(text_column).to_pylist()]
                 if len(cache) > cache_size:
                     cache.clear()
-                new = list(set().union(*texts).difference(cache))
-                cache.update(zip(new, replay.encode([w.encode() for w in new])))
+                new = {c: pieces(c) for c in set().union(*texts).difference(cache)}
+                distinct = list(set().union(*new.values()))
+                ids_of = dict(zip(distinct, replay.encode([w.encode() for w in distinct])))
+                cache.update({c: b"".join([ids_of[w] for w in words]) for c, words in new.items()})
                 columns: dict[str, list] = {k: [] for k in outputs}
-                for words in texts:
-                    blob = b"".join([cache[w] for w in words])
+                for parts in texts:
+                    blob = b"".join(map(cache.__getitem__, parts))
                     ids = np.frombuffer(blob, "<u4")
                     if "n_tokens" in columns:
                         columns["n_tokens"].append(len(ids))
@@ -159,7 +197,7 @@ def _encoder(ranks_blob, pattern: str, id_column: str, text_column: str, outputs
     return run
 
 
-def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), cache_size: int = 300_000) -> DataFrame:
+def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), cache_size: int = 700_000) -> DataFrame:
     """Encode whole texts; `outputs` names the columns to return beside the id (see KINDS).
 
     The rank file is read on the driver and sent to the executors (a vocabulary of fixed size, about 1 MB), so

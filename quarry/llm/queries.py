@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._arrow import table
+from quarry.llm.linededup import OP8_SQL, op8_line_dedup
 from quarry.llm.mixing import OP10_SQL, op10_mixing
 
 
@@ -35,9 +36,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_line_dedup": op8_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": OP8_SQL,
     "op10_mixing": OP10_SQL,
 }
