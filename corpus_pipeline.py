@@ -1,15 +1,60 @@
-"""Corpus pipeline over documents: toxicity, line dedup, near-dedup, mixing, encoding."""
+"""Corpus pipeline over `documents`: from raw texts to token ids.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of `docs`;
+the last returns doc_id, n_tokens and the ids. Texts and n_chars change with the lines that go. A document whose lines
+are all copies of earlier lines stays as an empty text. SQL cannot express the classifier, so there is no ORACLE_SQL.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm._arrow import table
+from quarry.llm.bpe import bpe_encode
+from quarry.llm.linededup import dedup_lines
+from quarry.llm.mixing import mix_documents
+from quarry.llm.neardup import near_duplicates
+from quarry.llm.queries import TOXIC_FROM
+from quarry.llm.toxicity import fit_toxicity, held_out, score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return score_toxicity(docs, model, score_column="_toxicity").filter(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line equals or nearly equals."""
+    out = dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of least id."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token mass meets the targets of source, language and topic."""
+    return mix_documents(docs, table(spark, sf_dir, "embeddings")).filter("_mix_kept").select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text."""
+    import public_tokenizers
+
+    return bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids"))
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
