@@ -16,7 +16,6 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,22 +37,31 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self._pairs: dict[tuple[int, int], int] = {}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], "int32")
+        self.first = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], "int32")
+        self._pairs: dict[int, int] = {}
 
     def pair(self, left: int, right: int) -> int:
         """Rank of the token that the pair merges to, or -1."""
-        rank = self._pairs.get((left, right))
+        code = left << 32 | right
+        rank = self._pairs.get(code)
         if rank is None:
             rank = self.ranks.get(self.token[left] + self.token[right], -1)
             if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
-            self._pairs[left, right] = rank
+            self._pairs[code] = rank
         return rank
 
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        codes = (left.astype("int64") << 32 | right).tolist()
+        found = list(map(self._pairs.get, codes))
+        if None in found:
+            found = [self.pair(c >> 32, c & 0xFFFFFFFF) if r is None else r for c, r in zip(codes, found)]
+        return np.array(found, "int32")
+
     def one(self, word: bytes) -> list[int]:
         """The plain form for a single word: again and again the leftmost pair of least rank."""
-        symbols = [self.single[b] for b in word]
+        symbols = [int(self.single[b]) for b in word]
         while len(symbols) > 1:
             ranks = [self.pair(a, b) for a, b in zip(symbols, symbols[1:])]
             best = min((r for r in ranks if r >= 0), default=-1)
@@ -66,71 +74,92 @@ class MergeReplay:
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Token ids of each word, as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(words)
-        symbols: list[int] = []
-        owner: list[int] = []
-        spans: list[tuple[int, int, int]] = []
+        todo = []
         for k, word in enumerate(words):
             whole = self.ranks.get(word)
             if whole is not None:
                 out[k] = whole.to_bytes(4, "little")
-            elif not word:
-                out[k] = b""
+            elif word:
+                todo.append(k)
             else:
-                start = len(symbols)
-                symbols.extend([self.single[b] for b in word])
-                spans.append((k, start, len(symbols)))
-                owner.extend([len(spans) - 1] * len(word))
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        known, pair = self._pairs, self.pair
-        place = defaultdict(list, index)
-        for _, start, end in spans:
-            before[start], after[end - 1] = -1, -1
-            left = symbols[start]
-            for at in range(start + 1, end):
-                right = symbols[at]
-                rank = known.get((left, right))
-                if rank is None:
-                    rank = pair(left, right)
-                if rank >= 0:
-                    place[rank].append(at - 1)
-                left = right
-        index = dict(place)
+                out[k] = b""
+        if not todo:
+            return out
+        raw = np.frombuffer(b"".join([words[k] for k in todo]), "uint8")
+        n = len(raw)
+        ends = np.cumsum([len(words[k]) for k in todo])
+        symbols = self.single[raw]
+        after, before = np.arange(1, n + 1, dtype="int32"), np.arange(-1, n - 1, dtype="int32")
+        after[ends - 1], before[np.r_[0, ends[:-1]]] = -1, -1
+        ranks = np.full(n, -1, "int32")  # of the pair that begins at a place
+        ranks[:-1] = self.first[raw[:-1].astype("int32") * 256 + raw[1:]]
+        ranks[ends - 1] = -1  # no pair across words
+        places = np.argsort(ranks, kind="stable").astype("int32")
+        places = places[np.searchsorted(ranks[places], 0) :]
+        cuts = np.flatnonzero(np.diff(ranks[places], prepend=-1))
+        index = dict(zip(ranks[places][cuts].tolist(), np.split(places, cuts[1:]))) if len(cuts) else {}
+        late: dict[int, list[int]] = {}
         queue = list(index)
         heapq.heapify(queue)
-        odd: set[int] = set()
+        odd: list[int] = []  # places in words where a later merge would have had to go first
         while queue:
             rank = heapq.heappop(queue)
-            for at in sorted(index.pop(rank)):
-                left = symbols[at]
-                if left < 0:
-                    continue  # merged into its left neighbour
+            at = index.pop(rank, None)
+            if rank in late:
+                more = np.unique(np.array(late.pop(rank), "int32"))
+                at = more if at is None else np.union1d(at, more)
+            at = at[ranks[at] == rank]
+            if not len(at):
+                continue
+            follow = after[at]
+            if (ranks[follow] == rank).any():  # places may overlap: the leftmost goes first
+                taken, free = [], -1
+                for x, y in zip(at.tolist(), follow.tolist()):
+                    if x != free:
+                        taken.append(x)
+                        free = y
+                at = np.array(taken, "int32")
                 follow = after[at]
-                if follow < 0 or known.get((left, symbols[follow])) != rank and pair(left, symbols[follow]) != rank:
+            behind = after[follow]
+            chained = behind[(behind >= 0) & (ranks[behind] == rank)]
+            if len(chained):  # merged one after the other: the pair that lies between may come first
+                between = self.pairs(np.full(len(chained), rank, "int32"), symbols[chained])
+                odd += chained[(between >= 0) & (between <= rank)].tolist()
+            symbols[at], symbols[follow] = rank, -1
+            ranks[at], ranks[follow] = -1, -1
+            after[at] = behind
+            ok = behind >= 0
+            right_at, behind = at[ok], behind[ok]
+            before[behind] = right_at
+            front = before[at]
+            front = front[front >= 0]
+            # the two touched neighbours: (this token, what follows) and (what comes before, this token)
+            touched = np.concatenate([right_at, front])
+            if not len(touched):
+                continue
+            found = self.pairs(symbols[touched], symbols[after[touched]])
+            ranks[touched] = found
+            for place, new in zip(touched.tolist(), found.tolist()):
+                if new < 0:
                     continue
-                symbols[at], symbols[follow] = rank, -1
-                behind, front = after[follow], before[at]
-                after[at] = behind
-                if behind >= 0:
-                    before[behind] = at
-                for where, one, two in ((front, symbols[front], rank), (at, rank, symbols[behind] if behind >= 0 else -1)):
-                    if where < 0 or two < 0:
-                        continue
-                    other = known.get((one, two))
-                    if other is None:
-                        other = pair(one, two)
-                    if other < 0:
-                        continue
-                    if other <= rank:
-                        odd.add(owner[at])  # a later merge would have to go first: this word is done on its own below
-                    elif other in index:
-                        index[other].append(where)
-                    else:
-                        index[other] = [where]
-                        heapq.heappush(queue, other)
-        for s, (k, start, end) in enumerate(spans):
-            out[k] = array("I", self.one(words[k]) if s in odd else [x for x in symbols[start:end] if x >= 0]).tobytes()
+                if new <= rank:
+                    odd.append(place)
+                    ranks[place] = -1
+                elif new in late:
+                    late[new].append(place)
+                else:
+                    late[new] = [place]
+                    if new not in index:
+                        heapq.heappush(queue, new)
+        left = symbols >= 0
+        blob = symbols[left].astype("<u4").tobytes()
+        stops = (np.cumsum(left)[ends - 1] * 4).tolist()
+        start = 0
+        for k, stop in zip(todo, stops):
+            out[k] = blob[start:stop]
+            start = stop
+        for s in {int(np.searchsorted(ends, at, "right")) for at in odd}:
+            out[todo[s]] = array("I", self.one(words[todo[s]])).tobytes()
         return out
 
 
@@ -167,11 +196,12 @@ def _encoder(ranks_blob, pattern: str, id_column: str, text_column: str, outputs
         pieces = regex.compile(pattern).findall
         cache: dict[str, bytes] = {}
         for batch in batches:
-            for part in slices(batch, text_column, 4_000_000):
+            for part in slices(batch, text_column, 12_000_000):
                 texts = [chunks(x) if plain_spaces else [x] if x else [] for x in part.column(text_column).to_pylist()]
                 if len(cache) > cache_size:
                     cache.clear()
-                new = {c: pieces(c) for c in set().union(*texts).difference(cache)}
+                # a blank and letters make one pre-token; all else is left to the pattern
+                new = {c: [c] if plain_spaces and c[0] == " " and c[1:].isalpha() else pieces(c) for c in set().union(*texts).difference(cache)}
                 distinct = list(set().union(*new.values()))
                 ids_of = dict(zip(distinct, replay.encode([w.encode() for w in distinct])))
                 cache.update({c: b"".join([ids_of[w] for w in words]) for c, words in new.items()})
