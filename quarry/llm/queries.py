@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._arrow import table
+from quarry.llm.additive import op6_nearest
 from quarry.llm.linededup import OP8_SQL, op8_line_dedup
+from quarry.llm.maxscore import OP2_SQL, op2_exact_top_k
 from quarry.llm.mixing import OP10_SQL, op10_mixing
 
 
@@ -41,13 +43,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_exact_top_k": op2_exact_top_k,
     "op4_near_dedup": op4_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_nearest": op6_nearest,
     "op8_line_dedup": op8_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_exact_top_k": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_mixing": OP10_SQL,
 }
