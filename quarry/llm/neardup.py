@@ -32,8 +32,8 @@ from quarry.llm.components import connected_components
 from quarry.llm.shingles import WordHashes, minhashes, mix, salts, shingle_set
 
 GROUPS, ROWS = 16, 2
-BLOCK_SETS, BLOCK_SHINGLES = 4_000, 2_000_000
-#: Most candidate documents for which their ids are broadcast to the scan of the texts (2 longs each).
+BLOCK_SETS, BLOCK_SHINGLES = 1_000, 1_000_000
+#: Most candidate documents for which their ids are broadcast to the scan of the texts (2 longs each); so for large groups.
 BROADCAST_IDS = 200_000
 
 
@@ -148,7 +148,8 @@ def near_duplicates(df: DataFrame, percent: int = 75, groups: int = GROUPS, rows
     classes = full.groupBy(*same).agg(F.min(F.struct("doc_id", "keys")).alias("r")).select(*same, F.col("r.doc_id").alias("doc_id"), F.col("r.keys").alias("keys"))
     groups_of = connected_components(candidate_links(classes, groups)).withColumnsRenamed({"node": "doc_id", "component": "candidate"}).checkpoint()
     sized = groups_of.join(classes.select("doc_id", "n_shingles"), "doc_id").groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    large = sized.select("candidate", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")).filter("blocks > 1")
+    large = sized.select("candidate", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")).filter("blocks > 1").checkpoint()
+    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
     texts = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     picked = texts.join(F.broadcast(groups_of) if groups_of.count() <= BROADCAST_IDS else groups_of, "doc_id")
     sets = picked.mapInArrow(_fingerprints, "doc_id long, candidate long, fingerprints binary").join(large, "candidate", "left").fillna(1, ["blocks"])
