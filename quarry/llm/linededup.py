@@ -3,10 +3,11 @@
 A line goes if an earlier line of the corpus is equal to it or within one word of it (a word put in, left out or
 changed). Order is (doc_id, line number). Lines of fewer than `MIN_WORDS` words are compared for equality only.
 
-1. Equal lines are collapsed under two 64-bit hashes, the earliest kept (partial aggregation takes hot lines).
+1. Equal lines are collapsed under a 64-bit hash, the earliest kept (partial aggregation takes hot lines); a second hash
+   confirms each copy. Texts do not move in this step.
 2. Pigeonhole: two lines within one word share their first or their last half, so each line emits the hashes of its
    halves; only lines with a shared half go on, for the other side. This loses no pair.
-3. Those lines emit every variant within the bound as a hashed key: the line without word i, and the line itself,
+3. The texts of those lines are fetched from their documents. They emit every variant within the bound as a hashed key: the line without word i, and the line itself,
    both with the place i. Equal keys mean lines within one word of each other, so the least line of a key stands for
    all others: keys are aggregated to it, and members join it, which needs no pairs within a key.
 4. Each pair (line, earlier line) is verified on the words.
@@ -49,14 +50,14 @@ def document_lines(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return lines.withColumn("_text", F.trim("_text")).filter(F.length("_text") > 0).withColumns({"_h1": _hash(F.col("_text")), "_h2": _hash(F.lit("second"), F.col("_text"))})
 
 
-def _half_keys() -> Column:
-    """(side, key) of the halves, for the line as the shorter (common length m) and the longer one (m - 1)."""
-    n, keys = F.size("_w"), []
+def _half_hashes() -> list[Column]:
+    """Hashes of the left and right half of `_text`, for the line as the shorter (common length m) and the longer one (m - 1)."""
+    n, out = F.col("_n"), []
     for c in (n, n - 1):
         cut = F.floor(c / F.lit(2)).cast("int")
-        keys.append(F.struct(F.lit(True).alias("left"), _hash(c, F.lit("l"), _joined(F.col("_w"), F.lit(0), cut)).alias("key")))
-        keys.append(F.struct(F.lit(False).alias("left"), _hash(c, F.lit("r"), _joined(F.col("_w"), n - (c - cut), c - cut)).alias("key")))
-    return F.array(*keys)
+        out.append(_hash(c, F.lit("l"), F.call_function("substring_index", F.col("_text"), F.lit(" "), cut)))
+        out.append(_hash(c, F.lit("r"), F.call_function("substring_index", F.col("_text"), F.lit(" "), cut - c)))
+    return out
 
 
 def _variant_keys() -> Column:
@@ -99,30 +100,37 @@ def within_one_word(a: Column, b: Column) -> Column:
     return F.when(n == m, differ <= 1).when(n == m + 1, inserted(a, b)).when(m == n + 1, inserted(b, a)).otherwise(F.lit(False))
 
 
-def line_verdicts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """For each distinct line (_h1, _h2): `_first` (struct of _id, _line) and `_near` (an earlier line is within one word)."""
-    classes = document_lines(df, id_column, text_column).groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_line", "_text")).alias("_f"))
-    worded = classes.withColumn("_w", _words(F.col("_f._text"))).filter(F.size("_w") >= min_words)
-    halves = worded.select("_h1", "_h2", F.explode(_half_keys()).alias("_k")).select("_h1", "_h2", "_k.left", "_k.key")
-    shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-    sides = halves.join(shared, "key", "left_semi").groupBy("_h1", "_h2").agg(F.max("left").alias("_l"), F.min("left").alias("_r"))
+def near_lines(df: DataFrame, classes: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """_h1 of the lines that have an earlier line within one word."""
+    worded = classes.filter(F.col("_f._n") >= min_words)
+    sides = F.array(*[F.struct(F.lit(k % 2 == 0).alias("left"), F.col(f"_f._k{k}").alias("key")) for k in range(4)])
+    halves = worded.select("_h1", F.explode(sides).alias("_k")).select("_h1", "_k.left", "_k.key")
+    shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key")
+    found = halves.join(shared, "key", "left_semi").groupBy("_h1").agg(F.max("left").alias("_l"), F.min("left").alias("_r"))
+    likely = worded.join(found, "_h1").groupBy(F.col("_f._id").alias("_want")).agg(F.collect_list(F.struct("_f._line", "_l", "_r")).alias("_lines"))  # at most the lines of a document
+    texts = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(likely, F.col("_id").eqNullSafe(F.col("_want")))
+    lines = texts.select("_id", F.split("_text", "\n", -1).alias("_all"), F.explode("_lines").alias("_s")).select("_id", F.col("_s._line").alias("_line"), "_s._l", "_s._r", _words(F.trim(F.get("_all", F.col("_s._line")))).alias("_w"))
     n = F.size("_w")
-    likely = worded.join(sides, ["_h1", "_h2"]).withColumns({"_from": F.when(~F.col("_r"), F.lit(0)).otherwise(F.greatest(F.floor((n - 1) / F.lit(2)).cast("int"), F.lit(0))), "_to": F.when(F.col("_l"), n).otherwise(F.floor(n / F.lit(2)).cast("int") + 1)})
-    rank = F.struct(F.col("_f._id").alias("_id"), F.col("_f._line").alias("_line"), F.col("_h1"), F.col("_h2"))
-    variants = likely.select(rank.alias("_at"), F.explode(_variant_keys()).alias("_key"))
-    leads = variants.groupBy("_key").agg(F.min("_at").alias("_lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    pairs = variants.join(leads, "_key").filter("_lead < _at").select(F.col("_at._h1").alias("_h1"), F.col("_at._h2").alias("_h2"), F.col("_lead._h1").alias("_g1"), F.col("_lead._h2").alias("_g2")).distinct()
-    words = classes.select("_h1", "_h2", F.col("_f._text").alias("_text"))
-    checked = pairs.join(words, ["_h1", "_h2"]).join(words.select(F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"), F.col("_text").alias("_other")), ["_g1", "_g2"])
-    near = checked.filter(within_one_word(_words(F.col("_text")), _words(F.col("_other")))).select("_h1", "_h2").distinct().withColumn("_near", F.lit(True))
-    return classes.select("_h1", "_h2", F.struct("_f._id", "_f._line").alias("_first")).join(near, ["_h1", "_h2"], "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
+    lines = lines.withColumns({"_from": F.when(~F.col("_r"), F.lit(0)).otherwise(F.greatest(F.floor((n - 1) / F.lit(2)).cast("int"), F.lit(0))), "_to": F.when(F.col("_l"), n).otherwise(F.floor(n / F.lit(2)).cast("int") + 1)})
+    variants = lines.select("_id", "_line", F.explode(_variant_keys()).alias("_key"))
+    leads = variants.groupBy("_key").agg(F.min(F.struct("_id", "_line")).alias("_lead"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+    pairs = variants.join(leads, "_key").filter(F.col("_lead") < F.struct("_id", "_line")).select("_id", "_line", F.col("_lead._id").alias("_id2"), F.col("_lead._line").alias("_line2")).distinct()
+    words = lines.select("_id", "_line", "_w").withColumn("_w", F.array_join("_w", " "))
+    checked = pairs.join(words, [pairs["_id"].eqNullSafe(words["_id"]), pairs["_line"] == words["_line"]]).select(pairs["_id"], pairs["_line"], "_id2", "_line2", "_w")
+    other = words.select(F.col("_id").alias("_id3"), F.col("_line").alias("_line3"), F.col("_w").alias("_w2"))
+    checked = checked.join(other, F.col("_id2").eqNullSafe(F.col("_id3")) & (F.col("_line2") == F.col("_line3")))
+    return checked.filter(within_one_word(_words(F.col("_w")), _words(F.col("_w2")))).select(_hash(F.col("_w")).alias("_h1")).distinct()
 
 
 def dropped_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """_id, _dropped: the numbers of the lines that go, ascending, for documents that lose any."""
-    verdicts = line_verdicts(df, id_column, text_column, min_words)
-    occurrences = document_lines(df, id_column, text_column).drop("_text").join(verdicts, ["_h1", "_h2"])
-    gone = occurrences.filter(F.col("_near") | ~F.struct("_id", "_line").eqNullSafe(F.col("_first")))
+    lines = document_lines(df, id_column, text_column)
+    keyed = lines.withColumn("_n", F.length("_text") - F.length(F.replace("_text", F.lit(" "), F.lit(""))) + 1)
+    keyed = keyed.select("_h1", "_h2", "_id", "_line", "_n", *[k.alias(f"_k{i}") for i, k in enumerate(_half_hashes())])
+    classes = keyed.groupBy("_h1").agg(F.min(F.struct("_id", "_line", "_h2", "_n", "_k0", "_k1", "_k2", "_k3")).alias("_f"))
+    near = near_lines(df, classes, id_column, text_column, min_words).withColumn("_near", F.lit(True))
+    verdicts = classes.join(near, "_h1", "left").select("_h1", F.col("_f._h2").alias("_f2"), F.struct("_f._id", "_f._line").alias("_first"), F.coalesce("_near", F.lit(False)).alias("_near"))
+    gone = lines.drop("_text").join(verdicts, "_h1").filter((F.col("_h2") == F.col("_f2")) & (F.col("_near") | ~F.struct("_id", "_line").eqNullSafe(F.col("_first"))))
     return gone.groupBy("_id").agg(F.array_sort(F.collect_set("_line")).alias("_dropped"))
 
 
