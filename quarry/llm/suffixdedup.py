@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quarry.llm._arrow import ensure_checkpoint_dir
 from quarry.llm.shingles import mix
 
-LENGTH, GRAM, BLOCK = 400, 32, 50
+LENGTH, GRAM, BLOCK = 400, 100, 100
 SEGMENT = 4_000_000
 SHARD_BYTES, SHARDS = 400_000, 4
 HOT_CONTEXTS = 5_000
@@ -234,7 +234,22 @@ def repeated_starts(blobs: list[bytes], length: int = LENGTH, block: int = BLOCK
     sizes = np.array([len(b) for b in blobs])
     ends = np.cumsum(sizes)
     symbols, places = chain_symbols(blobs, block)
-    _, dense = np.unique(symbols, return_inverse=True)
+    _, dense, counts = np.unique(symbols, return_inverse=True, return_counts=True)
+    # a string with a block that occurs once is not repeated: only runs of `rounds` other blocks are kept
+    good = np.zeros(ends[-1] + length, bool)
+    good[places[counts[dense] > 1]] = True
+    runs = good[: ends[-1]].copy()
+    for k in range(1, rounds):
+        runs &= good[k * block : k * block + ends[-1]]
+    late = np.zeros(ends[-1] + 1, "int32")  # places too near the end of their context
+    late[np.maximum(ends - length + 1, ends - sizes)] += 1
+    late[ends] -= 1
+    runs &= np.cumsum(late[:-1]) == 0
+    kept = runs.copy()
+    for k in range(1, rounds):
+        kept[k * block :] |= runs[: ends[-1] - k * block]
+    some = kept[places]
+    dense, places = dense[some], places[some]
     cut = np.searchsorted(ends, np.linspace(0, ends[-1], shards + 1)[1:-1])
     edges = np.unique(np.r_[0, ends[cut] if len(cut) else [], ends[-1]]).astype("int64")
     built = []
@@ -248,9 +263,8 @@ def repeated_starts(blobs: list[bytes], length: int = LENGTH, block: int = BLOCK
     equal = common >= rounds
     twice = equal | np.r_[equal[1:], False]
     found = np.sort(at[twice & (at >= 0)])
+    found = found[runs[found]]  # shorter suffixes may agree up to their ends
     which = np.searchsorted(ends, found, "right")
-    long = found + length <= ends[which]  # shorter suffixes may agree up to their ends
-    found, which = found[long], which[long]
     cuts = np.searchsorted(which, np.arange(len(blobs) + 1))
     return [found[cuts[k] : cuts[k + 1]] - (ends[k] - sizes[k]) for k in range(len(blobs))]
 
@@ -280,7 +294,7 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for s in spans:
                 for column, value in zip(columns, (doc, th, s["key"], s["lo"], s["hot"], blob[s["lo"] : s["hi"] + LENGTH])):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["doc_id", "th", "key", "lo", "hot", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["doc_id", "th", "key", "lo", "hot", "bytes"])
 
 
 def _settle_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +310,7 @@ def _settle_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for a, b in _cover(lo, starts):
                 for column, value in zip(out, (doc, th, a, b)):
                     column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], kind), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", "th", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["doc_id", "th", "a", "b"])
 
     for batch in batches:
         kind = batch.schema.field("doc_id").type
@@ -349,25 +363,27 @@ def _remove(want_text: bool):
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """doc_id, th, a, b: byte intervals that repeated strings cover (they may overlap); rows: doc_id, th, text."""
     kind = dict(rows.dtypes)["doc_id"]
-    found = rows.mapInArrow(_find_anchors, f"doc_id {kind}, th long, key long, context long, lo long, hi long").checkpoint()
+    found = rows.mapInArrow(_find_anchors, f"doc_id {kind}, th int, key long, context long, lo long, hi long").checkpoint()
     classes = found.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("rep"))
     whole = found.join(classes.filter("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("doc_id", "th", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
     keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 AND least = 1").select("key", (F.col("c") > HOT_CONTEXTS).alias("hot"))
-    todo = classes.join(keys, "key").select("rep.*", "key", "hot")
+    todo = classes.join(keys, "key").select("rep.*", "key", "hot").checkpoint()
     by_doc = todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "lo", "hi", "hot")).alias("spans"))  # at most the anchors of a text
     texts = rows.join(by_doc.withColumnsRenamed({"doc_id": "_d", "th": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "th", "text", "spans")
-    contexts = texts.mapInArrow(_cut_contexts, f"doc_id {kind}, th long, key long, lo long, hot boolean, bytes binary").dropDuplicates(["doc_id", "th", "key", "lo"]).checkpoint()
-    edges = contexts.filter("NOT hot").repartition("key").sortWithinPartitions("key", "doc_id", "th", "lo").mapInArrow(_settle_contexts, f"doc_id {kind}, th long, a long, b long")
-    strings = contexts.filter("hot").mapInArrow(_string_hashes, f"doc_id {kind}, th long, h long, p long")
+    contexts = texts.mapInArrow(_cut_contexts, f"doc_id {kind}, th int, key long, lo long, hot boolean, bytes binary")
+    apart = contexts.filter("NOT hot").drop("hot").repartition("key").dropDuplicates(["key", "doc_id", "th", "lo"])
+    out = whole.unionByName(apart.sortWithinPartitions("key", "doc_id", "th", "lo").mapInArrow(_settle_contexts, f"doc_id {kind}, th int, a long, b long"))
+    if todo.filter("hot").isEmpty():
+        return out
+    strings = contexts.filter("hot").dropDuplicates(["key", "doc_id", "th", "lo"]).mapInArrow(_string_hashes, f"doc_id {kind}, th int, h long, p long")
     again = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    hot = strings.join(again, "h", "left_semi").select("doc_id", "th", F.col("p").alias("a"), (F.col("p") + LENGTH).alias("b"))
-    return whole.unionByName(edges).unionByName(hot)
+    return out.unionByName(strings.join(again, "h", "left_semi").select("doc_id", "th", F.col("p").alias("a"), (F.col("p") + LENGTH).alias("b")))
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", want_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, if wanted, the `kept` bytes), one row each row of `df`."""
     ensure_checkpoint_dir(df.sparkSession)
-    rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.hash(text_column).alias("th"))
     kind = dict(rows.dtypes)["doc_id"]
     spans = repeated_spans(rows).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "text", "spans")
