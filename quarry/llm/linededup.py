@@ -25,10 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._arrow import table
+from quarry.llm._arrow import ensure_checkpoint_dir, table
 
 MIN_WORDS = 5
 BLOCK = 64
+#: Lines up to which a variant hashes all before and all after its place; longer ones go by blocks.
+SHORT = 512
+#: Candidate lines up to which their numbers are broadcast to the scan (about 30 bytes each); beyond it the texts are shuffled.
+BROADCAST_LINES = 400_000
 
 
 def _hash(*parts: Column) -> Column:
@@ -67,6 +71,7 @@ def _variant_keys() -> Column:
     before = F.transform(blocks, lambda j: _hash(_joined(w, F.lit(0), j * BLOCK)))
     after = F.transform(blocks, lambda j: _hash(F.lit("a"), _joined(w, F.least((j + 1) * BLOCK, n), n)))
     after_gap = F.transform(blocks, lambda j: _hash(F.lit("a"), _joined(w, F.least((j + 1) * BLOCK + 1, n), n)))
+    none = F.expr("array()").cast("array<bigint>")
     with_parts = F.struct(before.alias("before"), after.alias("after"), after_gap.alias("after_gap"))
 
     def without(p: Column, i: Column) -> Column:
@@ -78,12 +83,17 @@ def _variant_keys() -> Column:
         j = F.floor(i / F.lit(BLOCK)).cast("int")
         return _hash(i, n, F.get(p["before"], j), _joined(w, j * BLOCK, F.lit(BLOCK)), F.get(p["after"], j))
 
-    def both(p: Column) -> Column:
-        gone = F.when(F.col("_from") <= F.least(F.col("_to"), n - 1), F.transform(F.sequence(F.col("_from"), F.least(F.col("_to"), n - 1)), lambda i: without(p, i))).otherwise(F.array().cast("array<bigint>"))
-        here = F.when(F.col("_from") <= F.least(F.col("_to"), n), F.transform(F.sequence(F.col("_from"), F.least(F.col("_to"), n)), lambda i: whole(p, i))).otherwise(F.array().cast("array<bigint>"))
-        return F.concat(gone, here)
+    def places(last: Column, key) -> Column:
+        end = F.least(F.col("_to"), last)
+        return F.when(F.col("_from") <= end, F.transform(F.sequence(F.col("_from"), end), key)).otherwise(none)
 
-    return F.flatten(F.transform(F.array(with_parts), both))
+    def cut(count: Column) -> Column:
+        return F.call_function("substring_index", F.col("_t"), F.lit(" "), count)
+
+    short = F.concat(places(n - 1, lambda i: _hash(i, n - 1, cut(i), cut(i + 1 - n))), places(n, lambda i: _hash(i, n, cut(i), cut(i - n))))
+    blocked = F.flatten(F.transform(F.array(with_parts), lambda p: F.concat(places(n - 1, lambda i: without(p, i)), places(n, lambda i: whole(p, i)))))
+    # lines within one word of each other may lie on both sides of the bound: those at it do both
+    return F.when(n < SHORT, short).when(n > SHORT, blocked).otherwise(F.concat(short, blocked))
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -107,15 +117,18 @@ def near_lines(df: DataFrame, classes: DataFrame, id_column: str = "doc_id", tex
     halves = worded.select("_h1", F.explode(sides).alias("_k")).select("_h1", "_k.left", "_k.key")
     shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key")
     found = halves.join(shared, "key", "left_semi").groupBy("_h1").agg(F.max("left").alias("_l"), F.min("left").alias("_r"))
-    likely = worded.join(found, "_h1").groupBy(F.col("_f._id").alias("_want")).agg(F.collect_list(F.struct("_f._line", "_l", "_r")).alias("_lines"))  # at most the lines of a document
-    texts = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(likely, F.col("_id").eqNullSafe(F.col("_want")))
-    lines = texts.select("_id", F.split("_text", "\n", -1).alias("_all"), F.explode("_lines").alias("_s")).select("_id", F.col("_s._line").alias("_line"), "_s._l", "_s._r", _words(F.trim(F.get("_all", F.col("_s._line")))).alias("_w"))
+    likely = worded.join(found, "_h1").select(F.col("_f._id").alias("_want"), "_f._line", "_l", "_r").checkpoint()
+    few = likely.count() <= BROADCAST_LINES
+    by_doc = likely.groupBy("_want").agg(F.collect_list(F.struct("_line", "_l", "_r")).alias("_lines"))  # at most the lines of a document
+    texts = df.select(id_column, text_column).join(F.broadcast(by_doc) if few else by_doc, F.col(id_column).eqNullSafe(F.col("_want")))
+    lines = texts.select(F.col(id_column).alias("_id"), F.split(text_column, "\n", -1).alias("_all"), "_lines").select("_id", F.explode(F.transform("_lines", lambda s: F.struct(s["_line"].alias("_line"), s["_l"].alias("_l"), s["_r"].alias("_r"), F.trim(F.get("_all", s["_line"])).alias("_t")))).alias("_s"))
+    lines = lines.select("_id", "_s._line", "_s._l", "_s._r", "_s._t").dropDuplicates(["_id", "_line"]).checkpoint().withColumn("_w", _words(F.col("_t")))
     n = F.size("_w")
     lines = lines.withColumns({"_from": F.when(~F.col("_r"), F.lit(0)).otherwise(F.greatest(F.floor((n - 1) / F.lit(2)).cast("int"), F.lit(0))), "_to": F.when(F.col("_l"), n).otherwise(F.floor(n / F.lit(2)).cast("int") + 1)})
     variants = lines.select("_id", "_line", F.explode(_variant_keys()).alias("_key"))
     leads = variants.groupBy("_key").agg(F.min(F.struct("_id", "_line")).alias("_lead"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
     pairs = variants.join(leads, "_key").filter(F.col("_lead") < F.struct("_id", "_line")).select("_id", "_line", F.col("_lead._id").alias("_id2"), F.col("_lead._line").alias("_line2")).distinct()
-    words = lines.select("_id", "_line", "_w").withColumn("_w", F.array_join("_w", " "))
+    words = lines.select("_id", "_line", F.col("_t").alias("_w"))
     checked = pairs.join(words, [pairs["_id"].eqNullSafe(words["_id"]), pairs["_line"] == words["_line"]]).select(pairs["_id"], pairs["_line"], "_id2", "_line2", "_w")
     other = words.select(F.col("_id").alias("_id3"), F.col("_line").alias("_line3"), F.col("_w").alias("_w2"))
     checked = checked.join(other, F.col("_id2").eqNullSafe(F.col("_id3")) & (F.col("_line2") == F.col("_line3")))
@@ -124,6 +137,7 @@ def near_lines(df: DataFrame, classes: DataFrame, id_column: str = "doc_id", tex
 
 def dropped_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """_id, _dropped: the numbers of the lines that go, ascending, for documents that lose any."""
+    ensure_checkpoint_dir(df.sparkSession)
     lines = document_lines(df, id_column, text_column)
     keyed = lines.withColumn("_n", F.length("_text") - F.length(F.replace("_text", F.lit(" "), F.lit(""))) + 1)
     keyed = keyed.select("_h1", "_h2", "_id", "_line", "_n", *[k.alias(f"_k{i}") for i, k in enumerate(_half_hashes())])
@@ -139,9 +153,10 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     gone = dropped_lines(df, id_column, text_column, min_words).withColumnRenamed("_id", "_gone_id")
     joined = df.join(gone, F.col(id_column).eqNullSafe(F.col("_gone_id")), "left").drop("_gone_id")
     lines = F.split(F.col(text_column), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
-    text = F.when(F.col("_dropped").isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    added = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long")} if counts else {}
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_dropped"))
+    joined = joined.withColumn("_all", F.when(F.col("_dropped").isNotNull(), lines))  # split once, not for each line
+    text = F.when(F.col("_dropped").isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_all", i)), "\n"))
+    added = {"n_lines": F.coalesce(F.when(F.col("_dropped").isNotNull(), F.size("_all")).otherwise(F.size(lines)), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long")} if counts else {}
     return joined.select(*[c for c in df.columns if c not in (text_column, *added)], *[v.alias(k) for k, v in added.items()], text.alias(text_column)).select(*[c for c in df.columns if c not in added], *added)
 
 
