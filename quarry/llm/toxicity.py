@@ -63,14 +63,18 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit_rows(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, l1: float = 2e-4, swap_penalty: float = 1.0, min_rows: int = 5, steps: int = 250) -> ToxicityModel:
+def fit_rows(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, l1: float = 5e-5, swap_penalty: float = 1.0, min_rows: int = 4, least_chi2: float = 6.0, steps: int = 250) -> ToxicityModel:
     """Accelerated proximal gradient descent on the penalised logistic loss."""
     weights = np.zeros(1 << BITS, "float32")
     if not len(rows) or y.min() == y.max():
         return ToxicityModel(weights, -40.0 if not len(rows) or y[0] == 0 else 40.0)
     flat = np.concatenate(rows)
     seen = np.bincount(flat, minlength=1 << BITS)
-    used = np.flatnonzero(seen >= min(min_rows, max(1, len(rows) // 50)))
+    hits = np.bincount(flat, np.repeat(y, [len(r) for r in rows]), 1 << BITS)
+    # buckets that are rare, or as common in one class as in the other (chi-squared below `least_chi2`), stay at zero
+    part = seen * y.mean()
+    chi2 = (hits - part) ** 2 / np.maximum(part * (1 - y.mean()) * (1 - seen / (len(rows) + 1)), 1e-9)
+    used = np.flatnonzero((seen >= min(min_rows, max(1, len(rows) // 50))) & (chi2 >= least_chi2))
     place = np.full(1 << BITS, -1, "int64")
     place[used] = np.arange(len(used))
 
