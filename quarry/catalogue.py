@@ -1,7 +1,13 @@
-"""Queries of the reference's operators and their SQL twins."""
+"""Queries of the engine's operators and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import importlib
+
+from quarry.plans.registry import ORACLE_SQL, QUERIES
+
+for _module in ("texts", "knowledge", "dialogue", "evaluation"):
+    importlib.import_module(f"quarry.plans.{_module}")
+
 FLAGSHIP = "bm25_topk"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
