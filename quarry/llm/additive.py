@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.maxscore import best_of
-from quarry.llm.vectors import BLOCK_ROWS, block_top_k, pack, usable
+from quarry.llm.vectors import BLOCK_ROWS, block_top_k, pack, sharded, usable
 
-BOOKS, WORDS, BEAM = 8, 256, 4
+BOOKS, WORDS, BEAM = 12, 256, 4
 MAX_TRAIN = 8_192
 RERANK_SHARE, RERANK_LEAST = 0.04, 100
 
@@ -155,7 +155,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, share: float = RERANK_
     rows = usable(df, id_column, vector_column, nonzero=True)
     books = fit(rows, max_train)
     shared = df.sparkSession.sparkContext.broadcast(books)
-    return block_top_k(index(rows, books), rows.filter(is_query), k, _searcher(shared, k, share, least), ("codes", "scales"))
+    return block_top_k(index(sharded(rows, df.count()), books), rows.filter(is_query), k, _searcher(shared, k, share, least), ("codes", "scales"))
 
 
 def op6_nearest(spark, sf_dir: str) -> DataFrame:

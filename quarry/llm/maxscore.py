@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.vectors import BLOCK_ROWS, block_top_k, pack, usable
+from quarry.llm.vectors import BLOCK_ROWS, block_top_k, pack, sharded, usable
 
 SCALE = 256
 STEP = 16
@@ -87,7 +87,7 @@ def _searcher(k: int, scale: int):
 def exact_top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (long) for the rows that `is_query` (over `id`) picks, against all other rows."""
     rows = usable(df, id_column, vector_column)
-    return block_top_k(pack(rows, BLOCK_ROWS), rows.filter(is_query), k, _searcher(k, scale), score_type="long")
+    return block_top_k(pack(sharded(rows, df.count()), BLOCK_ROWS), rows.filter(is_query), k, _searcher(k, scale), score_type="long")
 
 
 def op2_exact_top_k(spark, sf_dir: str) -> DataFrame:

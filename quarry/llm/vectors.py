@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4_096
 QUERY_ROWS = 1_024
 BROADCAST_BYTES = 32_000_000
+#: Vectors in a shard: a task returns its best k of a query once, so rows between tasks are queries * k * shards.
+SHARD_ROWS = 16_384
 
 
 def usable(df: DataFrame, id_column: str, vector_column: str, nonzero: bool = False) -> DataFrame:
@@ -29,6 +31,11 @@ def usable(df: DataFrame, id_column: str, vector_column: str, nonzero: bool = Fa
     return kept.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
+def sharded(rows: DataFrame, at_most: int) -> DataFrame:
+    """`rows` (id, vector) in shards of about SHARD_ROWS; `at_most` bounds their number from above."""
+    return rows.repartition(max(1, -(-at_most // SHARD_ROWS)), "id")
+
+
 def pack(rows: DataFrame, block_rows: int, transform: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Blocks of at most `block_rows` vectors of one dimension: dim, ids and data as bytes (long and double)."""
 
@@ -76,13 +83,27 @@ def block_top_k(candidates: DataFrame, queries: DataFrame, k: int, search: Calla
         count = numbered.count()
         pairs = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(numbered, ["qb", "dim"])
 
+    def merged(parts: list[tuple]) -> tuple:
+        """The best k of each query among (query row, id, score) arrays."""
+        a, ids, score = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, -score, a))
+        a, ids, score = a[order], ids[order], score[order]
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, "int64")
+        nth = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+        return a[nth < k], ids[nth < k], score[nth < k]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}  # of each query block, at most its rows * k
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, ids = np.frombuffer(row["qids"], "int64"), np.frombuffer(row["ids"], "int64")
                 q, x = (np.frombuffer(row[c], "float64").reshape(-1, row["dim"]) for c in ("qdata", "data"))
-                for a, b, score in search(q_ids, q, ids, x, *(row[c] for c in extra)):
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[b]), pa.array(score, pa.int64() if score_type == "long" else pa.float64())], ["query_id", "vec_id", "score"])
+                parts = [(a, ids[b], score) for a, b, score in search(q_ids, q, ids, x, *(row[c] for c in extra))]
+                if row["qids"] in held:
+                    parts.append(held[row["qids"]])
+                held[row["qids"]] = merged(parts)
+        for qids, (a, ids, score) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(qids, "int64")[a]), pa.array(ids), pa.array(score, pa.int64() if score_type == "long" else pa.float64())], ["query_id", "vec_id", "score"])
 
     found = pairs.select("dim", "qids", "qdata", *names).mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
