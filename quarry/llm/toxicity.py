@@ -34,7 +34,7 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
 WORD = re.compile(r"[^\W\d_]+").findall
 BITS = 20
 PREFIXES = (4, 5, 6)
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 
 
 def _swaps(groups: Sequence[Sequence[str]]) -> dict[str, str]:
@@ -68,22 +68,23 @@ def fit_rows(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.nda
     weights = np.zeros(1 << BITS, "float32")
     if not len(rows) or y.min() == y.max():
         return ToxicityModel(weights, -40.0 if not len(rows) or y[0] == 0 else 40.0)
-    flat = np.concatenate(rows)
-    seen = np.bincount(flat, minlength=1 << BITS)
-    hits = np.bincount(flat, np.repeat(y, [len(r) for r in rows]), 1 << BITS)
+    seen, hits = np.zeros(1 << BITS, "float32"), np.zeros(1 << BITS, "float32")
+    for r, label in zip(rows, y):  # row by row, so that nothing of the size of all rows is made
+        seen[r] += 1
+        hits[r] += label
     # buckets that are rare, or as common in one class as in the other (chi-squared below `least_chi2`), stay at zero
     part = seen * y.mean()
     chi2 = (hits - part) ** 2 / np.maximum(part * (1 - y.mean()) * (1 - seen / (len(rows) + 1)), 1e-9)
     used = np.flatnonzero((seen >= min(min_rows, max(1, len(rows) // 50))) & (chi2 >= least_chi2))
-    place = np.full(1 << BITS, -1, "int64")
+    place = np.full(1 << BITS, -1, "int32")
     place[used] = np.arange(len(used))
 
     def packed(parts: list[np.ndarray], owners: np.ndarray, values: np.ndarray | None = None):
-        cols = place[np.concatenate(parts)] if parts else np.zeros(0, "int64")
-        who = np.repeat(owners, [len(p) for p in parts]) if parts else np.zeros(0, "int64")
-        vals = np.ones(len(cols)) if values is None else values
-        keep = cols >= 0
-        return cols[keep], who[keep], vals[keep]
+        fit = [place[p] for p in parts]
+        kept = [c >= 0 for c in fit]
+        cols = np.concatenate([c[k] for c, k in zip(fit, kept)]) if parts else np.zeros(0, "int64")
+        who = np.repeat(owners, [int(k.sum()) for k in kept]) if parts else np.zeros(0, "int64")
+        return cols, who, np.ones(len(cols)) if values is None else values[np.concatenate(kept)] if parts else values
 
     cols, who, _ = packed(rows, np.arange(len(rows)))
     pairs = [(a, b) for a, b in zip(rows, swapped) if b is not None]
@@ -147,7 +148,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
     rows = [np.frombuffer(x, "int32") for x in got.column("plain").to_pylist()]
     swapped = [None if x is None else np.frombuffer(x, "int32") for x in got.column("swapped").to_pylist()]
     y = np.array(got.column("label").to_pylist(), "float64")
-    order = sorted(range(len(rows)), key=lambda k: (rows[k].tobytes(), y[k]))  # partitions arrive in any order
+    del got
+    order = sorted(range(len(rows)), key=lambda k: (zlib.crc32(rows[k]), len(rows[k]), y[k]))  # partitions arrive in any order
     return fit_rows([rows[k] for k in order], [swapped[k] for k in order], y[order], **options)
 
 
