@@ -8,7 +8,8 @@ is a shard; the shards' best k are merged.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; ties go to the smaller id; a
 query with fewer candidates gets all of them; vectors meet those of their own dimension; an empty table gives an
-empty table; rows that share an id count once; other columns play no part.
+empty table; rows that share an id count once; other columns play no part. Scores beyond
+the range of a long are cut to its ends (after ranking).
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def _searcher(k: int, scale: int):
                 scores = x @ q[a]
                 at = np.flatnonzero(ids != own)
                 at = np.array(sorted(at.tolist(), key=lambda b: (-scores[b], ids[b]))[:k], "int64")
-                yield np.full(len(at), a), at, np.array([int(scores[b]) for b in at], "int64")
+                yield np.full(len(at), a), at, np.array([max(-(2**63), min(2**63 - 1, int(scores[b]))) for b in at], "int64")
             return
         terms = np.ascontiguousarray(x.T)
         low, high = terms.min(axis=1), terms.max(axis=1)
