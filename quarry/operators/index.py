@@ -57,7 +57,7 @@ def embed(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], tex
             yield pd.Series(out)
 
     udf = F.pandas_udf("array<double>")(run)
-    return df.withColumn("embedding", l2_normalize(udf(F.col(text_column))))
+    return df.withColumn("_raw", udf(F.col(text_column))).withColumn("embedding", l2_normalize(F.col("_raw"))).drop("_raw")
 
 
 def write_index(chunks: DataFrame, path: str) -> None:

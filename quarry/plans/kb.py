@@ -35,7 +35,7 @@ UNION ALL SELECT CAST(c_custkey AS BIGINT), 2, 6, '-' FROM customer
 
 #: doc_id, page, table_no, cells: one table a supplier's nation and page, rows from lineitem.
 KB_TABLES = f"""
-SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS page, CAST(l_linenumber AS BIGINT) * 1000000000000 + CAST(l_partkey AS BIGINT) * 100000 + CAST(l_suppkey AS BIGINT) AS table_no,
+SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS page, CAST(l_linenumber AS BIGINT) * 1000000000000000 + CAST(l_partkey AS BIGINT) % 1000000 * 1000000000 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 1000000000 AS table_no,
     array(array(CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'Order' END, 'Price', CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE 'Discount' END, 'Delivery'),
           array('Line ' || CAST(l_linenumber AS STRING), {MONEY.format(x='l_extendedprice')}, CAST(CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS STRING) || '%', CAST(l_linenumber % 5 AS STRING) || ' business days'),
           array('', 'no subject', 'x', 'y'), array('Short ' || l_returnflag, CASE WHEN l_linestatus = 'O' THEN '' ELSE 'flag  ' || l_returnflag END)) AS cells

@@ -116,9 +116,9 @@ def bm25_score(spark, d):
     return retrieve.bm25_scores(_docs(spark, d), _questions(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("top"), F.round(F.avg("score"), 4).alias("mean"))
 
 
-@query("bm25_topk", f"WITH {BM25} SELECT query_id, id, round(score, 4) AS score, bm25_rank FROM sparse")
+@query("bm25_topk", f"WITH {BM25} SELECT query_id, id, score, bm25_rank FROM sparse")
 def bm25_topk(spark, d):
-    return retrieve.bm25_topk(retrieve.bm25_scores(_docs(spark, d), _questions(spark, d))).withColumn("score", F.round("score", 4))
+    return retrieve.bm25_topk(retrieve.bm25_scores(_docs(spark, d), _questions(spark, d)))
 
 
 DENSE = """
