@@ -42,7 +42,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = DEFAULTS.bm25_k
 
 def bm25_topk(scores: DataFrame, k: int = DEFAULTS.sparse_k) -> DataFrame:
     """query_id, id, score, bm25_rank (from 0) of the best k positive scores; ties by id."""
-    top = best(scores.withColumn("score", F.round("score", 6)).filter("score > 0"), k, F.desc("score"), F.asc("id"))
+    top = best(scores.withColumn("_s", F.round("score", 6)).filter("_s > 0"), k, F.desc("_s"), F.asc("id"))
     return top.select("query_id", "id", "score", (F.col("rn") - 1).cast("long").alias("bm25_rank"))
 
 

@@ -94,7 +94,7 @@ raw AS (SELECT token, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw
 idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 qt AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS.format(x='text')}) AS token FROM benchmark) GROUP BY ALL),
 scores AS (SELECT query_id, id, sum(qtf * idf * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM qt JOIN idf USING (token) JOIN post USING (token) CROSS JOIN stats GROUP BY ALL),
-sparse AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS bm25_rank FROM (SELECT query_id, id, round(score, 6) AS score FROM scores) WHERE score > 0) WHERE bm25_rank < 25)"""
+sparse AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) - 1 AS bm25_rank FROM scores WHERE round(score, 6) > 0) WHERE bm25_rank < 25)"""
 
 
 def _docs(spark, d):
@@ -116,9 +116,9 @@ def bm25_score(spark, d):
     return retrieve.bm25_scores(_docs(spark, d), _questions(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("top"), F.round(F.avg("score"), 4).alias("mean"))
 
 
-@query("bm25_topk", f"WITH {BM25} SELECT query_id, id, score, bm25_rank FROM sparse")
+@query("bm25_topk", f"WITH {BM25} SELECT query_id, id, round(score, 3) AS score, bm25_rank FROM sparse")
 def bm25_topk(spark, d):
-    return retrieve.bm25_topk(retrieve.bm25_scores(_docs(spark, d), _questions(spark, d)))
+    return retrieve.bm25_topk(retrieve.bm25_scores(_docs(spark, d), _questions(spark, d))).withColumn("score", F.round("score", 3))
 
 
 DENSE = """
