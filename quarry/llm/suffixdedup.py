@@ -132,9 +132,19 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for blob, starts, ends, rows, offsets in _segments(batch):
             doc, key, lo, hi = anchors(np.frombuffer(blob, "uint8"), starts, ends)
             context = np.array([xxhash.xxh3_64_intdigest(blob[a : b + LENGTH]) for a, b in zip(lo.tolist(), hi.tolist())], "uint64").view("int64")
+            if len(lo):
+                # in periodic text anchor after anchor has the same context: a run becomes one row, marked by ~hi
+                new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (context[1:] != context[:-1]) | (lo[1:] != hi[:-1] + 1)]
+                first = np.flatnonzero(new)
+                last = np.r_[first[1:], len(lo)] - 1
+                doc, key, context, lo, hi, run = doc[first], key[first], context[first], lo[first], hi[last], last > first
+            else:
+                run = np.zeros(0, bool)
             shift = offsets[doc] - starts[doc]
+            lo, hi = lo + shift, hi + shift
+            hi = np.where(run, ~hi, hi)
             row = pa.array(rows[doc])
-            yield pa.RecordBatch.from_arrays([ids.take(row), hashes.take(row), pa.array(key), pa.array(context), pa.array(lo + shift), pa.array(hi + shift)], ["doc_id", "th", "key", "context", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([ids.take(row), hashes.take(row), pa.array(key), pa.array(context), pa.array(lo), pa.array(hi)], ["doc_id", "th", "key", "context", "lo", "hi"])
 
 
 # ---- transforms ----
@@ -364,8 +374,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """doc_id, th, a, b: byte intervals that repeated strings cover (they may overlap); rows: doc_id, th, text."""
     kind = dict(rows.dtypes)["doc_id"]
     found = rows.mapInArrow(_find_anchors, f"doc_id {kind}, th int, key long, context long, lo long, hi long").checkpoint()
-    classes = found.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("rep"))
-    whole = found.join(classes.filter("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("doc_id", "th", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
+    end = F.when(F.col("hi") < 0, -F.col("hi") - 1).otherwise(F.col("hi"))
+    one = F.struct("doc_id", "th", "lo", F.least(end, F.col("lo") + LENGTH - GRAM).alias("hi"))  # the windows of one anchor
+    classes = found.groupBy("key", "context").agg(F.sum(F.when(F.col("hi") < 0, 2).otherwise(1)).alias("n"), F.min(one).alias("rep"))
+    whole = found.join(classes.filter("n > 1").select("key", "context"), ["key", "context"], "left_semi").select("doc_id", "th", F.col("lo").alias("a"), (end + LENGTH).alias("b"))
     keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).filter("c > 1 AND least = 1").select("key", (F.col("c") > HOT_CONTEXTS).alias("hot"))
     todo = classes.join(keys, "key").select("rep.*", "key", "hot").checkpoint()
     by_doc = todo.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "lo", "hi", "hot")).alias("spans"))  # at most the anchors of a text
