@@ -143,20 +143,21 @@ def dropped_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "
     keyed = keyed.select("_h1", "_h2", "_id", "_line", "_n", *[k.alias(f"_k{i}") for i, k in enumerate(_half_hashes())])
     classes = keyed.groupBy("_h1").agg(F.min(F.struct("_id", "_line", "_h2", "_n", "_k0", "_k1", "_k2", "_k3")).alias("_f"))
     near = near_lines(df, classes, id_column, text_column, min_words).withColumn("_near", F.lit(True))
-    verdicts = classes.join(near, "_h1", "left").select("_h1", F.col("_f._h2").alias("_f2"), F.struct("_f._id", "_f._line").alias("_first"), F.coalesce("_near", F.lit(False)).alias("_near"))
+    firsts = lines.groupBy("_h1").agg(F.min(F.struct("_id", "_line", "_h2")).alias("_f"))  # anew, as halves cost more than the scan
+    verdicts = firsts.join(near, "_h1", "left").select("_h1", F.col("_f._h2").alias("_f2"), F.struct("_f._id", "_f._line").alias("_first"), F.coalesce("_near", F.lit(False)).alias("_near"))
     gone = lines.drop("_text").join(verdicts, "_h1").filter((F.col("_h2") == F.col("_f2")) & (F.col("_near") | ~F.struct("_id", "_line").eqNullSafe(F.col("_first"))))
     return gone.groupBy("_id").agg(F.array_sort(F.collect_set("_line")).alias("_dropped"))
 
 
 def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """`df` with duplicate lines taken out of its texts; with `counts`, also `n_lines` and `n_dropped`."""
-    gone = dropped_lines(df, id_column, text_column, min_words).withColumnRenamed("_id", "_gone_id")
-    joined = df.join(gone, F.col(id_column).eqNullSafe(F.col("_gone_id")), "left").drop("_gone_id")
+    gone = dropped_lines(df, id_column, text_column, min_words).select(F.col("_id").alias("__ld_id"), F.col("_dropped").alias("__ld_dropped"))
+    joined = df.join(gone, F.col(id_column).eqNullSafe(F.col("__ld_id")), "left").drop("__ld_id")
     lines = F.split(F.col(text_column), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_dropped"))
-    joined = joined.withColumn("_all", F.when(F.col("_dropped").isNotNull(), lines))  # split once, not for each line
-    text = F.when(F.col("_dropped").isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_all", i)), "\n"))
-    added = {"n_lines": F.coalesce(F.when(F.col("_dropped").isNotNull(), F.size("_all")).otherwise(F.size(lines)), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long")} if counts else {}
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_dropped"))
+    joined = joined.withColumn("__ld_lines", F.when(F.col("__ld_dropped").isNotNull(), lines))  # split once, not for each line
+    text = F.when(F.col("__ld_dropped").isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__ld_lines", i)), "\n"))
+    added = {"n_lines": F.coalesce(F.when(F.col("__ld_dropped").isNotNull(), F.size("__ld_lines")).otherwise(F.size(lines)), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("__ld_dropped"), F.lit(0)).cast("long")} if counts else {}
     return joined.select(*[c for c in df.columns if c not in (text_column, *added)], *[v.alias(k) for k, v in added.items()], text.alias(text_column)).select(*[c for c in df.columns if c not in added], *added)
 
 
