@@ -80,9 +80,10 @@ def linearize_tables(tables: DataFrame) -> DataFrame:
 
     The first row is the header (it must not be empty); rows without a subject or without further values are dropped.
     """
-    cells = F.transform("cells", lambda row: F.transform(row, lambda c: clean_text(F.coalesce(c, F.lit("")))))
-    t = tables.withColumn("cells", cells).filter(F.size("cells") >= 2).withColumn("columns", F.col("cells")[0]).filter(F.exists("columns", lambda c: c != ""))
-    rows = t.select("doc_id", "page", "table_no", "columns", F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("row_no", "row"))
+    cleaned = lambda row: F.transform(row, lambda c: clean_text(F.coalesce(c, F.lit(""))))
+    # rows are cleaned after they are taken apart: filters then repeat the work of a row at most, not of a table
+    t = tables.filter(F.size("cells") >= 2).withColumn("columns", cleaned(F.col("cells")[0])).filter(F.exists("columns", lambda c: c != ""))
+    rows = t.select("doc_id", "page", "table_no", "columns", F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("row_no", "row")).withColumn("row", cleaned(F.col("row")))
     rows = rows.withColumn("row_subject", F.get("row", F.lit(0))).filter(F.coalesce(F.col("row_subject"), F.lit("")) != "")
     label = F.when(F.col("columns")[0] != "", F.col("columns")[0]).otherwise("Item")
     width = F.least(F.size("columns"), F.size("row")) - 1

@@ -77,11 +77,12 @@ chunks AS (SELECT doc_id, printf('chunk-%04d', chunk_id) AS id, chunk_id, kind,
 
 
 def _lines(spark, d):
-    return derived(spark, d, kb.KB_LINES)
+    """Dealt by document, as the windows of the parser need it: the source files are few and would be parsed by as few tasks."""
+    return derived(spark, d, kb.KB_LINES).repartition("doc_id")
 
 
 def _tables(spark, d):
-    return derived(spark, d, kb.KB_TABLES)
+    return derived(spark, d, kb.KB_TABLES).repartition("doc_id")
 
 
 def _blocks(spark, d):
