@@ -7,6 +7,9 @@ its norm and that of its approximation. A query scores codes by lookup tables (o
 scaled by the stored norms; the best `RERANK_SHARE` of each block, `RERANK_LEAST` at least, are reranked by the exact
 inner product of the original vectors in double precision.
 
+Equal vectors of a block are one class: it is encoded, scored and reranked once, and only then stands for its rows, of
+which no query needs more than the k + 1 of least id. So copies do not crowd each other out of the reranked share.
+
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part; ties go to the smaller
 id; a query with fewer candidates than asked for gets all of them; with fewer training vectors than codewords the
 codebooks are smaller; vectors of a dimension without training vectors are searched exactly; vectors meet those of
@@ -97,16 +100,30 @@ def fit(rows: DataFrame, max_train: int = MAX_TRAIN, **options) -> dict[int, np.
     return {d: train(np.stack([v for v in vectors if len(v) == d]), **options) for d in sorted({len(v) for v in vectors})}
 
 
+def classes(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different vectors, the ids by vector and then rising, and where each vector's ids start."""
+    x = np.ascontiguousarray(x + 0.0)  # -0.0 equals 0.0
+    _, first, which = np.unique(x.view(f"V{8 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((ids, which))
+    return x[first], ids[order], np.searchsorted(which[order], np.arange(len(first)))
+
+
 def index(rows: DataFrame, books: dict[int, np.ndarray], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every vector in blocks with its codes and the scale of its norms: dim, ids, data, codes, scales (bytes)."""
+    """Every vector in blocks with its codes and the scale of its norms: dim, ids, data, codes, scales, starts (bytes).
+
+    data, codes and scales have a row each different vector; its ids are those from its place in `starts` on, rising.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(books)  # books * words * dimension floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, scales = [], []
-            for dim, data in zip(batch.column("dim").to_pylist(), batch.column("data").to_pylist()):
+            ids, vectors, codes, scales, starts = [], [], [], [], []
+            for dim, members, data in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "data"))):
                 book = shared.value.get(dim)
-                x = np.frombuffer(data, "float64").reshape(-1, dim)
+                x, held, begin = classes(np.frombuffer(data, "float64").reshape(-1, dim), np.frombuffer(members, "int64"))
+                ids.append(held.tobytes())
+                vectors.append(x.tobytes())
+                starts.append(begin.tobytes())
                 if book is None:
                     codes.append(b"")
                     scales.append(b"")
@@ -115,36 +132,45 @@ def index(rows: DataFrame, books: dict[int, np.ndarray], block_rows: int = BLOCK
                 norm, near = np.linalg.norm(x, axis=1), np.linalg.norm(decode(c, book), axis=1)
                 codes.append(c.tobytes())
                 scales.append((norm / np.maximum(near, 1e-12)).astype("float32").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary()), pa.array(scales, pa.binary())], [*batch.schema.names, "codes", "scales"])
+            yield pa.RecordBatch.from_arrays([batch.column("dim"), *(pa.array(c, pa.binary()) for c in (ids, vectors, codes, scales, starts))], ["dim", "ids", "data", "codes", "scales", "starts"])
 
-    return pack(rows, block_rows).mapInArrow(run, "dim int, ids binary, data binary, codes binary, scales binary")
+    return pack(rows, block_rows).mapInArrow(run, "dim int, ids binary, data binary, codes binary, scales binary, starts binary")
 
 
 def _searcher(shared, k: int, share: float, least: int):
-    def search(q_ids, q, ids, x, codes, scales):
+    def search(q_ids, q, ids, x, codes, scales, starts):
+        begin = np.frombuffer(starts, "int64")
+        sizes = np.minimum(np.diff(np.r_[begin, len(ids)]), k + 1)
         book = shared.value.get(x.shape[1])
         wide = max(least, k + 1, int(np.ceil(share * len(ids))))
         if book is not None:
-            c = np.ascontiguousarray(np.frombuffer(codes, "uint8").reshape(len(ids), -1).T)
+            c = np.ascontiguousarray(np.frombuffer(codes, "uint8").reshape(len(x), -1).T)
             scale = np.frombuffer(scales, "float32")
         for start in range(0, len(q), 256):
             part = q[start : start + 256]
-            if book is None or wide >= len(ids):
-                near = np.tile(np.arange(len(ids)), (len(part), 1))
+            if book is None or wide >= len(x):
+                near = np.tile(np.arange(len(x)), (len(part), 1))
             else:
-                approx = np.zeros((len(part), len(ids)), "float32")
+                approx = np.zeros((len(part), len(x)), "float32")
                 for m in range(len(book)):
                     approx += np.take(part.astype("float32") @ book[m].T, c[m], axis=1)
                 approx *= scale
                 near = np.argpartition(-approx, wide - 1, axis=1)[:, :wide]
             rows, places, scores = [], [], []
             for a in range(len(part)):
-                at = near[a][ids[near[a]] != q_ids[start + a]]
+                at = near[a]
                 exact = (x[at] * part[a]).sum(axis=1)
-                top = best_of(exact, ids[at], k)
+                if len(at) > k + 1:  # one class may hold the query alone
+                    best = exact >= np.partition(exact, len(at) - k - 1)[len(at) - k - 1]
+                    at, exact = at[best], exact[best]
+                n = sizes[at]
+                place = np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                score, other = np.repeat(exact, n), ids[place] != q_ids[start + a]
+                place, score = place[other], score[other]
+                top = best_of(score, ids[place], k)
                 rows.append(np.full(len(top), start + a))
-                places.append(at[top])
-                scores.append(exact[top])
+                places.append(place[top])
+                scores.append(score[top])
             yield np.concatenate(rows), np.concatenate(places), np.concatenate(scores)
 
     return search
@@ -155,7 +181,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, share: float = RERANK_
     rows = usable(df, id_column, vector_column, nonzero=True)
     books = fit(rows, max_train)
     shared = df.sparkSession.sparkContext.broadcast(books)
-    return block_top_k(index(sharded(rows, df.count()), books), rows.filter(is_query), k, _searcher(shared, k, share, least), ("codes", "scales"))
+    return block_top_k(index(sharded(rows, df.count()), books), rows.filter(is_query), k, _searcher(shared, k, share, least), ("codes", "scales", "starts"))
 
 
 def op6_nearest(spark, sf_dir: str) -> DataFrame:

@@ -76,6 +76,25 @@ def test_nearest_reaches_its_recall_and_scores_are_exact(spark):
         assert [s for *_, s in got[q]] == sorted((s for *_, s in got[q]), reverse=True)
 
 
+def test_nearest_where_a_third_of_the_vectors_are_equal(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 16)).astype("float32")
+    x[::3] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(6000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = collected(additive.nearest(df, F.col("id") % 100 == 0))
+    wide, copies, hits = x.astype("float64"), set(ids[::3].tolist()), []
+    for q in got:
+        s = (wide * wide[ids == q][0]).sum(axis=1)
+        s[ids == q] = -9
+        want = ids[np.lexsort((ids, -s))[:20]].tolist()
+        if q in copies:
+            assert [c for _, c, _ in got[q]] == want
+        hits.append(len(set(want) & {c for _, c, _ in got[q]}) / 20)
+    assert len(got) == 60 and np.mean(hits) >= 0.9 and any(q in copies for q in got)
+
+
 def test_nearest_with_few_vectors_and_none(spark):
     few = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (20, [0.0, 1.0])]
     assert collected(additive.nearest(spark.createDataFrame(few, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0)) == scores(few, 20, 20)
