@@ -133,6 +133,20 @@ def test_constant_slots_become_template_without_landmarks(spark):
         assert got[n] == " ".join(regex.findall("<p>(.*?)</p>", html))
 
 
+def test_copies_and_repeated_rows_are_not_evidence_of_template(spark):
+    body = "<html><body><nav>{n}</nav><div class='ad'>{n}</div><div><h1>Title {t}</h1><p>First of {t}</p><p>Second of {t}</p></div></body></html>"
+    rows = [(n, "http://same.example/x", PAGE.format(n=7)) for n in range(9)]  # one page in every row
+    rows += [(n, "http://copies.example/x", PAGE.format(n=3).replace("Home", f"Home {n}")) for n in range(10, 19)]  # copies of an article
+    rows += [(n, "http://bare.example/x", body.format(n=n, t=1)) for n in range(20, 23)]  # copies without an article element
+    rows += [(n, "http://half.example/x", body.format(n=n, t=1 if n < 34 else n)) for n in range(30, 38)]  # copies are half of the host
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    article = "Title {t} First of {t} & more next Second bold of {t} Third {t} one {t} two {t}"
+    for n in got:
+        t = 7 if n < 9 else 3 if n < 19 else 1 if n < 34 else n
+        assert got[n] == (article if n < 20 else "Title {t} First of {t} Second of {t}").format(t=t)
+    assert len(got) == len(rows)
+
+
 def test_shuffled_wrappers_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(n, f"http://h{n % 2}.example", PAGE.format(n=n)) for n in range(9)], "page_id long, url string, html string")
     one = sorted(wrappers.extract_main_text(df).collect())
