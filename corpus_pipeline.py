@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token mass meets the targets of source, language and topic."""
-    return mix_documents(docs, table(spark, sf_dir, "embeddings")).filter("_mix_kept").select(*docs.columns)
+    """A sample whose token mass meets the targets of source, language and topic, as far as whole values reach them."""
+    return mix_documents(docs, table(spark, sf_dir, "embeddings"), bounded=True).filter("_mix_kept").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

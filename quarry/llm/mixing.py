@@ -4,6 +4,9 @@ The token mass of the corpus is summed into cells (one for each combination of t
 Raking scales the cells to the target of each margin in turn, again and again; then every document is kept with the
 probability of its cell, by a hash of its id, so that the same document always meets the same fate.
 
+No document can be kept more than once. Where the targets ask for that, plain probabilities are clipped at 1 and the
+kept shares fall short of the targets; `bounded` rakes under the bound instead (see `rake_bounded`).
+
 Edge cases: a null margin value is a value of its own (''); null and empty texts weigh one token; a null id hashes like
 the empty string; rows that repeat are each decided, alike; an empty table gives an empty table; other columns pass
 through unchanged, also those named like the columns added here, because the decision is taken under reserved names.
@@ -37,6 +40,13 @@ def unit_hash(column: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _shares(cells: DataFrame, name: str, target: float | DataFrame, mass: str) -> DataFrame:
+    """The target of each value of a margin, not normed."""
+    if isinstance(target, DataFrame):
+        return target.select(F.col("value").alias(name), F.col("share").cast("double").alias(f"_t_{name}"))
+    return cells.groupBy(name).agg(F.pow(F.sum(mass), F.lit(float(target))).alias(f"_t_{name}"))
+
+
 def rake(cells: DataFrame, margins: Mapping[str, float | DataFrame], mass: str = "mass", rounds: int = ROUNDS) -> DataFrame:
     """Add `factor` to each cell so that mass * factor meets the targets of the margins.
 
@@ -47,10 +57,7 @@ def rake(cells: DataFrame, margins: Mapping[str, float | DataFrame], mass: str =
     sums = cells.agg(F.sum(mass).alias("_total"))
     out = cells.withColumn("factor", F.lit(1.0))
     for name, target in margins.items():
-        if isinstance(target, DataFrame):
-            shares = target.select(F.col("value").alias(name), F.col("share").cast("double").alias(f"_t_{name}"))
-        else:
-            shares = cells.groupBy(name).agg(F.pow(F.sum(mass), F.lit(float(target))).alias(f"_t_{name}"))
+        shares = _shares(cells, name, target, mass)
         shares = shares.withColumn(f"_t_{name}", F.col(f"_t_{name}") / F.sum(f"_t_{name}").over(total))
         out = out.join(shares, name, "left").fillna(0.0, [f"_t_{name}"])
     out = out.crossJoin(F.broadcast(sums))  # one row
@@ -61,11 +68,44 @@ def rake(cells: DataFrame, margins: Mapping[str, float | DataFrame], mass: str =
     return out.select(*cells.columns, "factor")
 
 
-def calibrated_mix(df: DataFrame, margins: Mapping[str, Column], targets: Mapping[str, float | DataFrame] | None = None, weight: Column | None = None, keep_share: float = KEEP_SHARE, rounds: int = ROUNDS, id_column: str = "doc_id", prefix: str = "_mix_") -> DataFrame:
+def _filled(df: DataFrame, size: str, weight: str, amount: Column, out: str, *by: str) -> DataFrame:
+    """Add `out`: weight * level, at most size, with the level of each group at which they add up to `amount`.
+
+    By rising size / weight the rows fill up one after the other; the level is the highest of those at which a row and
+    all after it would share what the rows before it leave.
+    """
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    order = group.orderBy(F.when(F.col(weight) > 0, F.col(size) / F.col(weight)).asc_nulls_last())
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(weight).over(order.rowsBetween(0, Window.unboundedFollowing))
+    levels = df.withColumns({"_before": before, "_rest": rest}).withColumn("_level", F.when(F.col("_rest") > 0, (amount - F.col("_before")) / F.col("_rest")))
+    level = F.greatest(F.lit(0.0), F.coalesce(F.max("_level").over(group), F.lit(0.0)))
+    return levels.withColumn(out, F.least(F.col(size), F.col(weight) * level)).drop("_before", "_rest", "_level")
+
+
+def rake_bounded(raked: DataFrame, margins: Mapping[str, float | DataFrame], budget: float, mass: str = "mass", rounds: int = ROUNDS) -> DataFrame:
+    """Add `probability` (1 at most) to raked cells, so that the kept mass is `budget` and meets the margins' targets.
+
+    A value whose whole mass is less than its target is kept whole, and the margin's other values share the rest by
+    their targets; targets that can be met are met. Each step scales the cells of a value to its amount under the bound.
+    """
+    out = raked.withColumn("_kept", F.least(F.col(mass), F.col(mass) * F.col("factor")))
+    for name, target in margins.items():
+        values = raked.groupBy(name).agg(F.sum(mass).alias("_size")).join(_shares(raked, name, target, mass), name, "left").fillna(0.0, [f"_t_{name}"])
+        amounts = _filled(values, "_size", f"_t_{name}", F.lit(float(budget)), f"_a_{name}").select(name, f"_a_{name}")
+        out = out.join(amounts, name)
+    for _ in range(rounds):
+        for name in margins:
+            out = _filled(out, mass, "_kept", F.col(f"_a_{name}"), "_next", name).withColumn("_kept", F.col("_next")).drop("_next")
+    return out.select(*raked.columns, F.least(F.lit(1.0), F.col("_kept") / F.col(mass)).alias("probability"))
+
+
+def calibrated_mix(df: DataFrame, margins: Mapping[str, Column], targets: Mapping[str, float | DataFrame] | None = None, weight: Column | None = None, keep_share: float = KEEP_SHARE, rounds: int = ROUNDS, id_column: str = "doc_id", prefix: str = "_mix_", bounded: bool = False) -> DataFrame:
     """`df` with `{prefix}factor`, `{prefix}probability` and `{prefix}kept`.
 
     margins: name -> expression. The kept tokens are expected to be `keep_share` of all: probabilities are
-    factor * scale, clipped at 1, and the scale is set anew `CLIP_ROUNDS` times for what clipping takes away.
+    factor * scale, clipped at 1, and the scale is set anew `CLIP_ROUNDS` times for what clipping takes away, at the
+    cost of the targets; with `bounded` the cells are raked again under the bound.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -76,11 +116,14 @@ def calibrated_mix(df: DataFrame, margins: Mapping[str, Column], targets: Mappin
     raked = rake(cells, {named[n]: targets[n] for n in margins}, rounds=rounds).checkpoint()
     budget, top, count = raked.agg(F.sum("mass") * F.lit(float(keep_share)), F.lit(0.0), F.count(F.lit(1))).first()
     scale = float(keep_share)
-    for _ in range(CLIP_ROUNDS):
+    for _ in range(0 if bounded else CLIP_ROUNDS):
         full, rest = raked.agg(F.sum(F.when(F.col("factor") * scale >= 1, F.col("mass"))), F.sum(F.when(F.col("factor") * scale < 1, F.col("mass") * F.col("factor")))).first()
         if rest and budget > (full or 0.0):
             scale = max(scale, (budget - (full or 0.0)) / rest)
-    cells = raked.select(*named.values(), F.col("factor").alias(f"{prefix}factor"), F.least(F.lit(1.0), F.col("factor") * F.lit(scale)).alias(f"{prefix}probability"))
+    if bounded:
+        raked = rake_bounded(raked, {named[n]: targets[n] for n in margins}, budget or 0.0, rounds=rounds).checkpoint()
+    probability = F.col("probability") if bounded else F.least(F.lit(1.0), F.col("factor") * F.lit(scale))
+    cells = raked.select(*named.values(), F.col("factor").alias(f"{prefix}factor"), probability.alias(f"{prefix}probability"))
     joined = rows.join(F.broadcast(cells) if count <= BROADCAST_CELLS else cells, list(named.values()))
     return joined.withColumn(f"{prefix}kept", unit_hash(id_column) < F.col(f"{prefix}probability"))
 

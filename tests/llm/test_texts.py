@@ -185,6 +185,26 @@ def test_raking_meets_its_margins(spark):
     assert abs(out[out._mix_kept]._mix_weight.sum() / total - mixing.KEEP_SHARE) < 0.05
 
 
+def test_kept_shares_meet_the_targets_under_the_bound(spark):
+    # reachable: raking asks for more of cell (b, y) than there is, the margins can still be met
+    cells = [("a", "x", 500), ("a", "y", 300), ("b", "x", 150), ("b", "y", 50)]
+    rows = [(k, "t" * 40, s, t) for k, (s, t) in enumerate((s, t) for s, t, n in cells for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, topic string")
+    margins = {"source": F.col("source"), "topic": F.col("topic")}
+
+    def shares(name, x, y, keep, **options):
+        target = {"source": spark.createDataFrame([("a", x), ("b", 1 - x)], "value string, share double"), "topic": spark.createDataFrame([("x", y), ("y", 1 - y)], "value string, share double")}
+        out = mixing.calibrated_mix(df, margins, target, keep_share=keep, rounds=12, **options).toPandas()
+        kept = out._mix_weight * out._mix_probability
+        assert out._mix_probability.max() <= 1 and abs(kept.sum() / out._mix_weight.sum() - keep) < 1e-3
+        return [(kept.groupby(out[n]).sum() / kept.sum()).iloc[0] for n in name]
+
+    assert not np.allclose(shares(["source", "topic"], 0.625, 0.45, 0.4), [0.625, 0.45], atol=0.02)
+    assert np.allclose(shares(["source", "topic"], 0.625, 0.45, 0.4, bounded=True), [0.625, 0.45], atol=0.005)
+    # out of reach: source b has a fifth of the mass and is kept whole; topic is met all the same
+    assert np.allclose(shares(["source", "topic"], 0.4, 0.6, 0.5, bounded=True), [0.6, 0.6], atol=0.005)
+
+
 def test_explicit_targets_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "", "a", "y"), (None, "abcd" * 9, "a", "x"), (2, "", "a", "y")], "doc_id long, text string, source string, mass string")
     target = spark.createDataFrame([("", 0.5), ("a", 0.5)], "value string, share double")
