@@ -1,10 +1,11 @@
-"""Exact top-k by MaxScore over integer vectors.
+"""Exact top-k over integer vectors by chunked pruning with MaxScore's bounds.
 
 A dimension is a term, a vector's component its posting. Within a block a term adds between least_d and least_d + width_d
-to a query's score. Terms are taken by falling width. Those whose widths together cannot lift a candidate over the
-threshold (the k-th best exact score so far) are non-essential: the essential postings are traversed for all
-candidates, the others are probed only for candidates that are still competitive, fewer with each step. Every block
-is a shard; the shards' best k are merged.
+to a query's score. Terms are taken by falling width: the `STEP` widest are traversed for all candidates, the others
+in chunks of `STEP` for the candidates that what remains can still lift to the threshold, fewer with each chunk. The
+threshold is the least exact score of the k leaders after the first chunk; it is set once a block, not raised later and
+not carried on. Unlike MaxScore proper, the bounds do not choose how many terms are essential. The best k of all blocks
+are merged.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; ties go to the smaller id; a
 query with fewer candidates gets all of them; vectors meet those of their own dimension; an empty table gives an
