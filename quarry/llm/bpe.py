@@ -3,7 +3,8 @@
 The distinct pre-tokens of a batch are laid out in one symbol array. An inverted index goes from the rank of a
 pair to the positions of that pair; ranks are replayed in rising order, each on all of its positions at once, and
 only the pairs with the two touched neighbours enter the index anew. Encodings of pre-tokens are kept in a bounded
-dictionary, so that each is replayed about once a task.
+dictionary (bounded by entries and by characters), so that each is replayed about once a task. What a task holds
+beside one whole text does not grow with its input.
 
 Edge cases: a null or empty text has no tokens; a text of any length is encoded whole; equal rows give equal results;
 an empty table gives an empty table; other columns of the input play no part (only the id and text columns are read).
@@ -16,12 +17,17 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Bytes of text that a task splits at once; its memory follows from this and from the bound on what it remembers.
+SLICE_BYTES = 8_000_000
+KNOWN_PARTS = 250_000
+
 KINDS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string", "decoded": "string"}
 
 
@@ -32,44 +38,49 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Encodes sets of pre-tokens (bytes) by replaying merges in rank order over all of them."""
+    """Encodes sets of pre-tokens (bytes) by replaying merges in rank order over all of them.
+
+    The pairs that merge are all splits of a token into two tokens, as sorted codes: their size is the vocabulary's.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], "int32")
         self.first = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], "int32")
-        self._pairs: dict[int, int] = {}
-
-    def pair(self, left: int, right: int) -> int:
-        """Rank of the token that the pair merges to, or -1."""
-        code = left << 32 | right
-        rank = self._pairs.get(code)
-        if rank is None:
-            rank = self.ranks.get(self.token[left] + self.token[right], -1)
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            self._pairs[code] = rank
-        return rank
+        get = ranks.get
+        splits = ((get(token[:k]), get(token[k:]), rank) for token, rank in ranks.items() for k in range(1, len(token)))
+        found = sorted((left << 32 | right, rank) for left, right, rank in splits if left is not None and right is not None)
+        self.codes, self.merged = (np.array(x, t) for x, t in zip(zip(*found), ("int64", "int32"))) if found else (np.zeros(0, "int64"), np.zeros(0, "int32"))
+        self.codes, self.merged = np.r_[self.codes, np.iinfo("int64").max], np.r_[self.merged, np.int32(-1)]
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        codes = (left.astype("int64") << 32 | right).tolist()
-        found = list(map(self._pairs.get, codes))
-        if None in found:
-            found = [self.pair(c >> 32, c & 0xFFFFFFFF) if r is None else r for c, r in zip(codes, found)]
-        return np.array(found, "int32")
+        """Ranks of the tokens that the pairs merge to, or -1."""
+        codes = left.astype("int64") << 32 | right
+        at = np.searchsorted(self.codes, codes)
+        return np.where(self.codes[at] == codes, self.merged[at], np.int32(-1))
 
     def one(self, word: bytes) -> list[int]:
-        """The plain form for a single word: again and again the leftmost pair of least rank."""
+        """The plain form for a single word: again and again the leftmost pair of least rank, from a heap."""
+        token, get = self.token, self.ranks.get
+        n = len(word)
         symbols = [int(self.single[b]) for b in word]
-        while len(symbols) > 1:
-            ranks = [self.pair(a, b) for a, b in zip(symbols, symbols[1:])]
-            best = min((r for r in ranks if r >= 0), default=-1)
-            if best < 0:
-                break
-            at = ranks.index(best)
-            symbols[at : at + 2] = [best]
-        return symbols
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        queue = [(rank, k) for k in range(n - 1) if (rank := int(self.first[word[k] * 256 + word[k + 1]])) >= 0]
+        heapq.heapify(queue)
+        while queue:
+            rank, at = heapq.heappop(queue)
+            follow = after[at]
+            if symbols[at] < 0 or follow < 0 or get(token[symbols[at]] + token[symbols[follow]]) != rank:
+                continue  # one of the two was merged since
+            symbols[at], symbols[follow], after[at] = rank, -1, after[follow]
+            if after[at] >= 0:
+                before[after[at]] = at
+            for left in (before[at], at):
+                right = after[left] if left >= 0 else -1
+                if right >= 0 and (new := get(token[symbols[left]] + token[symbols[right]])) is not None:
+                    heapq.heappush(queue, (new, left))
+        return [s for s in symbols if s >= 0]
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Token ids of each word, as little-endian unsigned 32-bit integers."""
@@ -169,19 +180,48 @@ CHUNKABLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 _DOUBLE = re.compile(r"\s\s").search
 
 
-def chunks(text: str | None) -> list[str]:
+def chunks(text: str | None, pieces: Callable[[str], list[str]]) -> list[str]:
     """Parts of a text that can be split into pre-tokens one by one, so that equal parts are split once.
 
-    Where white-space characters stand alone, each blank and each line feed begins a part; other texts stay whole.
+    Where white-space characters stand alone, each blank and each line feed begins a part; the parts of other texts are
+    their pre-tokens, which the pattern leaves whole when it meets them alone.
     """
     if not text:
         return []
-    if _DOUBLE(text):
-        return [text]
-    parts = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+    if _DOUBLE(text) or "\0" in text:
+        return pieces(text)
+    parts = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
     return parts if parts[0] else parts[1:]
 
 
+class Known(dict):
+    """What is known of parts of texts, for the length of a task: bounded by entries and by the length of the keys.
+
+    When it is full, only the parts of the present texts stay.
+    """
+
+    def __init__(self, entries: int, chars: int = 8_000_000):
+        super().__init__()
+        self.entries, self.chars, self.held = entries, chars, 0
+
+    def add(self, found: dict, present: set[str]) -> None:
+        size = sum(map(len, found))
+        if len(self) + len(found) > self.entries or self.held + size > self.chars:
+            for part in self.keys() - present:
+                del self[part]
+            kept = dict(self)  # a dictionary does not shrink by itself
+            self.clear()
+            self.update(kept)
+            self.held = sum(map(len, kept))
+        self.update(found)
+        self.held += size
+
+
+@lru_cache(maxsize=1)
+def _replay(blob: bytes) -> MergeReplay:
+    return MergeReplay({base64.b64decode(t): int(r) for t, r in (line.split() for line in blob.splitlines() if line.strip())})
+
+
 def _encoder(ranks_blob, pattern: str, id_column: str, text_column: str, outputs: tuple[str, ...], cache_size: int):
     plain_spaces = pattern == CHUNKABLE
 
@@ -190,24 +230,29 @@ def _encoder(ranks_blob, pattern: str, id_column: str, text_column: str, outputs
 
         from quarry.llm._arrow import slices
 
-        ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks_blob.value.splitlines() if line.strip())}
-        replay = MergeReplay(ranks)
+        replay = _replay(ranks_blob.value)
         decode = replay.token
         pieces = regex.compile(pattern).findall
-        cache: dict[str, bytes] = {}
+
+        def split(text: str | None) -> list[str]:
+            return chunks(text, pieces) if plain_spaces else pieces(text or "")
+
+        known = Known(cache_size)
         for batch in batches:
-            for part in slices(batch, text_column, 12_000_000):
-                texts = [chunks(x) if plain_spaces else [x] if x else [] for x in part.column(text_column).to_pylist()]
-                if len(cache) > cache_size:
-                    cache.clear()
+            for part in slices(batch, text_column, SLICE_BYTES):
+                texts = part.column(text_column).to_pylist()
+                present: set[str] = set()
+                for text in texts:  # split here and again below, so that only the different parts are held
+                    present.update(split(text))
                 # a blank and letters make one pre-token; all else is left to the pattern
-                new = {c: [c] if plain_spaces and c[0] == " " and c[1:].isalpha() else pieces(c) for c in set().union(*texts).difference(cache)}
+                new = {c: [c] if not plain_spaces or c[0] == " " and c[1:].isalpha() else pieces(c) for c in present if c not in known}
                 distinct = list(set().union(*new.values()))
                 ids_of = dict(zip(distinct, replay.encode([w.encode() for w in distinct])))
-                cache.update({c: b"".join([ids_of[w] for w in words]) for c, words in new.items()})
+                known.add({c: b"".join([ids_of[w] for w in words]) for c, words in new.items()}, present)
+                del present, new, distinct, ids_of
                 columns: dict[str, list] = {k: [] for k in outputs}
-                for parts in texts:
-                    blob = b"".join(map(cache.__getitem__, parts))
+                for text in texts:
+                    blob = b"".join(map(known.__getitem__, split(text)))
                     ids = np.frombuffer(blob, "<u4")
                     if "n_tokens" in columns:
                         columns["n_tokens"].append(len(ids))
@@ -216,7 +261,7 @@ def _encoder(ranks_blob, pattern: str, id_column: str, text_column: str, outputs
                     if "ids_sha256" in columns:
                         columns["ids_sha256"].append(hashlib.sha256(blob).hexdigest())
                     if "decoded" in columns or "decoded_sha256" in columns:
-                        back = b"".join([decode[i] for i in ids.tolist()])
+                        back = b"".join(map(decode.__getitem__, ids.tolist()))
                         if "decoded" in columns:
                             columns["decoded"].append(back.decode("utf-8", "replace"))
                         if "decoded_sha256" in columns:
@@ -227,7 +272,7 @@ def _encoder(ranks_blob, pattern: str, id_column: str, text_column: str, outputs
     return run
 
 
-def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), cache_size: int = 700_000) -> DataFrame:
+def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), cache_size: int = KNOWN_PARTS) -> DataFrame:
     """Encode whole texts; `outputs` names the columns to return beside the id (see KINDS).
 
     The rank file is read on the driver and sent to the executors (a vocabulary of fixed size, about 1 MB), so

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator, Mapping
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.bpe import CHUNKABLE, chunks, load_ranks
+from quarry.llm.bpe import CHUNKABLE, KNOWN_PARTS, SLICE_BYTES, Known, chunks, load_ranks
 
 
 def zipf_scores(ranks: Mapping[bytes, int]) -> dict[bytes, float]:
@@ -69,7 +69,7 @@ class Trie:
         return out
 
 
-def token_counts(df: DataFrame, vocabulary_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", cache_size: int = 700_000) -> DataFrame:
+def token_counts(df: DataFrame, vocabulary_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", cache_size: int = KNOWN_PARTS) -> DataFrame:
     """id, n_chars, n_pretokens, n_tokens of every whole text.
 
     The vocabulary is a .tiktoken rank file, read on the driver and sent to the executors (fixed size, about 1 MB).
@@ -89,17 +89,22 @@ def token_counts(df: DataFrame, vocabulary_path: str, pattern: str, id_column: s
 
         scores = zipf_scores({base64.b64decode(t): int(r) for t, r in (line.split() for line in blob.value.splitlines() if line.strip())})
         pieces = regex.compile(pattern).findall
-        cache: dict[str, int] = {}  # of a part of a text: pre-tokens * 2 ** 40 + tokens
+
+        def split(text: str | None) -> list[str]:
+            return chunks(text, pieces) if apart else pieces(text or "")
+
+        known = Known(cache_size)  # of a part of a text: pre-tokens * 2 ** 40 + tokens
         for batch in batches:
-            for part in slices(batch, text_column, 8_000_000):
-                texts = [chunks(x) if apart else [x] if x else [] for x in part.column(text_column).to_pylist()]
-                if len(cache) > cache_size:
-                    cache.clear()
-                new = {c: [c] if apart and c[0] == " " and c[1:].isalpha() else pieces(c) for c in set().union(*texts).difference(cache)}
+            for part in slices(batch, text_column, SLICE_BYTES):
+                texts = part.column(text_column).to_pylist()
+                present: set[str] = set()
+                for text in texts:
+                    present.update(split(text))
+                new = {c: [c] if not apart or c[0] == " " and c[1:].isalpha() else pieces(c) for c in present if c not in known}
                 counts = Trie(scores).insert(sorted({w.encode() for words in new.values() for w in words}))
-                for c, words in new.items():
-                    cache[c] = (len(words) << 40) + sum(counts[w.encode()] for w in words)
-                sums = [sum(map(cache.__getitem__, parts)) for parts in texts]
+                known.add({c: (len(words) << 40) + sum([counts[w.encode()] for w in words]) for c, words in new.items()}, present)
+                del present, new, counts
+                sums = [sum(map(known.__getitem__, split(text))) for text in texts]
                 yield pa.RecordBatch.from_arrays([part.column(id_column), pc.fill_null(pc.utf8_length(part.column(text_column)), 0).cast(pa.int64()), pa.array([s >> 40 for s in sums], pa.int64()), pa.array([s & (1 << 40) - 1 for s in sums], pa.int64())], [id_column, "n_chars", "n_pretokens", "n_tokens"])
 
     return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {dict(df.dtypes)[id_column]}, n_chars long, n_pretokens long, n_tokens long")

@@ -23,7 +23,7 @@ def test_chunks_split_like_the_pattern():
     assert bpe.CHUNKABLE == P.PATTERN
     for _ in range(20_000):
         t = "".join(rnd.choice("ab  \n\t's.1é漢\xa0\x1c\r\0") for _ in range(rnd.randint(0, 12)))
-        assert [w for c in bpe.chunks(t) for w in SPLIT(c)] == SPLIT(t), repr(t)
+        assert [w for c in bpe.chunks(t, SPLIT) for w in SPLIT(c)] == SPLIT(t), repr(t)
 
 
 def test_replay_equals_the_library_on_words():
@@ -45,6 +45,24 @@ def test_replay_survives_ranks_that_are_out_of_order():
         assert ids(blob) == enc.encode_ordinary(w), w
 
 
+def test_single_words_equal_the_library():
+    rnd = random.Random(5)
+    replay = bpe.MergeReplay(RANKS)
+    words = ["a" * 3000, "ab" * 2000, *("".join(rnd.choice("aaabesstrin") for _ in range(rnd.randint(1, 40))) for _ in range(2000))]
+    for w in words:
+        assert replay.one(w.encode()) == ENC.encode_ordinary(w), w
+
+
+def test_what_is_known_stays_bounded():
+    known = bpe.Known(100, chars=1_000)
+    for k in range(0, 5_000, 10):
+        present = {f"w{n}" for n in range(k, k + 10)}
+        known.add({c: b"" for c in present if c not in known}, present)
+        assert present <= known.keys() and len(known) <= 110 and known.held == sum(map(len, known))
+    known.add({"x" * 2_000: b""}, {"x" * 2_000})
+    assert set(known) == {"x" * 2_000}
+
+
 def test_encode_whole_texts_and_round_trip(spark):
     texts = [None, "", "Hello world's  end\n\n x", "a" * 50_000, "漢字 é \t!!", "same text", "same text", "<|endoftext|> 12 345"]
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
