@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._arrow import table
+from quarry.llm._arrow import ensure_checkpoint_dir, table
 from quarry.llm.bpe import bpe_encode
 from quarry.llm.linededup import dedup_lines
 from quarry.llm.mixing import mix_documents
@@ -54,7 +54,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what one keeps is checkpointed before the next reads it, so each stage runs once."""
+    ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = docs.checkpoint()
     return docs
