@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join, on DataFrame functions alone.
 
 A line goes if an earlier line of the corpus is equal to it or within one word of it (a word put in, left out or
-changed). Order is (doc_id, line number). Lines of fewer than `MIN_WORDS` words are compared for equality only.
+changed). Order is (doc_id, hash of the text, line number). Lines of fewer than `MIN_WORDS` words are compared for equality only.
 
 1. Equal lines are collapsed under a 64-bit hash, the earliest kept (partial aggregation takes hot lines); a second hash
    confirms each copy. Texts do not move in this step.
@@ -16,8 +16,8 @@ Variants hash blocks of `BLOCK` words beside the hashes of what lies before and
 more for each word than short ones.
 
 Edge cases: lines are compared after trimming blanks; blank lines are never duplicates and stay; a null text stays
-null, and a text whose lines all go becomes ''; rows that share a doc_id lose the same line numbers (equal rows thus
-stay equal), a null doc_id sorts first; an empty table gives an empty table; other columns pass through.
+null, and a text whose lines all go becomes ''; equal rows count as one and stay equal; rows that share a doc_id but
+not a text are rows of their own, told apart by a hash of the text; a null doc_id sorts first; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -48,9 +48,14 @@ def _joined(words: Column, start, count) -> Column:
     return F.array_join(F.slice(words, start + 1, count), " ")
 
 
+def text_number(text: Column) -> Column:
+    """A number of 60 bits that tells texts apart, as SQL can make it too."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def document_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """_id, _line (number from 0), _text (trimmed, never blank), _h1, _h2."""
-    lines = df.select(F.col(id_column).alias("_id"), F.posexplode(F.split(F.col(text_column), "\n", -1)).alias("_line", "_text"))
+    """_id, _th (text_number), _line (number from 0), _text (trimmed, never blank), _h1, _h2."""
+    lines = df.select(F.col(id_column).alias("_id"), text_number(F.col(text_column)).alias("_th"), F.posexplode(F.split(F.col(text_column), "\n", -1)).alias("_line", "_text"))
     return lines.withColumn("_text", F.trim("_text")).filter(F.length("_text") > 0).withColumns({"_h1": _hash(F.col("_text")), "_h2": _hash(F.lit("second"), F.col("_text"))})
 
 
@@ -117,42 +122,41 @@ def near_lines(df: DataFrame, classes: DataFrame, id_column: str = "doc_id", tex
     halves = worded.select("_h1", F.explode(sides).alias("_k")).select("_h1", "_k.left", "_k.key")
     shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key")
     found = halves.join(shared, "key", "left_semi").groupBy("_h1").agg(F.max("left").alias("_l"), F.min("left").alias("_r"))
-    likely = worded.join(found, "_h1").select(F.col("_f._id").alias("_want"), "_f._line", "_l", "_r").checkpoint()
+    likely = worded.join(found, "_h1").select(F.col("_f._id").alias("_want"), F.col("_f._th").alias("_want_th"), "_f._line", "_l", "_r").checkpoint()
     few = likely.count() <= BROADCAST_LINES
-    by_doc = likely.groupBy("_want").agg(F.collect_list(F.struct("_line", "_l", "_r")).alias("_lines"))  # at most the lines of a document
-    texts = df.select(id_column, text_column).join(F.broadcast(by_doc) if few else by_doc, F.col(id_column).eqNullSafe(F.col("_want")))
-    lines = texts.select(F.col(id_column).alias("_id"), F.split(text_column, "\n", -1).alias("_all"), "_lines").select("_id", F.explode(F.transform("_lines", lambda s: F.struct(s["_line"].alias("_line"), s["_l"].alias("_l"), s["_r"].alias("_r"), F.trim(F.get("_all", s["_line"])).alias("_t")))).alias("_s"))
-    lines = lines.select("_id", "_s._line", "_s._l", "_s._r", "_s._t").dropDuplicates(["_id", "_line"]).checkpoint().withColumn("_w", _words(F.col("_t")))
+    by_doc = likely.groupBy("_want", "_want_th").agg(F.collect_list(F.struct("_line", "_l", "_r")).alias("_lines"))  # at most the lines of a document
+    texts = df.select(F.col(id_column).alias("_id"), text_number(F.col(text_column)).alias("_th"), F.col(text_column).alias("_text"))
+    texts = texts.join(F.broadcast(by_doc) if few else by_doc, F.col("_id").eqNullSafe(F.col("_want")) & (F.col("_th") == F.col("_want_th")))
+    lines = texts.select("_id", "_th", F.split("_text", "\n", -1).alias("_all"), "_lines").select("_id", "_th", F.explode(F.transform("_lines", lambda s: F.struct(s["_line"].alias("_line"), s["_l"].alias("_l"), s["_r"].alias("_r"), F.trim(F.get("_all", s["_line"])).alias("_t")))).alias("_s"))
+    lines = lines.select("_id", "_th", "_s._line", "_s._l", "_s._r", "_s._t").dropDuplicates(["_id", "_th", "_line"]).checkpoint().withColumn("_w", _words(F.col("_t")))
     n = F.size("_w")
     lines = lines.withColumns({"_from": F.when(~F.col("_r"), F.lit(0)).otherwise(F.greatest(F.floor((n - 1) / F.lit(2)).cast("int"), F.lit(0))), "_to": F.when(F.col("_l"), n).otherwise(F.floor(n / F.lit(2)).cast("int") + 1)})
-    variants = lines.select("_id", "_line", F.explode(_variant_keys()).alias("_key"))
-    leads = variants.groupBy("_key").agg(F.min(F.struct("_id", "_line")).alias("_lead"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    pairs = variants.join(leads, "_key").filter(F.col("_lead") < F.struct("_id", "_line")).select("_id", "_line", F.col("_lead._id").alias("_id2"), F.col("_lead._line").alias("_line2")).distinct()
-    words = lines.select("_id", "_line", F.col("_t").alias("_w"))
-    checked = pairs.join(words, [pairs["_id"].eqNullSafe(words["_id"]), pairs["_line"] == words["_line"]]).select(pairs["_id"], pairs["_line"], "_id2", "_line2", "_w")
-    other = words.select(F.col("_id").alias("_id3"), F.col("_line").alias("_line3"), F.col("_w").alias("_w2"))
-    checked = checked.join(other, F.col("_id2").eqNullSafe(F.col("_id3")) & (F.col("_line2") == F.col("_line3")))
+    variants = lines.select(F.struct("_id", "_th", "_line").alias("_at"), F.explode(_variant_keys()).alias("_key"))
+    leads = variants.groupBy("_key").agg(F.min("_at").alias("_lead"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+    pairs = variants.join(leads, "_key").filter(F.col("_lead") < F.col("_at")).select("_at", "_lead").distinct()
+    words = lines.select(F.struct("_id", "_th", "_line").alias("_at"), F.col("_t").alias("_w"))
+    checked = pairs.join(words, "_at").join(words.select(F.col("_at").alias("_lead"), F.col("_w").alias("_w2")), "_lead")
     return checked.filter(within_one_word(_words(F.col("_w")), _words(F.col("_w2")))).select(_hash(F.col("_w")).alias("_h1")).distinct()
 
 
 def dropped_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """_id, _dropped: the numbers of the lines that go, ascending, for documents that lose any."""
+    """_id, _th, _dropped: the numbers of the lines that go, ascending, for documents that lose any."""
     ensure_checkpoint_dir(df.sparkSession)
     lines = document_lines(df, id_column, text_column)
     keyed = lines.withColumn("_n", F.length("_text") - F.length(F.replace("_text", F.lit(" "), F.lit(""))) + 1)
-    keyed = keyed.select("_h1", "_h2", "_id", "_line", "_n", *[k.alias(f"_k{i}") for i, k in enumerate(_half_hashes())])
-    classes = keyed.groupBy("_h1").agg(F.min(F.struct("_id", "_line", "_h2", "_n", "_k0", "_k1", "_k2", "_k3")).alias("_f"))
+    keyed = keyed.select("_h1", "_h2", "_id", "_th", "_line", "_n", *[k.alias(f"_k{i}") for i, k in enumerate(_half_hashes())])
+    classes = keyed.groupBy("_h1").agg(F.min(F.struct("_id", "_th", "_line", "_h2", "_n", "_k0", "_k1", "_k2", "_k3")).alias("_f"))
     near = near_lines(df, classes, id_column, text_column, min_words).withColumn("_near", F.lit(True))
-    firsts = lines.groupBy("_h1").agg(F.min(F.struct("_id", "_line", "_h2")).alias("_f"))  # anew, as halves cost more than the scan
-    verdicts = firsts.join(near, "_h1", "left").select("_h1", F.col("_f._h2").alias("_f2"), F.struct("_f._id", "_f._line").alias("_first"), F.coalesce("_near", F.lit(False)).alias("_near"))
-    gone = lines.drop("_text").join(verdicts, "_h1").filter((F.col("_h2") == F.col("_f2")) & (F.col("_near") | ~F.struct("_id", "_line").eqNullSafe(F.col("_first"))))
-    return gone.groupBy("_id").agg(F.array_sort(F.collect_set("_line")).alias("_dropped"))
+    firsts = lines.groupBy("_h1").agg(F.min(F.struct("_id", "_th", "_line", "_h2")).alias("_f"))  # anew, as halves cost more than the scan
+    verdicts = firsts.join(near, "_h1", "left").select("_h1", F.col("_f._h2").alias("_f2"), F.struct("_f._id", "_f._th", "_f._line").alias("_first"), F.coalesce("_near", F.lit(False)).alias("_near"))
+    gone = lines.drop("_text").join(verdicts, "_h1").filter((F.col("_h2") == F.col("_f2")) & (F.col("_near") | ~F.struct("_id", "_th", "_line").eqNullSafe(F.col("_first"))))
+    return gone.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("_line")).alias("_dropped"))
 
 
 def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """`df` with duplicate lines taken out of its texts; with `counts`, also `n_lines` and `n_dropped`."""
-    gone = dropped_lines(df, id_column, text_column, min_words).select(F.col("_id").alias("__ld_id"), F.col("_dropped").alias("__ld_dropped"))
-    joined = df.join(gone, F.col(id_column).eqNullSafe(F.col("__ld_id")), "left").drop("__ld_id")
+    gone = dropped_lines(df, id_column, text_column, min_words).select(F.col("_id").alias("__ld_id"), F.col("_th").alias("__ld_th"), F.col("_dropped").alias("__ld_dropped"))
+    joined = df.withColumn("__ld_own", text_number(F.col(text_column))).join(gone, F.col(id_column).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_own") == F.col("__ld_th")), "left").drop("__ld_id", "__ld_th", "__ld_own")
     lines = F.split(F.col(text_column), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_dropped"))
     joined = joined.withColumn("__ld_lines", F.when(F.col("__ld_dropped").isNotNull(), lines))  # split once, not for each line
@@ -169,18 +173,20 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
 def dedup_ctes(docs: str, prefix: str = "l_") -> str:
     """CTEs that end in {prefix}texts (doc_id, n_lines, n_dropped, text)."""
     p = prefix
-    return f"""{p}split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM {docs}),
-{p}lines AS (SELECT doc_id, line, raw, trim(raw, ' ') AS norm FROM {p}split),
-{p}classes AS (SELECT norm, min((doc_id, line)) AS first FROM {p}lines WHERE norm <> '' GROUP BY norm),
+    return f"""{p}rows AS (SELECT row_number() OVER () AS rid, doc_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS th, text FROM {docs}),
+{p}split AS (SELECT rid, doc_id, th, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM {p}rows),
+{p}lines AS (SELECT rid, doc_id, th, line, raw, trim(raw, ' ') AS norm FROM {p}split),
+{p}classes AS (SELECT norm, min((doc_id, th, line)) AS first FROM {p}lines WHERE norm <> '' GROUP BY norm),
 {p}worded AS (SELECT norm, first, string_split(norm, ' ') AS w FROM {p}classes WHERE len(string_split(norm, ' ')) >= {MIN_WORDS}),
 {p}variants AS (
     SELECT norm, first, i, array_to_string(list_concat(w[1:i], w[i + 2:]), ' ') AS v FROM (SELECT *, unnest(range(0, len(w))) AS i FROM {p}worded)
     UNION ALL SELECT norm, first, i, norm AS v FROM (SELECT *, unnest(range(0, len(w) + 1)) AS i FROM {p}worded)),
 {p}leads AS (SELECT i, v, min(first) AS lead FROM {p}variants GROUP BY i, v HAVING count(*) > 1),
 {p}near AS (SELECT DISTINCT a.norm FROM {p}variants a JOIN {p}leads b USING (i, v) WHERE b.lead < a.first),
-{p}marked AS (SELECT l.doc_id, l.line, l.raw, l.norm <> '' AND ((l.doc_id, l.line) <> c.first OR n.norm IS NOT NULL) AS gone
+{p}marked AS (SELECT l.rid, l.line, l.raw, l.norm <> '' AND ((l.doc_id, l.th, l.line) <> c.first OR n.norm IS NOT NULL) AS gone
     FROM {p}lines l LEFT JOIN {p}classes c ON l.norm = c.norm LEFT JOIN {p}near n ON l.norm = n.norm),
-{p}texts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (WHERE NOT coalesce(gone, false)), '') AS text FROM {p}marked GROUP BY doc_id)"""
+{p}found AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(raw, chr(10) ORDER BY line) FILTER (WHERE NOT coalesce(gone, false)), '') AS text FROM {p}marked GROUP BY rid),
+{p}texts AS (SELECT r.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, f.text FROM {p}rows r LEFT JOIN {p}found f USING (rid))"""
 
 
 OP8_SQL = f"WITH {dedup_ctes('documents')}\nSELECT doc_id, n_lines, n_dropped, length(text) AS n_chars_kept, md5(text) AS kept_md5 FROM l_texts"
