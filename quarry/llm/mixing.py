@@ -135,8 +135,12 @@ def with_topic(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, embeddings: DataFrame, **options) -> DataFrame:
-    """Documents raked over source, language and topic, with the decision of each."""
-    return calibrated_mix(with_topic(docs, embeddings), {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("_topic")}, **options)
+    """Documents raked over source, language and topic, with the decision of each.
+
+    Texts are weighed before the join with the topics, which then moves them only if the caller wants them back.
+    """
+    weighed = docs.withColumn("_topic_weight", token_weight())
+    return calibrated_mix(with_topic(weighed, embeddings), {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("_topic")}, weight=F.col("_topic_weight"), **options).drop("_topic_weight")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
