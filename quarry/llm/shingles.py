@@ -44,18 +44,20 @@ def shingle_set(text: str | None, known: WordHashes, width: int = 5) -> np.ndarr
     return np.unique(out)
 
 
-def salts(count: int) -> np.ndarray:
-    """Odd multipliers of the minhash functions, fixed by their number."""
-    return mix(np.arange(1, count + 1, dtype="uint64") * _BASE) | np.uint64(1)
+def salts(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and addends (32 bits) of the minhash functions, fixed by their number."""
+    drawn = mix(np.arange(1, 2 * count + 1, dtype="uint64") * _BASE).astype("uint32")
+    return drawn[:count] | np.uint32(1), drawn[count:]
 
 
-def minhashes(fingerprints: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """The least value under each function x -> high bits of x * multiplier."""
+def minhashes(fingerprints: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least value under each function x -> x * multiplier + addend of 32 bits."""
+    multipliers, addends = functions
+    x = (fingerprints >> np.uint64(32)).astype("uint32")
     out = np.empty(len(multipliers), "uint64")
-    step = max(1, 262_144 // max(1, len(fingerprints)))
+    step = max(1, 65_536 // max(1, len(x)))  # so that the products stay in the processor's cache
     for k in range(0, len(multipliers), step):
-        with np.errstate(over="ignore"):
-            out[k : k + step] = (fingerprints[None, :] * multipliers[k : k + step, None]).min(axis=1)
+        out[k : k + step] = (x[None, :] * multipliers[k : k + step, None] + addends[k : k + step, None]).min(axis=1)
     return out
 
 

@@ -68,10 +68,38 @@ def test_near_duplicates_repeated_rows_and_empty_table(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_rows_that_share_an_id_and_ids_of_text(spark):
+    one, two, three = "a b c d e f g h", "p q r s t u v w", "k l m n o p q r s"
+    rows = [("1", one), ("2", one), ("2", two), ("5", two), ("2", three), (None, three)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), carry=("text",)).collect()
+    assert {(r.doc_id, r.text, r.component_id) for r in got} == {("1", one, "1"), ("2", one, "1"), ("2", two, "2"), ("5", two, "2"), ("2", three, "2"), (None, three, "2")}
+
+
+def test_pipeline_near_dedup_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f g h", "x"), (2, "a b c d e f g h", "x"), (2, "p q r s t u v w", None), (None, "z", "y"), (4, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    assert {tuple(r) for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {rows[0], rows[2], rows[3], rows[4]}
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
 def test_recall_of_the_tensored_tables():
-    """The chance of two sets of similarity 0.75 to meet: measured on the key functions themselves."""
+    """The chance of two sets to meet: as computed at 0.75, and measured on the key functions at 0.75 and 0.1."""
     s = (1 - (1 - 0.75**neardup.ROWS) ** neardup.GROUPS) ** 2
-    assert s > 0.99999
+    assert s > 0.99998
+    rnd = np.random.default_rng(1)
+    functions = neardup.salts(2 * neardup.GROUPS * neardup.ROWS)
+    met = {0.75: 0, 0.1: 0}
+    with np.errstate(over="ignore"):
+        for similarity in met:
+            for _ in range(300):
+                x = rnd.integers(0, 2**64, 700, "uint64")
+                shared = round(700 * similarity)
+                rest = (700 - shared) // 2
+                a, b = (neardup.minhashes(np.r_[x[:shared], part], functions).reshape(2, neardup.GROUPS, neardup.ROWS) for part in (x[shared : shared + rest], x[shared + rest :]))
+                met[similarity] += (a == b).all(axis=2).any(axis=1).all()
+    assert met == {0.75: 300, 0.1: 0}
 
 
 def test_components_of_chains_and_stars(spark):
@@ -227,3 +255,11 @@ def test_merged_transforms_find_repeats():
         count = Counter(b[i : i + 12] for b in blobs for i in range(len(b) - 11))
         want = [[i for i in range(len(b) - 11) if count[b[i : i + 12]] > 1] for b in blobs]
         assert [x.tolist() for x in suffixdedup.repeated_starts(blobs, 12, 3, 3)] == want
+
+
+def test_line_dedup_keeps_other_rows_of_an_id(spark):
+    """Two rows of one id: a line of the one is a copy, the line in its place of the other is not."""
+    rows = [(1, "a line that comes back again"), (2, "a line that comes back again\nown line of the first row"), (2, "fresh words that nobody else has here"), (2, "fresh words that nobody else has here"), (None, "nobody has an id here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in linededup.dedup_lines(df).collect())
+    assert got == [(0, "nobody has an id here"), (1, rows[0][1]), (2, "fresh words that nobody else has here"), (2, "fresh words that nobody else has here"), (2, "own line of the first row")]
