@@ -32,9 +32,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of least id."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates, the one of least id; rows that share an id are judged each by its text."""
+    named = docs.withColumn("_text_of", F.xxhash64("text"))
+    gone = near_duplicates(named, carry=("_text_of",)).filter(~F.col("kept")).select("doc_id", "_text_of")
+    return named.join(gone, ["doc_id", "_text_of"], "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
