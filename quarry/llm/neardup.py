@@ -1,10 +1,11 @@
 """Near-duplicates by MinHash with tensored banding, verified on full shingle sets.
 
 Two collections of `GROUPS` keys each come from 2 * `GROUPS` * `ROWS` minhashes: u_1..u_g and v_1..v_g, every key made
-of `ROWS` values. The tables are all pairs (i, j), keyed by (u_i, v_j): g * g tables of 2 * ROWS values each for the
-minhashes of about 2 * g tables. Two sets of similarity s meet in a table with probability
-(1 - (1 - s ** ROWS) ** g) ** 2. With g = 32 and ROWS = 4 that is all but 1 in 100,000 at 0.75, while 0.76 of the pairs
-at 0.5, 0.05 of those at 0.3 and 0.00001 of those at 0.1 meet, so that loosely similar texts rarely chain.
+of `ROWS` values. The tables are the pairs (i, j) with j from i to i + `BAND` - 1 (round about), keyed by (u_i, v_j):
+g * BAND tables of 2 * ROWS values each for the minhashes of about 2 * g tables. A narrow band keeps the rows of very
+similar sets few, which meet in nearly all tables. Measured with g = 32, ROWS = 4 and a band of 12, two sets of
+similarity 0.75 fail to meet in 3 of 100,000 cases, while of the pairs at 0.5 some 0.6 meet, at 0.3 some 0.02 and at 0.1 none
+of a million, so that loosely similar texts rarely chain.
 
 A table key is only formed from values that another set shares; a lone u_i or v_j cannot meet anything, so this loses
 no pair and leaves few rows. Sets that meet in a table are put into one candidate group (components over the tables'
@@ -34,7 +35,7 @@ from quarry.llm._arrow import ensure_checkpoint_dir
 from quarry.llm.components import connected_components
 from quarry.llm.shingles import WordHashes, minhashes, mix, salts, shingle_set
 
-GROUPS, ROWS = 32, 4
+GROUPS, ROWS, BAND = 32, 4, 12
 BLOCK_SETS, BLOCK_SHINGLES = 1_000, 1_000_000
 #: Most candidate documents for which their ids are broadcast to the scan of the texts (2 longs each); so for large groups.
 BROADCAST_IDS = 200_000
@@ -52,12 +53,17 @@ def _node(one: int, two: int) -> int:
     return int(mix(np.array([one], "int64").view("uint64") * np.uint64(3) + np.array([two], "int64").view("uint64")).view("int64")[0])
 
 
+def _mask(groups: int) -> int:
+    """The last bits of a key: its place among u_1..u_g, v_1..v_g."""
+    return (1 << (2 * groups - 1).bit_length()) - 1
+
+
 def _sketch(groups: int, rows: int, id_column: str, text_column: str, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         known, functions = WordHashes(), salts(2 * groups * rows)
-        place = mix(np.arange(1, 2 * groups + 1, dtype="uint64"))
-        second = (np.arange(2 * groups) >= groups).astype("uint64")
+        place = np.arange(2 * groups, dtype="uint64")
+        mask = np.uint64(_mask(groups))
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for text in batch.column(text_column).to_pylist():
@@ -66,10 +72,10 @@ def _sketch(groups: int, rows: int, id_column: str, text_column: str, carry: tup
                 k = np.zeros(0, "uint64")
                 if len(s):
                     m = minhashes(s, functions).reshape(2 * groups, rows)
-                    k = place.copy()
+                    k = place + np.uint64(1)
                     for r in range(rows):
                         k = mix(k * np.uint64(3) + m[:, r])
-                    k = k & ~np.uint64(1) | second  # the last bit tells u from v
+                    k = k & ~mask | place
                 for column, value in zip(columns, (len(s), one, two, _node(one, two), k.view("int64"))):
                     column.append(value)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
@@ -79,20 +85,22 @@ def _sketch(groups: int, rows: int, id_column: str, text_column: str, carry: tup
 
 
 def sketches(df: DataFrame, groups: int = GROUPS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, its node, and the 2 * groups keys (u even, v odd; none for an empty set)."""
+    """doc_id, n_shingles, two hashes of the whole set, its node, and the 2 * groups keys (none for an empty set)."""
     kinds = dict(df.dtypes)
     schema = ", ".join([f"doc_id {kinds[id_column]}, n_shingles long, h1 long, h2 long, node long, keys array<long>", *(f"{c} {kinds[c]}" for c in carry)])
     return df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *carry).mapInArrow(_sketch(groups, rows, "_id", "_text", carry), schema)
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
+def candidate_links(sets: DataFrame, groups: int = GROUPS, band: int = BAND) -> DataFrame:
     """Distinct (a, b) where b is the least member of a table key that a has; sets: node, keys."""
     place = sets.select("node", F.explode("keys").alias("k"))
     counted = place.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
     shared = place.join(counted, "k", "left_semi")
     per_set = shared.groupBy("node").agg(F.collect_list("k").alias("s"))  # 2 * groups at most
-    per_set = per_set.select("node", F.filter("s", lambda k: k.bitwiseAND(1) == 0).alias("u"), F.filter("s", lambda k: k.bitwiseAND(1) == 1).alias("v"))
-    tables = per_set.select("node", F.explode("u").alias("u"), "v").select("node", "u", F.explode("v").alias("v"))
+    at = lambda k: k.bitwiseAND(F.lit(_mask(groups)))
+    per_set = per_set.select("node", F.filter("s", lambda k: at(k) < groups).alias("u"), F.filter("s", lambda k: at(k) >= groups).alias("v"))
+    per_set = per_set.select("node", F.explode("u").alias("u"), "v")
+    tables = per_set.select("node", "u", F.explode(F.filter("v", lambda k: F.pmod(at(k) - groups - at(F.col("u")), F.lit(groups)) < band)).alias("v"))
     keyed = tables.select("node", F.xxhash64("u", "v").alias("t"))
     least = keyed.groupBy("t").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return keyed.join(least, "t").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
@@ -217,7 +225,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, groups: int = GROUPS, rows
     full = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     reps = classes.drop("keys")
-    candidates = connected_components(candidate_links(classes)).withColumnRenamed("component", "candidate")
+    candidates = connected_components(candidate_links(classes, groups)).withColumnRenamed("component", "candidate")
     groups_of = candidates.join(reps, "node").checkpoint()
     links = settled_links(df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), groups_of, percent)
     linked = connected_components(links).join(groups_of.select("node", "doc_id"), "node")
