@@ -55,7 +55,8 @@ def text_number(text: Column) -> Column:
 
 def document_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """_id, _th (text_number), _line (number from 0), _text (trimmed, never blank), _h1, _h2."""
-    lines = df.select(F.col(id_column).alias("_id"), text_number(F.col(text_column)).alias("_th"), F.posexplode(F.split(F.col(text_column), "\n", -1)).alias("_line", "_text"))
+    rows = df.select(F.col(id_column).alias("_id"), text_number(F.col(text_column)).alias("_th"), F.col(text_column).alias("_whole"))  # hashed before lines are taken apart
+    lines = rows.select("_id", "_th", F.posexplode(F.split("_whole", "\n", -1)).alias("_line", "_text"))
     return lines.withColumn("_text", F.trim("_text")).filter(F.length("_text") > 0).withColumns({"_h1": _hash(F.col("_text")), "_h2": _hash(F.lit("second"), F.col("_text"))})
 
 
