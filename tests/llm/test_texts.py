@@ -154,12 +154,79 @@ def test_shuffled_wrappers_give_the_same(spark, monkeypatch):
     assert sorted(wrappers.extract_main_text(df).collect()) == one
 
 
+def tree(html):
+    root = wrappers.parse(html)
+    wrappers.numbered(root)
+    return root
+
+
 def test_simple_tree_matching_aligns_by_order():
-    a, b = (wrappers.parse(h) for h in ("<div><p>1</p><h2>x</h2><p>2</p></div>", "<div><ul></ul><h2>y</h2><p>3</p></div>"))
-    for t in (a, b):
-        wrappers.numbered(t)
-    pairs = []
-    assert wrappers.match(a, b, pairs) == len(pairs) == 4  # root, div, h2 and the last p
+    a, b = tree("<div><p>1</p><h2>x</h2><p>2</p></div>"), tree("<div><ul></ul><h2>y</h2><p>3</p></div>")
+    weight, pairs = wrappers.match(a, b)
+    assert weight == len(pairs) == 4  # root, div, h2 and the last p
+    # siblings of one label: the optional first block has no partner, because the inner trees weigh more
+    a, b = tree("<div><p>1</p><ul><li>2</li></ul></div><div><h2>3</h2><p>4</p></div>"), tree("<div></div><div><p>1</p><ul><li>2</li></ul></div><div><h2>3</h2><p>4</p></div>")
+    weight, pairs = wrappers.match(a, b)
+    assert weight == len(pairs) == 8 and (1, 2) in pairs
+
+
+def plain_matching(a, b):
+    if wrappers._label(a) != wrappers._label(b):
+        return 0
+    x, y = a.blocks, b.blocks
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + plain_matching(x[i], y[j]))
+    return m[-1][-1] + 1
+
+
+def test_matching_equals_plain_recursion():
+    rnd = random.Random(6)
+
+    def some(depth):
+        return "".join(f"<{t}>{some(depth - 1) if depth else ''}</{t}>" for t in (rnd.choice(["div", "section", "ul"]) for _ in range(rnd.randint(0, 4))))
+
+    for _ in range(400):
+        a, b = tree(some(3)), tree(some(3))
+        weight, pairs = wrappers.match(a, b)
+        nodes = [wrappers.numbered(t) for t in (a, b)]
+        assert weight == len(pairs) == plain_matching(a, b)
+        assert len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs)
+        of = dict(pairs)
+        parents = [{c.number: n.number for n in side for c in n.blocks} for side in nodes]
+        for x, y in pairs:
+            assert wrappers._label(nodes[0][x]) == wrappers._label(nodes[1][y])
+            assert x == y == 0 or of[parents[0][x]] == parents[1][y]
+
+
+def test_long_lists_and_deep_nesting(spark, monkeypatch):
+    deep = "<div>" * 10_000 + "inmost" + "</div>" * 9_000
+    spans = "<p>" + "<span>" * 10_000 + "in spans" + "<div>" * 3_000 + "and blocks"
+    rows = [(k, "http://deep/x", page) for k, page in enumerate([deep, deep + "<p>more</p>", "<ul>" + deep, spans, "</p>" * 5_000 + "end"])]
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "inmost", 1: "inmost more", 2: "inmost", 3: "in spans and blocks", 4: "end"}
+    a, b = tree("<p>1</p><ul></ul>" * 50), tree("<p>1</p><h2>x</h2>" + "<p>1</p><ul></ul>" * 50)
+    best = wrappers.match(a, b)[0]
+    monkeypatch.setattr(wrappers, "CELLS", 10)
+    weight, pairs = wrappers.match(a, b)
+    assert 90 <= weight == len(pairs) <= best == 101
+
+
+def test_wrappers_find_the_content_where_tags_and_names_tell_nothing(spark):
+    """Menus, a notice with text of its own beside blocks, and footers, all plain blocks; some pages have a further block."""
+    rnd = random.Random(8)
+    rows, want = [], {}
+    for k in range(12):
+        text = [" ".join(rnd.choice("stone river cloud paper house tree".split()) + str(rnd.randrange(99)) for _ in range(12)) for _ in range(rnd.randint(1, 4))]
+        extra = f"<div>only here {k}</div>" if k % 3 == 0 else ""
+        body = "".join(f"<div>{t}</div>" for t in text)
+        rows.append((k, f"https://plain.example/{k}", f"<body><div><div>Home</div><div>About us</div></div>{extra}<div>Shown on every page <div>and below it</div></div><div id=post-{k}>{body}</div><div><div>Imprint</div><div>Contact</div></div></body>"))
+        want[k] = " ".join([*([f"only here {k}"] if extra else []), *text])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract_main_text(df).collect()} == want
+    off = {r.page_id: r.text for r in wrappers.extract_main_text(df, least_pages=10**9).collect()}
+    assert all("Home About us" in t and "Imprint" in t and "Shown on every page" in t for t in off.values())
 
 
 # ---- mixing ----
