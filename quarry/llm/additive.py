@@ -13,7 +13,8 @@ which no query needs more than the k + 1 of least id. So copies do not crowd eac
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part; ties go to the smaller
 id; a query with fewer candidates than asked for gets all of them; with fewer training vectors than codewords the
 codebooks are smaller; vectors of a dimension without training vectors are searched exactly; vectors meet those of
-their own dimension; an empty table gives an empty table; rows that share an id count once; other columns play no part.
+their own dimension; an empty table gives an empty table; rows that share an id are rows of their own, as queries and as
+candidates; other columns play no part. A block of no more classes than are reranked is searched exactly.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 7)
 
 def fit(rows: DataFrame, max_train: int = MAX_TRAIN, **options) -> dict[int, np.ndarray]:
     """Codebooks by dimension, from a sample of bounded size."""
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(max_train).toArrow()
+    got = rows.orderBy(F.xxhash64("id", "vector"), "id").limit(max_train).toArrow()
     vectors = [np.array(v) for v in got.column("vector").to_pylist()]
     return {d: train(np.stack([v for v in vectors if len(v) == d]), **options) for d in sorted({len(v) for v in vectors})}
 
@@ -138,7 +139,7 @@ def index(rows: DataFrame, books: dict[int, np.ndarray], block_rows: int = BLOCK
 
 
 def _searcher(shared, k: int, share: float, least: int):
-    def search(q_ids, q, ids, x, codes, scales, starts):
+    def search(q_ids, q, ids, x, floors, codes, scales, starts):
         begin = np.frombuffer(starts, "int64")
         sizes = np.minimum(np.diff(np.r_[begin, len(ids)]), k + 1)
         book = shared.value.get(x.shape[1])
@@ -156,7 +157,7 @@ def _searcher(shared, k: int, share: float, least: int):
                     approx += np.take(part.astype("float32") @ book[m].T, c[m], axis=1)
                 approx *= scale
                 near = np.argpartition(-approx, wide - 1, axis=1)[:, :wide]
-            rows, places, scores = [], [], []
+            found = []
             for a in range(len(part)):
                 at = near[a]
                 exact = (x[at] * part[a]).sum(axis=1)
@@ -165,13 +166,13 @@ def _searcher(shared, k: int, share: float, least: int):
                     at, exact = at[best], exact[best]
                 n = sizes[at]
                 place = np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                score, other = np.repeat(exact, n), ids[place] != q_ids[start + a]
-                place, score = place[other], score[other]
-                top = best_of(score, ids[place], k)
-                rows.append(np.full(len(top), start + a))
-                places.append(place[top])
-                scores.append(score[top])
-            yield np.concatenate(rows), np.concatenate(places), np.concatenate(scores)
+                score = np.repeat(exact, n)
+                top = best_of(score, ids[place], k + 1)
+                mine, of = ids[place[top]], np.repeat(at, n)[top]
+                same = mine == q_ids[start + a]
+                same[same] = (x[of[same]] == part[a]).all(axis=1)
+                found.append((np.full(len(top), start + a), mine, score[top], same))
+            yield tuple(np.concatenate(c) for c in zip(*found))
 
     return search
 

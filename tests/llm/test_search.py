@@ -57,9 +57,45 @@ def test_maxscore_prunes_without_loss():
         x = np.floor(rng.normal(size=(300, 40)) * rng.choice([1, 8, 64], 40))
         q = np.floor(rng.normal(size=40) * rng.choice([0, 1, 50], 40))
         terms, ids = np.ascontiguousarray(x.T), rng.permutation(300)
-        at, s = maxscore.maxscore(q, terms, terms.min(1), terms.max(1), ids, own=7, k=5, step=8)
-        want = sorted(((-(x[c] @ q), ids[c]) for c in range(300) if ids[c] != 7))[:5]
-        assert [(-v, i) for v, i in zip(s, ids[at])] == want
+        want = sorted((-(x[c] @ q), ids[c]) for c in range(300))[:5]
+        for floor in (-np.inf, -want[-1][0], -want[0][0], -want[0][0] + 1):
+            at, s = maxscore.maxscore(q, terms, terms.min(1), terms.max(1), ids, 5, floor, step=8)
+            assert [(-v, i) for v, i in zip(s, ids[at])] == [w for w in want if -w[0] >= floor]
+
+
+def test_maxscore_probes_what_the_threshold_leaves():
+    """Few terms are essential under a high threshold, and the other postings are probed for few vectors."""
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(4000, 64)) * np.r_[[60] * 8, [2] * 56])
+    q = np.floor(rng.normal(size=64) * 20)
+    terms, ids = np.ascontiguousarray(x.T), np.arange(4000)
+    best = np.sort(x @ q)
+    args = (q, terms, terms.min(1), terms.max(1), ids, 6)
+    without, under = [], []
+    maxscore.maxscore(*args, counts=without)
+    maxscore.maxscore(*args, best[-6], counts=under)
+    assert without == [4000 * np.count_nonzero(q), 0]
+    assert under[0] <= 4000 * 12 and sum(under) < 0.5 * sum(without)
+    width = np.sort(np.abs(q * (terms.max(1) - terms.min(1))))[::-1]
+    base = float(np.minimum(q * terms.min(1), q * terms.max(1)).sum())
+    n = maxscore.essential_terms(width, base, best[-6])
+    assert base + width[n:].sum() < best[-6] <= base + width[n - 1 :].sum()
+
+
+@pytest.mark.parametrize("broadcast", [10**9, 200])
+def test_rows_that_share_an_id_are_rows_of_their_own(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 2)
+    rows = [(100, [1.0, 0.5]), (100, [1.0, 0.5]), (100, [-1.0, 0.25]), (7, [0.5, 0.5]), (7, [1.0, 0.5]), (7, [0.5, 0.5]), (9, [0.25, -1.0]), (200, [0.5, -0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for found, k, scale in ((maxscore.exact_top_k(df, F.col("id") % 50 == 0, 4), 4, 256), (additive.nearest(df, F.col("id") % 20 == 0, 5), 5, 1)):
+        want = []
+        for n, (q, x) in enumerate(rows):
+            if q % 100 == 0:
+                best = sorted((-sum(a * b for a, b in zip(x, y)) * scale * scale, c) for m, (c, y) in enumerate(rows) if m != n)[:k]
+                want += [(q, r + 1, c, -v) for r, (v, c) in enumerate(best)]
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == sorted(want)
 
 
 def test_nearest_reaches_its_recall_and_scores_are_exact(spark):
