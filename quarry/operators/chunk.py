@@ -49,7 +49,7 @@ def prose_chunks(grouped: DataFrame, target: int = DEFAULTS.chunk_target_tokens,
 
 
 def build_chunks(blocks: DataFrame, target: int = DEFAULTS.chunk_target_tokens, overlap: int = DEFAULTS.chunk_overlap_sentences, least: int = DEFAULTS.chunk_min_tokens, prefix: str = "chunk") -> DataFrame:
-    """All chunks of the documents: atomic rows, then bullets, then prose of each run; ids count within a document."""
+    """All chunks of the documents: atomic rows, then bullets, then prose of each run; ids name the document and count within it."""
     head = ["section_no", "section_title", "subsection_no", "subsection_title", "page"]
     runs = run_groups(blocks).groupBy("doc_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "kind", "text", "question", "row_subject", *head))).alias("items"))  # a run of one section of one document
     items, none = F.col("items"), F.lit(None).cast("string")
@@ -76,7 +76,7 @@ def describe_chunks(rows: DataFrame, prefix: str = "chunk") -> DataFrame:
     filled = lambda c, default: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(default))
     out = out.withColumns({k: F.array_join(v, " | ") for k, v in facets.items()})
     return out.select(
-        "doc_id", F.concat(F.lit(f"{prefix}-"), F.format_string("%04d", "chunk_id")).alias("id"), "chunk_id", "kind",
+        "doc_id", F.concat(F.lit(f"{prefix}-"), F.col("doc_id").cast("string"), F.format_string("-%04d", "chunk_id")).alias("id"), "chunk_id", "kind",
         F.concat(F.lit("["), "header", F.lit("]\n"), "raw_text").alias("text"), "raw_text", filled("section_no", "0").alias("section_no"), filled("section_title", "General").alias("section_title"),
         filled("subsection_no", "").alias("subsection_no"), filled("subsection_title", "").alias("subsection_title"), "page", "header", tx.est_tokens(text).alias("n_tokens"),
         "amounts", "percentages", "durations", "tiers", ((F.col("amounts") != "") | (F.col("percentages") != "")).alias("has_numbers"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("row_subject", F.lit("")).alias("row_subject"),

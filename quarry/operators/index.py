@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULTS
@@ -19,10 +19,12 @@ def tokens(docs: DataFrame, id_column: str = "id", text_column: str = "text") ->
     return docs.select(F.col(id_column).alias("id"), F.posexplode(index_tokens(F.col(text_column))).alias("pos", "token"))
 
 
-def postings(docs: DataFrame, id_column: str = "id", text_column: str = "text") -> DataFrame:
-    """id, token, tf, dl (length of the document in tokens); one shuffle, with partial counts."""
+def postings(docs: DataFrame, id_column: str = "id", text_column: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """id, token, tf, dl (length of the document in tokens); one shuffle, with partial counts. `only`: (token) to keep."""
     listed = docs.select(F.col(id_column).alias("id"), index_tokens(F.col(text_column)).alias("t"))
     rows = listed.select("id", F.size("t").alias("dl"), F.explode("t").alias("token"))
+    if only is not None:
+        rows = rows.join(only, "token", "left_semi")
     return rows.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").cast("long").alias("dl"))
 
 
@@ -32,9 +34,31 @@ def corpus_stats(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum(F.coalesce(n, F.lit(0))) / F.count(F.lit(1))).alias("avgdl"))
 
 
+def token_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """token, df, length: of each token the documents that have it; of the token null all documents and their length."""
+    listed = docs.select(index_tokens(F.col(text_column)).alias("t"))
+    own = F.array_append(F.array_distinct(F.coalesce("t", F.array().cast("array<string>"))), F.lit(None).cast("string"))
+    rows = listed.select(F.coalesce(F.size("t"), F.lit(0)).alias("n"), F.explode(own).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("token").isNull(), F.greatest("n", F.lit(0)))).alias("length"))
+
+
+def counted_stats(counted: DataFrame) -> DataFrame:
+    """n_docs and avgdl in one row, of token_counts."""
+    return counted.filter("token IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_docs"), (F.sum("length") / F.sum("df")).alias("avgdl"))
+
+
+def counted_terms(counted: DataFrame, stats: DataFrame, epsilon: float = DEFAULTS.bm25_epsilon) -> DataFrame:
+    """token, df, idf, of token_counts."""
+    return _idf(counted.filter("token IS NOT NULL").select("token", "df"), stats, epsilon)
+
+
 def term_stats(posted: DataFrame, stats: DataFrame, epsilon: float = DEFAULTS.bm25_epsilon) -> DataFrame:
     """token, df, idf: Okapi idf, where negative values become `epsilon` times the mean of all idf values."""
-    df = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))  # one row
+    return _idf(posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")), stats, epsilon)
+
+
+def _idf(counts: DataFrame, stats: DataFrame, epsilon: float) -> DataFrame:
+    df = counts.crossJoin(F.broadcast(stats.select("n_docs")))  # one row
     raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + F.lit(0.5).cast("double")) - F.log(F.col("df") + F.lit(0.5).cast("double")))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * F.lit(epsilon)).otherwise(F.col("raw")).alias("idf"))  # one row
@@ -59,12 +83,3 @@ def embed(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], tex
     udf = F.pandas_udf("array<double>")(run)
     return df.withColumn("_raw", udf(F.col(text_column))).withColumn("embedding", l2_normalize(F.col("_raw"))).drop("_raw")
 
-
-def write_index(chunks: DataFrame, path: str) -> None:
-    """Overwrites the collection at `path` with id, document, metadata and embedding, as given."""
-    chunks.write.mode("overwrite").parquet(path)
-
-
-def number_rows(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
-    """A rank over all rows, from 1; for tables of a checked, small size."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

@@ -38,14 +38,22 @@ def cosine(a: Column, b: Column, eps: float = 1e-9) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(eps))
 
 
-def cache_lookup(questions: DataFrame, cache: DataFrame, threshold: float = DEFAULTS.semantic_cache_threshold) -> DataFrame:
+def cache_lookup(questions: DataFrame, cache: DataFrame, threshold: float = DEFAULTS.semantic_cache_threshold, broadcast_entries: int = 4 * DEFAULTS.semantic_cache_size) -> DataFrame:
     """query_id, hit_key, sim: the most similar entry of the question's language, null key when below the threshold.
 
-    questions: query_id, vec, lang; cache: key, vec, lang, last_access (at most its configured size, so it is broadcast).
-    Of equal similarities the entry used longest ago wins. A batch looks up one state of the cache.
+    questions: query_id, vec, lang; cache: key, vec, lang, last_access. A cache is broadcast after a count of its entries;
+    a larger one is cut into blocks, and each block meets every question of its language by an equi-join. Of equal
+    similarities the entry used longest ago wins. A batch looks up one state of the cache.
     """
-    entries = F.broadcast(cache.select(F.col("key").alias("hit_key"), F.col("vec").alias("_v"), F.col("lang"), F.col("last_access").alias("_t")))
-    sims = questions.join(entries, "lang", "left").withColumn("sim", F.round(cosine(F.col("vec"), F.col("_v")), 6))
+    entries = cache.select(F.col("key").alias("hit_key"), F.col("vec").alias("_v"), F.col("lang"), F.col("last_access").alias("_t"))
+    count = entries.count()
+    if count <= broadcast_entries:
+        pairs = questions.join(F.broadcast(entries), "lang", "left")
+    else:
+        blocks = -(-count // broadcast_entries)
+        asked = questions.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = asked.join(entries.withColumn("_block", F.pmod(F.xxhash64("hit_key"), F.lit(blocks)).cast("int")), ["lang", "_block"], "left").drop("_block")
+    sims = pairs.withColumn("sim", F.round(cosine(F.col("vec"), F.col("_v")), 6))
     top = sims.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("sim"), "_t", "hit_key"))).filter("_rn = 1")
     hit = F.col("sim") >= F.lit(threshold)
     return top.select("query_id", F.when(hit, F.col("hit_key")).alias("hit_key"), F.when(hit, F.col("sim")).alias("sim"))

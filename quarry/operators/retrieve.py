@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULTS
 from quarry.functions.text import index_tokens
-from quarry.operators.index import corpus_stats, postings, term_stats
+from quarry.operators.index import counted_stats, counted_terms, postings, token_counts
+from quarry.sources.folders import ensure_checkpoint_dir
 
 #: Stands for the rank of a document that one of the searches did not find.
 NO_RANK = 10_000
@@ -23,18 +24,21 @@ def query_terms(queries: DataFrame, text_column: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(index_tokens(F.col(text_column))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
+def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b, broadcast_terms: int = 10 * DEFAULTS.broadcast_queries) -> DataFrame:
     """query_id, id, score of every document that shares a token with the query (docs: id, text; queries: query_id, text).
 
-    Postings of tokens that no query has never leave the scan's side of the join: the distinct query tokens reduce them
-    first. Sums per (query, document) are partly aggregated before the shuffle.
+    One pass over the documents counts the distinct tokens of each, and with them documents and lengths; it shuffles a
+    row for each token and task. A second pass makes postings, of which only those of tokens in a query are shuffled.
+    Sums per (query, document) are partly aggregated before the shuffle.
     """
-    stats = corpus_stats(docs)
-    posted = postings(docs)
+    counted = token_counts(docs)
+    stats = counted_stats(counted)
     terms = query_terms(queries)
-    weights = term_stats(posted, stats)
-    asked = terms.join(weights, "token")
-    scored = posted.join(asked, "token").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
+    asked = terms.join(counted_terms(counted, stats), "token")
+    few = asked.count() <= broadcast_terms
+    near = F.broadcast if few else (lambda df: df)
+    posted = postings(docs, only=near(terms.select("token").distinct()))
+    scored = posted.join(near(asked), "token").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
     tf = F.col("tf").cast("double")
     part = F.col("qtf") * F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
@@ -102,6 +106,29 @@ def rerank(hits: DataFrame, docs: DataFrame, queries: DataFrame, scorer=None) ->
     return hits.join(text, "id").join(q, "query_id").withColumn("rerank_score", scorer(F.col("_question"), F.col("_text"))).drop("_text", "_question")
 
 
+def rerank_with(hits: DataFrame, docs: DataFrame, queries: DataFrame, reranker) -> DataFrame:
+    """`rerank` with an external reranker: one call a question with its few hits, scores put back by place.
+
+    A place that the reranker leaves out, or a call that fails, scores 0.
+    """
+    kind = dict(hits.dtypes)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in kind.items()), "rerank_score double"])
+    listed = hits.join(docs.select("id", F.col("text").alias("_text")), "id").join(queries.select("query_id", F.col("text").alias("_question")), "query_id").select(*hits.columns, "_text", "_question")
+
+    def run(rows):
+        rows = rows.sort_values(["fused_rank"]).reset_index(drop=True)
+        scores = [0.0] * len(rows)
+        try:
+            for place, score in reranker(rows["_question"][0] or "", [t or "" for t in rows["_text"]]):
+                if 0 <= place < len(scores):
+                    scores[place] = float(score)
+        except Exception:  # noqa: BLE001  a failing reranker must not end the job
+            pass
+        return rows.drop(columns=["_text", "_question"]).assign(rerank_score=scores)
+
+    return listed.groupBy("query_id").applyInPandas(run, schema)  # at most fusion_k rows a question
+
+
 def overlap_score(question: Column, text: Column) -> Column:
     asked = F.array_distinct(index_tokens(question))
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, index_tokens(text))) / F.size(asked)).otherwise(F.lit(0.0))
@@ -131,13 +158,37 @@ def expand_neighbors(final: DataFrame, docs: DataFrame, confident: float = DEFAU
     return held.unionByName(added)
 
 
+def link_by_order(rows: DataFrame, id_column: str = "id") -> DataFrame:
+    """Adds prev_id and next_id, the neighbours by rising id (null at the ends).
+
+    Rows are sorted by ranges of ids; the last and first ids of the ranges, a row for each, link one range to the next.
+    """
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    ranged = rows.repartitionByRange(F.col(id_column)).withColumn("_range", F.spark_partition_id()).checkpoint()
+    w, ends = Window.partitionBy("_range").orderBy(id_column), Window.orderBy("_range")
+    edges = ranged.groupBy("_range").agg(F.min(id_column).alias("_least"), F.max(id_column).alias("_most"))
+    edges = edges.select("_range", F.lag("_most").over(ends).alias("_before"), F.lead("_least").over(ends).alias("_after"))
+    linked = ranged.withColumns({"prev_id": F.lag(id_column).over(w), "next_id": F.lead(id_column).over(w)})
+    linked = linked.join(F.broadcast(edges), "_range")  # a row for each range
+    return linked.withColumns({"prev_id": F.coalesce("prev_id", "_before"), "next_id": F.coalesce("next_id", "_after")}).drop("_range", "_before", "_after")
+
+
 def sparse_dot(a: Column, b: Column) -> Column:
     """Dot product of two maps token -> weight; 0 when either is empty."""
     terms = F.transform(F.map_entries(a), lambda e: F.coalesce(e["value"] * F.try_element_at(b, e["key"]), F.lit(0.0)))
     return F.coalesce(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
-def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, settings=DEFAULTS) -> DataFrame:
+def warm_up(docs: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables cached and read once, so that the first question does not pay for it."""
+    cached = docs.cache(), vectors.cache()
+    for df in cached:
+        df.count()
+    return cached
+
+
+def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, settings=DEFAULTS, reranker=None) -> DataFrame:
     """The whole chain: docs (id, text, section_no, prev_id, next_id), queries (query_id, text) -> final hits."""
     from quarry.operators.nlu import expand_query
 
@@ -145,7 +196,8 @@ def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vect
     sparse = bm25_topk(bm25_scores(docs.select("id", "text"), asked, settings.bm25_k1, settings.bm25_b), settings.sparse_k)
     dense = dense_topk(vectors, query_vectors, settings.dense_k)
     fused = rrf_topk(rrf(merge_hits(dense, sparse, docs), settings.rrf_k), settings.fusion_k)
-    final = final_topk(rerank(fused, docs, queries), settings.final_k)
+    scored = rerank(fused, docs, queries) if reranker is None else rerank_with(fused, docs, queries, reranker)
+    final = final_topk(scored, settings.final_k)
     if settings.neighbor_expansion:
         return expand_neighbors(final, docs, settings.rerank_confident_threshold)
     return final.select("query_id", "id", "rerank_score", "final_rank", F.lit(False).alias("neighbor"))

@@ -6,16 +6,19 @@ rewriter, only new questions pass the cache, only grounded ones reach the genera
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULTS, Settings
 from quarry.operators import guard, memory, nlu, retrieve
 from quarry.operators.index import embed
 from quarry.sources import providers
+from quarry.sources.folders import ensure_checkpoint_dir
 
 
 def _generate(df: DataFrame, generator: providers.Generator) -> DataFrame:
@@ -42,16 +45,87 @@ def _rewrite(df: DataFrame, rewriter: providers.Rewriter) -> DataFrame:
     return rest.unionByName(done.withColumn("standalone", nlu.rewritten(F.col("question"), F.col("history"), F.col("proposed"))).drop("proposed"))
 
 
+class Stages:
+    """Stage marks of the exchange; by itself it lets everything pass."""
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        return df
+
+
+class TimedStages(Stages):
+    """Checkpoints each stage, so that later ones reuse it, and takes its time in milliseconds."""
+
+    def __init__(self):
+        self.began, self.ms, self.kept = time.monotonic(), {}, {}
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        ensure_checkpoint_dir(df.sparkSession)
+        start = time.monotonic()
+        self.kept[name] = df.checkpoint()
+        self.ms[name] = (time.monotonic() - start) * 1000
+        return self.kept[name]
+
+
+@dataclass(frozen=True)
+class Exchange:
+    """What a batch of questions leaves behind, as tables."""
+
+    answers: DataFrame
+    sources: DataFrame  # query_id, final_rank, id, section, page, score, preview; none for small talk, abstained and cached answers
+    sections: DataFrame  # query_id, sections
+    turns: DataFrame  # session_id, seq, question, answer: the memory after the batch
+    cache: DataFrame | None  # the cache after the batch
+    timings: DataFrame  # stage, ms
+
+
+def exchange(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, turns: DataFrame | None = None, cache: DataFrame | None = None, now: int = 0, embedder: providers.Embedder | None = None, settings: Settings = DEFAULTS, **models) -> Exchange:
+    """A batch answered whole: answers, their sources and section lines, memory and cache after it, and stage times.
+
+    turns: session_id, seq, question, answer (the memory before the batch). cache: question, key, vec, lang, answer, last_access; entries that
+    were hit are touched, answers that passed both gates are put, with last_access = now. chunks may have `page`.
+    """
+    spark, stage = questions.sparkSession, TimedStages()
+    embedder = embedder or providers.hashed_embedder()
+    history = None
+    if turns is not None:
+        last = memory.last_turns(turns, settings.memory_turns_for_rewrite)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "question", "answer"))), lambda t: F.struct(t["question"].alias("question"), t["answer"].alias("answer")))  # a few turns
+        history = last.groupBy("session_id").agg(memory.history_text(listed).alias("history"))
+    answers = answer_questions(questions, chunks, vectors, history, cache, embedder, settings=settings, stage=stage, **models).checkpoint()
+    shown = answers.filter("NOT abstained AND NOT cached AND reason <> 'chitchat'").select("query_id")
+    page = F.col("page") if "page" in chunks.columns else F.lit(None).cast("int")
+    texts = chunks.select("id", "text", "header", page.alias("page"))
+    sources = guard.sources(stage.kept["retrieve"].join(shown, "query_id", "left_semi").join(texts, "id"))
+    memorised = answers.filter("reason <> 'chitchat'").select("session_id", F.col("query_id").alias("_q"), "question", F.col("text").alias("answer"))
+    if turns is not None:
+        top = turns.groupBy("session_id").agg(F.max("seq").alias("_top"))
+        memorised = memorised.join(top, "session_id", "left")
+    else:
+        memorised = memorised.withColumn("_top", F.lit(None).cast("long"))
+    order = Window.partitionBy("session_id").orderBy("_q")
+    added = memorised.withColumn("seq", F.coalesce("_top", F.lit(-1).cast("long")) + F.row_number().over(order)).select("session_id", "seq", "question", "answer")
+    after = added if turns is None else turns.select("session_id", F.col("seq").cast("long").alias("seq"), "question", "answer").unionByName(added)
+    stored = None
+    if cache is not None:
+        used = memory.touch(cache, memory.cache_lookup(stage.kept["embed"].select("query_id", F.col("embedding").alias("vec"), F.col("language").alias("lang")), cache, settings.semantic_cache_threshold), F.lit(now).cast("long"))
+        fresh = memory.admit(answers).join(stage.kept["embed"].select("query_id", F.col("embedding").alias("vec")), "query_id")
+        entries = used.select("question", "vec", "lang", "answer", "last_access").unionByName(fresh.select("standalone", "vec", F.col("language").alias("lang"), F.col("text").alias("answer"), F.lit(now).cast("long").alias("last_access")).withColumnRenamed("standalone", "question"))
+        stored = memory.cache_put(entries, settings.semantic_cache_size)
+    stage.ms["total"] = (time.monotonic() - stage.began) * 1000
+    timings = spark.createDataFrame(sorted(stage.ms.items()), "stage string, ms double")
+    return Exchange(answers, sources, guard.section_line(sources), memory.last_turns(after, settings.memory_max_turns), stored, timings)
+
+
 def answer_questions(
     questions: DataFrame, chunks: DataFrame, vectors: DataFrame, history: DataFrame | None = None, cache: DataFrame | None = None,
-    embedder: providers.Embedder | None = None, generator: providers.Generator = providers.first_sentence_generator, rewriter: providers.Rewriter = providers.identity_rewriter, settings: Settings = DEFAULTS,
+    embedder: providers.Embedder | None = None, generator: providers.Generator = providers.first_sentence_generator, rewriter: providers.Rewriter = providers.identity_rewriter, settings: Settings = DEFAULTS, reranker: providers.Reranker | None = None, stage: "Stages | None" = None,
 ) -> DataFrame:
     """query_id, session_id, question, standalone, language, text, abstained, reason, cached, cacheable.
 
     questions: query_id, session_id, question; chunks: id, text, header, section_no, prev_id, next_id; vectors: id,
     embedding; history: session_id, history (text); cache: key, vec, lang, answer, last_access.
     """
-    embedder = embedder or providers.hashed_embedder()
+    embedder, stage = embedder or providers.hashed_embedder(), stage or Stages()
     base = questions.select("query_id", "session_id", "question").withColumns({"language": nlu.detect_language(F.col("question")), "kind": nlu.route(F.col("question"))})
     small = nlu.route_reply(base.filter("kind IS NOT NULL")).select("query_id", "session_id", "question", F.col("question").alias("standalone"), "language", F.col("reply").alias("text"), F.lit(False).alias("abstained"), F.lit("chitchat").alias("reason"), F.lit(False).alias("cached"), F.lit(False).alias("cacheable"))
     asked = base.filter("kind IS NULL").drop("kind")
@@ -59,22 +133,22 @@ def answer_questions(
         asked = asked.join(history.select("session_id", "history"), "session_id", "left").fillna("", ["history"])
     else:
         asked = asked.withColumn("history", F.lit(""))
-    asked = embed(_rewrite(asked, rewriter), embedder, "standalone", settings.embedding_batch)
+    asked = stage("embed", embed(stage("rewrite", _rewrite(asked, rewriter)), embedder, "standalone", settings.embedding_batch))
     out = small
     if cache is not None:
         found = memory.cache_lookup(asked.select("query_id", F.col("embedding").alias("vec"), F.col("language").alias("lang")), cache, settings.semantic_cache_threshold)
-        hits = found.filter("hit_key IS NOT NULL").join(F.broadcast(cache.select(F.col("key").alias("hit_key"), "answer")), "hit_key")  # at most semantic_cache_size rows
+        hits = found.filter("hit_key IS NOT NULL").join(cache.select(F.col("key").alias("hit_key"), "answer"), "hit_key")
         known = asked.join(hits, "query_id")
         out = out.unionByName(known.select("query_id", "session_id", "question", "standalone", "language", F.col("answer").alias("text"), F.lit(False).alias("abstained"), F.lit("").alias("reason"), F.lit(True).alias("cached"), F.lit(False).alias("cacheable")))
         asked = asked.join(hits.select("query_id"), "query_id", "left_anti")
     texts = asked.select("query_id", F.col("standalone").alias("text"))
     expanded = embed(texts.withColumn("asked", nlu.expand_query(F.col("text"))), embedder, "asked", settings.embedding_batch)
-    hits = retrieve.retrieve(chunks, vectors, texts, expanded.select("query_id", F.col("embedding").alias("qvec")), settings)
+    hits = stage("retrieve", retrieve.retrieve(chunks, vectors, texts, expanded.select("query_id", F.col("embedding").alias("qvec")), settings, reranker))
     gate = guard.pre_gate(texts, hits, settings.rerank_abstain_threshold).withColumnRenamed("reason", "pre_reason")
     context = guard.build_context(hits.join(chunks.select("id", "text", "header"), "id"))
     ready = asked.join(gate, "query_id").join(context, "query_id", "left")
     prompt = guard.build_prompt(F.coalesce("context", F.lit("")), F.col("standalone"), F.col("language"))[1]["content"]
-    said = _generate(ready.filter("NOT abstain").withColumn("prompt", prompt), generator).drop("prompt")
+    said = stage("llm", _generate(ready.filter("NOT abstain").withColumn("prompt", prompt), generator).drop("prompt"))
     both = said.unionByName(ready.filter("abstain").withColumn("raw", F.lit("")))
     passes, why = guard.grounding(F.col("raw"), F.coalesce("context", F.lit("")), F.col("language"), settings.grounding_min_overlap, settings.enable_grounding_check)
     decided = guard.decide(both.withColumns({"passes": passes, "why": why})).withColumn("cached", F.lit(False))

@@ -8,7 +8,7 @@ from quarry.functions import lexicon as lx
 from quarry.functions import text as tx
 from quarry.operators import guard, memory, nlu, speech
 from quarry.plans import kb
-from quarry.plans.registry import derived, in_list, query, quoted, strip
+from quarry.plans.registry import derived, in_list, parts, query, quoted, strip
 from quarry.plans.texts import HITS, LANGUAGE
 
 PHR = f"p AS ({kb.PHRASES})"
@@ -82,7 +82,7 @@ def tts_route(spark, d):
     return _phrases(spark, d).select("id", "n", speech.voice_request(F.col("text"), F.col("lang")).alias("r")).select("id", "n", "r.provider", "r.text")
 
 
-@query("tts_degrade")
+@query("tts_degrade", rf"WITH {PHR} SELECT id, n, CASE WHEN {strip('text')} <> '' THEN octet_length(encode(text)) END AS n_bytes, CASE WHEN {strip('text')} = '' THEN 'ValueError: nothing to say' END AS error FROM p")
 def tts_degrade(spark, d):
     def provider(text: str, language: str) -> bytes:
         if not text.strip():
@@ -181,7 +181,19 @@ def stream_cut(spark, d):
     return out.select(F.col("session_id").cast("long").alias("doc_id"), "pos", "sentence")
 
 
-@query("stream_events")
+def _event(kind: str, text: str, grounded: str = "NULL", reason: str = "NULL") -> str:
+    return f"{{'type': '{kind}', 'text': ({text})::VARCHAR, 'grounded': {grounded}::BOOLEAN, 'reason': {reason}::VARCHAR}}"
+
+
+_TOKENS = "list_transform(string_split(replace(s, ' ', ' ' || chr(1)), chr(1)), lambda t: " + _event("token", "t") + ")"
+_SAID = f"flatten(list_transform({parts('raw', '([.!?]) ', r"'\1' || chr(1)")}, lambda s: list_concat({_TOKENS}, [{_event('sentence', 's')}])))"
+_EVENTS = f"""CASE WHEN kind IS NOT NULL THEN [{_event('meta', 'NULL')}, {_event('sentence', 'reply')}, {_event('done', 'reply', 'true', "'chitchat'")}]
+    WHEN lang = 'xx' THEN [{_event('abstain', quoted(lx.ABSTAIN['en']))}] ELSE list_concat([{_event('meta', 'NULL')}], {_SAID}, [{_event('done', strip('raw'), 'true', "''")}]) END"""
+
+
+@query("stream_events", f"""WITH {PHR}, asked AS (SELECT id::VARCHAR || '-' || n::VARCHAR AS session_id, lang, kind, {_REPLY} AS reply, text || ' First part. And the rest' AS raw FROM (SELECT *, {ROUTE} AS kind FROM p)),
+listed AS (SELECT session_id, lang, {_EVENTS} AS l FROM asked), rows AS (SELECT session_id, lang, unnest(l) AS e, unnest(range(0, len(l))) AS seq FROM listed)
+SELECT session_id, seq, e.type AS type, e.text AS text, lang AS language, e.grounded AS grounded, e.reason AS reason FROM rows""")
 def stream_events(spark, d):
     from quarry.streaming.events import exchange_events
 

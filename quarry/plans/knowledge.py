@@ -72,7 +72,7 @@ headed AS (SELECT p.doc_id, p.group_no, p.class, p.seq, p.kind, {strip('p.text')
     JOIN (SELECT doc_id, group_no, arg_min({{'n': section_no, 't': section_title, 'sn': subsection_no, 'st': subsection_title, 'p': page}}, block_no) AS h FROM grouped GROUP BY ALL) a USING (doc_id, group_no)
     LEFT JOIN (SELECT doc_id, block_no, {{'n': section_no, 't': section_title, 'sn': subsection_no, 'st': subsection_title, 'p': page}} AS h FROM grouped) o ON o.doc_id = p.doc_id AND o.block_no = p.block_no),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY group_no, class, seq) - 1 AS chunk_id FROM headed WHERE raw_text <> '' AND {est('raw_text')} >= 8),
-chunks AS (SELECT doc_id, printf('chunk-%04d', chunk_id) AS id, chunk_id, kind, CASE WHEN h.n = '' AND h.sn = '' THEN 'Customer Support Knowledge Base' ELSE concat_ws(' > ', CASE WHEN h.n <> '' THEN 'Section ' || h.n || ': ' || h.t END, CASE WHEN h.sn <> '' THEN h.st END) END AS header, raw_text,
+chunks AS (SELECT doc_id, 'chunk-' || doc_id::VARCHAR || printf('-%04d', chunk_id) AS id, chunk_id, kind, CASE WHEN h.n = '' AND h.sn = '' THEN 'Customer Support Knowledge Base' ELSE concat_ws(' > ', CASE WHEN h.n <> '' THEN 'Section ' || h.n || ': ' || h.t END, CASE WHEN h.sn <> '' THEN h.st END) END AS header, raw_text,
     CASE WHEN h.n = '' THEN '0' ELSE h.n END AS section_no, CASE WHEN h.t = '' THEN 'General' ELSE h.t END AS section_title, h.sn AS subsection_no, h.p AS page, {est('raw_text')} AS n_tokens, coalesce(question, '') AS question, coalesce(row_subject, '') AS row_subject FROM numbered)"""
 
 

@@ -8,6 +8,8 @@ from quarry.functions import lexicon as lx
 from quarry.functions import text as tx
 from quarry.operators import guard, index, memory, nlu, retrieve
 from quarry.plans.registry import est, in_list, parts, query, sentences, strip, table, windows
+from quarry.sources.folders import scratch
+from quarry.sources.store import CollectionStore
 
 TOKENS = "regexp_extract_all(lower({x}), '[a-z0-9$%.]+')"
 
@@ -17,16 +19,12 @@ def scan(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "lang", "source")
 
 
-@query("index_write")
+@query("index_write", "SELECT doc_id AS id, text AS document, lang FROM documents")
 def index_write(spark, d):
-    import os
-    import tempfile
-
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "lang")
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    path = f"{base}/quarry-index-{os.getpid()}"
-    index.write_index(chunks, path)
-    return spark.read.parquet(path)
+    store = CollectionStore(scratch(spark, "index"))
+    store.overwrite(chunks, "documents")
+    return store.read(spark, "documents")
 
 
 @query("est_tokens", f"SELECT doc_id, {est('text')}::INT AS n_tokens FROM documents")
@@ -195,12 +193,9 @@ def final_topk(spark, d):
 
 
 def _linked(spark, d):
-    """Documents as chunks: neighbours by id, the language as section; ids of documents only, so the window is narrow."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("doc_id")
-    ids = table(spark, d, "documents").select("doc_id", "lang").withColumns({"prev_id": F.lag("doc_id").over(w), "next_id": F.lead("doc_id").over(w)})
-    return ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("section_no"), "prev_id", "next_id")
+    """Documents as chunks: neighbours by id, the language as section."""
+    ids = retrieve.link_by_order(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("section_no")))
+    return ids.select("id", "section_no", "prev_id", "next_id")
 
 
 def _hits(spark, d):
@@ -301,9 +296,9 @@ def cache_lookup(spark, d):
     return memory.cache_lookup(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), F.col("label").alias("lang")), cache)
 
 
-@query("cache_evict", f"SELECT key, last_access FROM (SELECT key, max(doc_id) AS last_access FROM (SELECT doc_id, lower({strip('substr(text, 1, 12)')}) AS key FROM documents) GROUP BY key) ORDER BY last_access DESC, key LIMIT 256")
+@query("cache_evict", f"SELECT key, last_access FROM (SELECT key, max(doc_id) AS last_access FROM (SELECT doc_id, lower({strip('text')}) AS key FROM documents) GROUP BY key) ORDER BY last_access DESC, key LIMIT 256")
 def cache_evict(spark, d):
-    docs = table(spark, d, "documents").select(F.substring("text", 1, 12).alias("question"), F.col("doc_id").alias("last_access"))
+    docs = table(spark, d, "documents").select(F.col("text").alias("question"), F.col("doc_id").alias("last_access"))
     return memory.cache_put(docs).select("key", "last_access")
 
 

@@ -43,6 +43,31 @@ def read_lines(spark: SparkSession, path: str, pages: Callable[[bytes], list[str
     return found.select("doc_id", "path", "page", F.posexplode(F.split("text", "\r?\n", -1)).alias("line_no", "raw_line")).withColumn("line_no", (F.col("line_no") + 1).cast("long")).select("doc_id", "path", "page", "line_no", "raw_line")
 
 
+def read_tables(spark: SparkSession, path: str, tables: Callable[[bytes], list[tuple[int, float, float, list[list[str | None]]]]]) -> DataFrame:
+    """doc_id, path, page, table_no (from 1 on each page), top, bottom, rows: the tables that a reader finds in files.
+
+    tables(content) lists (page, top, bottom, rows of cells); a file that it cannot read has none. The regions are what
+    the spatial filter of the parser takes away from the lines, the rows what it makes sentences of.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("doc_id"), "path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, name, content in batch.itertuples(index=False):
+                try:
+                    found = tables(bytes(content))
+                except Exception:  # noqa: BLE001  one unreadable file must not end the job
+                    continue
+                seen: dict[int, int] = {}
+                for page, top, bottom, cells in found:
+                    seen[page] = seen.get(page, 0) + 1
+                    out.append((doc_id, name, page, seen[page], float(top), float(bottom), cells))
+            yield pd.DataFrame(out, columns=["doc_id", "path", "page", "table_no", "top", "bottom", "rows"])
+
+    return files.mapInPandas(run, "doc_id long, path string, page int, table_no int, top double, bottom double, rows array<array<string>>")
+
+
 class CaseSource(DataSource):
     """Evaluation cases from a line format `question | expected ; expected` (nothing after the bar: must abstain)."""
 

@@ -23,6 +23,12 @@ class Rewriter(Protocol):
     def __call__(self, questions: list[str], histories: list[str]) -> list[str | None]: ...
 
 
+class Reranker(Protocol):
+    """(place, score) of the documents of one question, in any order; places left out score 0."""
+
+    def __call__(self, question: str, documents: list[str]) -> list[tuple[int, float]]: ...
+
+
 class Transcriber(Protocol):
     def __call__(self, audio: bytes) -> str: ...
 
@@ -59,5 +65,23 @@ def first_sentence_generator(prompts: list[str]) -> list[str]:
     return out
 
 
+def prompted_rewriter(generator: Generator, user: str = "Customer", assistant: str = "Assistant") -> Rewriter:
+    """A rewriter that asks a generator for the standalone question."""
+
+    def rewrite(questions: list[str], histories: list[str]) -> list[str | None]:
+        return generator([rewrite_prompt(q, h, user, assistant) for q, h in zip(questions, histories)])
+
+    return rewrite
+
+
+def rewrite_prompt(question: str, history: str, user: str = "Customer", assistant: str = "Assistant") -> str:
+    return (
+        f"Below are the last turns between {user} and {assistant}, then a new message of {user}.\n"
+        "State the new message as one question that can be understood without the turns: put the thing meant where a pronoun or an "
+        "omission points to it, keep the language of the message, add nothing else. Reply with the question alone.\n\n"
+        f"{history}\n\nNew message: {question}\nQuestion:"
+    )
+
+
 def identity_rewriter(questions: list[str], histories: list[str]) -> list[str | None]:
     return list(questions)

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder: below the shared checkpoint folder where the session names one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base}/quarry-{name}-{uuid.uuid4().hex}"
+from quarry.sources.folders import scratch
 
 
 def replay(df: DataFrame, transform: Callable[[DataFrame], DataFrame], files_per_trigger: int = 4) -> DataFrame:
@@ -25,7 +18,3 @@ def replay(df: DataFrame, transform: Callable[[DataFrame], DataFrame], files_per
     query = transform(stream).writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{base}/out")
     query.awaitTermination()
     return spark.read.parquet(f"{base}/out")
-
-
-def forget(path: str) -> None:
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
