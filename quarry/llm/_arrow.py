@@ -6,6 +6,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.sources.folders import ensure_checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table; the path may lie in any store that Spark reads."""
@@ -16,19 +18,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; set one only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="quarry-checkpoint-")
-    sc.setCheckpointDir(folder)
-
-
 def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
     """Cut a record batch into runs of rows whose `column` holds about `chars` bytes, at least one row each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
@@ -40,3 +29,6 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+__all__ = ["ensure_checkpoint_dir", "shuffle_partitions", "slices", "table"]
