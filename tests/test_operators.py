@@ -36,7 +36,7 @@ def test_groups_and_chunks(spark):
     df = blocks_of(spark, [(1, "1. A"), (1, long), (1, "2. B"), (1, long), (1, "1. A"), (1, long), (1, "short.")])
     assert [r.group_no for r in chunk.run_groups(df).orderBy("block_no").collect()] == [1, 2, 3, 3]
     chunks = chunk.build_chunks(df).orderBy("chunk_id").collect()
-    assert [(c.id, c.prev_id, c.next_id, c.header) for c in chunks] == [("chunk-1-0000", "", "chunk-1-0001", "Section 1: A"), ("chunk-0001", "chunk-0000", "chunk-1-0002", "Section 2: B"), ("chunk-0002", "chunk-0001", "", "Section 1: A")]
+    assert [(c.id, c.prev_id, c.next_id, c.header) for c in chunks] == [("chunk-1-0000", "", "chunk-1-0001", "Section 1: A"), ("chunk-1-0001", "chunk-1-0000", "chunk-1-0002", "Section 2: B"), ("chunk-1-0002", "chunk-1-0001", "", "Section 1: A")]
     assert chunks[2].raw_text == f"{long} short."
 
 
