@@ -144,7 +144,7 @@ def mix_documents(docs: DataFrame, embeddings: DataFrame, **options) -> DataFram
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
+    mixed = mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), bounded=True)
     return mixed.select("doc_id", F.col("_mix_weight").cast("long").alias("n_tokens"), F.col("_mix_topic").alias("topic"), F.round("_mix_factor", 6).alias("factor"), F.round("_mix_probability", 6).alias("probability"), F.col("_mix_kept").alias("kept"))
 
 
@@ -163,12 +163,26 @@ def mixing_ctes(docs: str, prefix: str = "m_") -> str:
         for n in names:
             out.append(f"{p}f{k + 1} AS MATERIALIZED (SELECT * REPLACE (factor * t_{n} * total / sum(mass * factor) OVER (PARTITION BY m_{n}) AS factor) FROM {p}f{k})")
             k += 1
-    out.append(f"{p}s0 AS (SELECT {KEEP_SHARE}::DOUBLE AS scale)")
-    for r in range(CLIP_ROUNDS):
-        out.append(f"""{p}s{r + 1} AS MATERIALIZED (SELECT CASE WHEN rest > 0 AND budget > full_mass THEN greatest(scale, (budget - full_mass) / rest) ELSE scale END AS scale FROM (
-            SELECT any_value(scale) AS scale, any_value(total) * {KEEP_SHARE}::DOUBLE AS budget, coalesce(sum(mass) FILTER (WHERE factor * scale >= 1), 0) AS full_mass, coalesce(sum(mass * factor) FILTER (WHERE factor * scale < 1), 0) AS rest FROM {p}f{k} CROSS JOIN {p}s{r}))""")
-    out.append(f"""{p}decided AS (SELECT r.* EXCLUDE (m_source, m_lang, m_topic, w), w::BIGINT AS n_tokens, r.m_topic AS topic, factor, least(1.0, factor * scale) AS probability,
-        (('0x' || substr(md5(coalesce(r.doc_id::VARCHAR, '')), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0::DOUBLE < least(1.0, factor * scale) AS kept FROM {p}rows r JOIN {p}f{k} f USING (m_source, m_lang, m_topic) CROSS JOIN {p}s{CLIP_ROUNDS})""")
+    def filled(rows: str, size: str, weight: str, amount: str, name: str, by: str = "") -> str:
+        """`rows` with `name`: weight * level, at most size, so that they add up to `amount` in each group."""
+        group = f"PARTITION BY {by}" if by else ""
+        order = f"({group} ORDER BY CASE WHEN {weight} > 0 THEN {size} / {weight} END NULLS LAST ROWS BETWEEN"
+        levels = f"SELECT *, coalesce(sum({size}) OVER {order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum({weight}) OVER {order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {rows}"
+        top = f"SELECT *, greatest(0, coalesce(max(CASE WHEN rest > 0 THEN ({amount} - held) / rest END) OVER ({group}), 0)) AS level FROM ({levels})"
+        return f"SELECT * EXCLUDE (held, rest, level), least({size}, {weight} * level) AS {name} FROM ({top})"
+
+    out.append(f"{p}budget AS (SELECT sum(mass) * {KEEP_SHARE}::DOUBLE AS budget FROM {p}cells)")
+    for n in names:
+        sizes = f"(SELECT m_{n}, sum(mass) AS size, any_value(t_{n}) AS target, any_value(budget) AS budget FROM {p}f{k} CROSS JOIN {p}budget GROUP BY m_{n})"
+        out.append(f"{p}a_{n} AS MATERIALIZED (SELECT m_{n}, a_{n} FROM ({filled(sizes, 'size', 'target', 'budget', f'a_{n}')}))")
+    out.append(f"{p}k0 AS MATERIALIZED (SELECT f.*, a_source, a_lang, a_topic, least(mass, mass * factor) AS held_mass FROM {p}f{k} f JOIN {p}a_source USING (m_source) JOIN {p}a_lang USING (m_lang) JOIN {p}a_topic USING (m_topic))")
+    j = 0
+    for _ in range(ROUNDS):
+        for n in names:
+            out.append(f"{p}k{j + 1} AS MATERIALIZED (SELECT * EXCLUDE (held_mass, next_mass), next_mass AS held_mass FROM ({filled(f'{p}k{j}', 'mass', 'held_mass', f'a_{n}', 'next_mass', f'm_{n}')}))")
+            j += 1
+    out.append(f"""{p}decided AS (SELECT r.* EXCLUDE (m_source, m_lang, m_topic, w), w::BIGINT AS n_tokens, r.m_topic AS topic, factor, least(1.0, held_mass / mass) AS probability,
+        (('0x' || substr(md5(coalesce(r.doc_id::VARCHAR, '')), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0::DOUBLE < least(1.0, held_mass / mass) AS kept FROM {p}rows r JOIN {p}k{j} f USING (m_source, m_lang, m_topic))""")
     return ",\n".join(out)
 
 
