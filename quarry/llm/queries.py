@@ -23,7 +23,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    scored = score_toxicity(docs.select("doc_id", "text"), model, keep=("doc_id",))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 

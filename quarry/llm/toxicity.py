@@ -153,8 +153,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
     return fit_rows([rows[k] for k in order], [swapped[k] for k in order], y[order], **options)
 
 
-def score_toxicity(df: DataFrame, model: ToxicityModel, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """`df` with the score of each whole text in a further column."""
+def score_toxicity(df: DataFrame, model: ToxicityModel, text_column: str = "text", score_column: str = "score", keep: Sequence[str] | None = None) -> DataFrame:
+    """`df` (its columns `keep`, if named) with the score of each whole text in a further column."""
+    keep = list(df.columns if keep is None else keep)
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.intercept))  # 4 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +177,9 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_column: str = "text
                 buckets = set().union(*map(known.__getitem__, set(WORD(text.lower())))) if text else ()
                 z = intercept + float(sum(weights[b] for b in sorted(buckets)))
                 scores.append(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_column])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(scores, pa.float64())], [*keep, score_column])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c in keep)
     return df.mapInArrow(run, f"{fields}, `{score_column}` double")
 
 
