@@ -79,17 +79,20 @@ def fit_rows(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.nda
     place = np.full(1 << BITS, -1, "int32")
     place[used] = np.arange(len(used))
 
-    def packed(parts: list[np.ndarray], owners: np.ndarray, values: np.ndarray | None = None):
-        fit = [place[p] for p in parts]
-        kept = [c >= 0 for c in fit]
-        cols = np.concatenate([c[k] for c, k in zip(fit, kept)]) if parts else np.zeros(0, "int64")
-        who = np.repeat(owners, [int(k.sum()) for k in kept]) if parts else np.zeros(0, "int64")
-        return cols, who, np.ones(len(cols)) if values is None else values[np.concatenate(kept)] if parts else values
-
-    cols, who, _ = packed(rows, np.arange(len(rows)))
+    def used_of(part: np.ndarray) -> np.ndarray:
+        found = place[part]
+        return found[found >= 0]
+
+    def packed(parts: list[np.ndarray], owners: np.ndarray):
+        return np.concatenate([*parts, np.zeros(0, "int32")]), np.repeat(owners, [len(c) for c in parts])
+
+    # from here on only what is used of each row is held
+    rows, swapped = [used_of(r) for r in rows], [None if r is None else used_of(r) for r in swapped]
+    cols, who = packed(rows, np.arange(len(rows)))
     pairs = [(a, b) for a, b in zip(rows, swapped) if b is not None]
     gone, came = [np.setdiff1d(a, b) for a, b in pairs], [np.setdiff1d(b, a) for a, b in pairs]
-    d_cols, d_who, d_vals = packed(gone + came, np.concatenate([np.arange(len(pairs))] * 2) if pairs else np.zeros(0, "int64"), np.concatenate([np.ones(sum(map(len, gone))), -np.ones(sum(map(len, came)))]))
+    d_cols, d_who = packed(gone + came, np.tile(np.arange(len(pairs)), 2))
+    d_vals = np.repeat([1.0, -1.0], [sum(map(len, gone)), sum(map(len, came))])
     n, p = len(rows), len(used)
     rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     b = float(np.log(rate / (1 - rate)))
@@ -145,12 +148,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
     chosen = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label")).dropna().withColumn("_order", F.crc32(F.concat(F.lit("train:"), F.col("_id").cast("string")).cast("binary"))).orderBy("_order", "_id", "label").limit(max_train)
     joined = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "_id").select("label", "text")  # at most max_train ids
     got = joined.mapInArrow(_training_rows(_swaps(identity_groups)), "label int, plain binary, swapped binary").toArrow()
-    rows = [np.frombuffer(x, "int32") for x in got.column("plain").to_pylist()]
-    swapped = [None if x is None else np.frombuffer(x, "int32") for x in got.column("swapped").to_pylist()]
+    rows, swapped = ([None if not x.is_valid else np.frombuffer(x.as_buffer(), "int32") for x in got.column(c)] for c in ("plain", "swapped"))  # views, not copies
     y = np.array(got.column("label").to_pylist(), "float64")
-    del got
     order = sorted(range(len(rows)), key=lambda k: (zlib.crc32(rows[k]), len(rows[k]), y[k]))  # partitions arrive in any order
-    return fit_rows([rows[k] for k in order], [swapped[k] for k in order], y[order], **options)
+    model = fit_rows([rows[k] for k in order], [swapped[k] for k in order], y[order], **options)
+    del got, rows, swapped
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_column: str = "text", score_column: str = "score", keep: Sequence[str] | None = None) -> DataFrame:
