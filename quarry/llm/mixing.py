@@ -53,6 +53,7 @@ def rake(cells: DataFrame, margins: Mapping[str, float | DataFrame], mass: str =
     A margin's target is an exponent (shares of the mass raised to it), or a DataFrame (value, share). The last margin
     is met exactly, the others as nearly as the rounds allow.
     """
+    ensure_checkpoint_dir(cells.sparkSession)
     total = Window.partitionBy(F.lit(0))
     sums = cells.agg(F.sum(mass).alias("_total"))
     out = cells.withColumn("factor", F.lit(1.0))
@@ -65,6 +66,7 @@ def rake(cells: DataFrame, margins: Mapping[str, float | DataFrame], mass: str =
         for name in margins:
             now = F.sum(F.col(mass) * F.col("factor")).over(Window.partitionBy(name))
             out = out.withColumn("factor", F.when(now > 0, F.col("factor") * F.col(f"_t_{name}") * F.col("_total") / now).otherwise(F.lit(0.0)))
+        out = out.checkpoint()  # the cells are few, but a plan of all rounds is large for the driver
     return out.select(*cells.columns, "factor")
 
 
@@ -97,6 +99,7 @@ def rake_bounded(raked: DataFrame, margins: Mapping[str, float | DataFrame], bud
     for _ in range(rounds):
         for name in margins:
             out = _filled(out, mass, "_kept", F.col(f"_a_{name}"), "_next", name).withColumn("_kept", F.col("_next")).drop("_next")
+        out = out.checkpoint()
     return out.select(*raked.columns, F.least(F.lit(1.0), F.col("_kept") / F.col(mass)).alias("probability"))
 
 
@@ -113,7 +116,7 @@ def calibrated_mix(df: DataFrame, margins: Mapping[str, Column], targets: Mappin
     named = {name: f"{prefix}{name}" for name in margins}
     rows = df.withColumns({named[n]: F.coalesce(c.cast("string"), F.lit("")) for n, c in margins.items()}).withColumn(f"{prefix}weight", weight if weight is not None else token_weight())
     cells = rows.groupBy(*named.values()).agg(F.sum(f"{prefix}weight").alias("mass"))
-    raked = rake(cells, {named[n]: targets[n] for n in margins}, rounds=rounds).checkpoint()
+    raked = rake(cells, {named[n]: targets[n] for n in margins}, rounds=rounds)
     budget, top, count = raked.agg(F.sum("mass") * F.lit(float(keep_share)), F.lit(0.0), F.count(F.lit(1))).first()
     scale = float(keep_share)
     for _ in range(0 if bounded else CLIP_ROUNDS):
@@ -121,7 +124,7 @@ def calibrated_mix(df: DataFrame, margins: Mapping[str, Column], targets: Mappin
         if rest and budget > (full or 0.0):
             scale = max(scale, (budget - (full or 0.0)) / rest)
     if bounded:
-        raked = rake_bounded(raked, {named[n]: targets[n] for n in margins}, budget or 0.0, rounds=rounds).checkpoint()
+        raked = rake_bounded(raked, {named[n]: targets[n] for n in margins}, budget or 0.0, rounds=rounds)
     probability = F.col("probability") if bounded else F.least(F.lit(1.0), F.col("factor") * F.lit(scale))
     cells = raked.select(*named.values(), F.col("factor").alias(f"{prefix}factor"), probability.alias(f"{prefix}probability"))
     joined = rows.join(F.broadcast(cells) if count <= BROADCAST_CELLS else cells, list(named.values()))
