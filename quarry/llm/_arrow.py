@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +23,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def frugal(run):
+    """An Arrow function whose worker gives memory back to the system at the end of a task.
+
+    Workers wait for further tasks, beside stages that need the memory for themselves.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others need no asking
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
     """Cut a record batch into runs of rows whose `column` holds about `chars` bytes, at least one row each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
@@ -31,4 +56,10 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
         yield batch.slice(start)
 
 
-__all__ = ["ensure_checkpoint_dir", "shuffle_partitions", "slices", "table"]
+def texts(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
+    """The strings of a column one by one; as Python's strings, only about `chars` bytes of them exist at a time."""
+    for part in slices(batch, column, chars):
+        yield from part.column(column).to_pylist()
+
+
+__all__ = ["ensure_checkpoint_dir", "frugal", "shuffle_partitions", "slices", "table", "texts"]

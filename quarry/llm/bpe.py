@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.llm._arrow import frugal
+
 #: Bytes of text that a task splits at once; its memory follows from this and from the bound on what it remembers.
 SLICE_BYTES = 8_000_000
 KNOWN_PARTS = 250_000
@@ -282,7 +284,7 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "d
         blob = df.sparkSession.sparkContext.broadcast(f.read())
     kind = dict(df.dtypes)[id_column]
     schema = ", ".join([f"`{id_column}` {kind}", *(f"{k} {KINDS[k]}" for k in outputs)])
-    return df.select(id_column, text_column).mapInArrow(_encoder(blob, pattern, id_column, text_column, tuple(outputs), cache_size), schema)
+    return df.select(id_column, text_column).mapInArrow(frugal(_encoder(blob, pattern, id_column, text_column, tuple(outputs), cache_size)), schema)
 
 
 def bpe_decode(df: DataFrame, ranks_path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._arrow import ensure_checkpoint_dir
+from quarry.llm._arrow import ensure_checkpoint_dir, frugal, texts
 from quarry.llm.components import connected_components
 from quarry.llm.shingles import WordHashes, minhashes, mix, salts, shingle_set
 
@@ -66,7 +66,7 @@ def _sketch(groups: int, rows: int, id_column: str, text_column: str, carry: tup
         mask = np.uint64(_mask(groups))
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
-            for text in batch.column(text_column).to_pylist():
+            for text in texts(batch, text_column):
                 s = shingle_set(text, known)
                 one, two = _hashes(s)
                 k = np.zeros(0, "uint64")
@@ -88,7 +88,7 @@ def sketches(df: DataFrame, groups: int = GROUPS, rows: int = ROWS, id_column: s
     """doc_id, n_shingles, two hashes of the whole set, its node, and the 2 * groups keys (none for an empty set)."""
     kinds = dict(df.dtypes)
     schema = ", ".join([f"doc_id {kinds[id_column]}, n_shingles long, h1 long, h2 long, node long, keys array<long>", *(f"{c} {kinds[c]}" for c in carry)])
-    return df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *carry).mapInArrow(_sketch(groups, rows, "_id", "_text", carry), schema)
+    return df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *carry).mapInArrow(frugal(_sketch(groups, rows, "_id", "_text", carry)), schema)
 
 
 def candidate_links(sets: DataFrame, groups: int = GROUPS, band: int = BAND) -> DataFrame:
@@ -209,7 +209,7 @@ def settled_links(texts: DataFrame, groups_of: DataFrame, percent: int = 75) ->
     large = F.broadcast(large) if large.count() <= BROADCAST_IDS // 20 else large
     wanted = groups_of.withColumnRenamed("doc_id", "_rep")
     picked = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, F.col("doc_id") == F.col("_rep")).select("node", "candidate", "text")
-    sets = picked.mapInArrow(_fingerprints, "node long, candidate long, fingerprints binary").withColumn("n_shingles", F.length("fingerprints") / 8)
+    sets = picked.mapInArrow(frugal(_fingerprints), "node long, candidate long, fingerprints binary").withColumn("n_shingles", F.length("fingerprints") / 8)
     placed = sets.join(large, "candidate", "left").withColumn("p", F.explode(_places(percent))).select("candidate", "p", "node", "fingerprints")
     return placed.groupBy("candidate", "p").applyInArrow(_settle(percent), "a long, b long")
 

@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator, Mapping
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.llm._arrow import frugal
 from quarry.llm.bpe import CHUNKABLE, KNOWN_PARTS, SLICE_BYTES, Known, chunks, load_ranks
 
 
@@ -107,7 +108,7 @@ def token_counts(df: DataFrame, vocabulary_path: str, pattern: str, id_column: s
                 sums = [sum(map(known.__getitem__, split(text))) for text in texts]
                 yield pa.RecordBatch.from_arrays([part.column(id_column), pc.fill_null(pc.utf8_length(part.column(text_column)), 0).cast(pa.int64()), pa.array([s >> 40 for s in sums], pa.int64()), pa.array([s & (1 << 40) - 1 for s in sums], pa.int64())], [id_column, "n_chars", "n_pretokens", "n_tokens"])
 
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {dict(df.dtypes)[id_column]}, n_chars long, n_pretokens long, n_tokens long")
+    return df.select(id_column, text_column).mapInArrow(frugal(run), f"`{id_column}` {dict(df.dtypes)[id_column]}, n_chars long, n_pretokens long, n_tokens long")
 
 
 __all__ = ["Trie", "load_ranks", "token_counts", "zipf_scores"]

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._arrow import frugal, texts
+
 #: Terms that name groups of people, by kind; a term is swapped for the next of its kind.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("muslims", "christians", "jews", "hindus", "buddhists"), ("muslim", "christian", "jewish", "hindu", "buddhist"),
@@ -134,7 +136,7 @@ def _training_rows(swaps: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             plain, other = [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts(batch, "text"):
                 words = set(WORD((text or "").lower()))
                 plain.append(features(words).tobytes())
                 other.append(features({swaps.get(w, w) for w in words}).tobytes() if not words.isdisjoint(swaps) else None)
@@ -147,7 +149,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
     """Fit on at most `max_train` labelled documents; `labels` must already lack the held-out rows."""
     chosen = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label")).dropna().withColumn("_order", F.crc32(F.concat(F.lit("train:"), F.col("_id").cast("string")).cast("binary"))).orderBy("_order", "_id", "label").limit(max_train)
     joined = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "_id").select("label", "text")  # at most max_train ids
-    got = joined.mapInArrow(_training_rows(_swaps(identity_groups)), "label int, plain binary, swapped binary").toArrow()
+    got = joined.mapInArrow(frugal(_training_rows(_swaps(identity_groups))), "label int, plain binary, swapped binary").toArrow()
     rows, swapped = ([None if not x.is_valid else np.frombuffer(x.as_buffer(), "int32") for x in got.column(c)] for c in ("plain", "swapped"))  # views, not copies
     y = np.array(got.column("label").to_pylist(), "float64")
     order = sorted(range(len(rows)), key=lambda k: (zlib.crc32(rows[k]), len(rows[k]), y[k]))  # partitions arrive in any order
@@ -169,7 +171,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_column: str = "text
             """What a word adds: its buckets of weight other than zero."""
 
             def __missing__(self, word: str) -> tuple[int, ...]:
-                if len(self) > 300_000:
+                if len(self) > 200_000:
                     self.clear()
                 found = self[word] = tuple(b for b in word_features(word) if weights[b])
                 return found
@@ -177,14 +179,14 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_column: str = "text
         known = Weights()
         for batch in batches:
             scores = []
-            for text in batch.column(text_column).to_pylist():
+            for text in texts(batch, text_column):
                 buckets = set().union(*map(known.__getitem__, set(WORD(text.lower())))) if text else ()
                 z = intercept + float(sum(weights[b] for b in sorted(buckets)))
                 scores.append(float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
             yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(scores, pa.float64())], [*keep, score_column])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c in keep)
-    return df.mapInArrow(run, f"{fields}, `{score_column}` double")
+    return df.mapInArrow(frugal(run), f"{fields}, `{score_column}` double")
 
 
 def held_out(id_column: str = "doc_id"):
