@@ -12,6 +12,8 @@ from quarry.llm.additive import op6_nearest
 from quarry.llm.linededup import OP8_SQL, op8_line_dedup
 from quarry.llm.maxscore import OP2_SQL, op2_exact_top_k
 from quarry.llm.mixing import OP10_SQL, op10_mixing
+from quarry.llm.positional import OP11_SQL, op11_decontaminate
+from quarry.llm.resampling import OP12_SQL, op12_resample
 
 
 #: Scores from here on are rejected.
@@ -72,10 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_resample": op12_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": OP2_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_decontaminate": OP11_SQL,
+    "op12_resample": OP12_SQL,
 }
