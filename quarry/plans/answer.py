@@ -7,7 +7,7 @@ rewriter, only new questions pass the cache, only grounded ones reach the genera
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULTS, Settings
+from quarry.functions import text as tx
 from quarry.operators import guard, memory, nlu, retrieve
+from quarry.operators.cache_order import cache_replay
 from quarry.operators.index import embed
 from quarry.sources import providers
 from quarry.sources.folders import ensure_checkpoint_dir
@@ -53,7 +55,7 @@ class Stages:
 
 
 class TimedStages(Stages):
-    """Checkpoints each stage, so that later ones reuse it, and takes its time in milliseconds."""
+    """Checkpoints each stage, so that later ones reuse it, and adds up its time in milliseconds."""
 
     def __init__(self):
         self.began, self.ms, self.kept = time.monotonic(), {}, {}
@@ -61,9 +63,10 @@ class TimedStages(Stages):
     def __call__(self, name: str, df: DataFrame) -> DataFrame:
         ensure_checkpoint_dir(df.sparkSession)
         start = time.monotonic()
-        self.kept[name] = df.checkpoint()
-        self.ms[name] = (time.monotonic() - start) * 1000
-        return self.kept[name]
+        done = df.checkpoint()
+        self.kept[name] = self.kept[name].unionByName(done) if name in self.kept else done
+        self.ms[name] = self.ms.get(name, 0.0) + (time.monotonic() - start) * 1000
+        return done
 
 
 @dataclass(frozen=True)
@@ -78,11 +81,12 @@ class Exchange:
     timings: DataFrame  # stage, ms
 
 
-def exchange(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, turns: DataFrame | None = None, cache: DataFrame | None = None, now: int = 0, embedder: providers.Embedder | None = None, settings: Settings = DEFAULTS, **models) -> Exchange:
+def exchange(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, turns: DataFrame | None = None, cache: DataFrame | None = None, now: int = 0, embedder: providers.Embedder | None = None, settings: Settings = DEFAULTS, rewriter: providers.Rewriter = providers.identity_rewriter, **models) -> Exchange:
     """A batch answered whole: answers, their sources and section lines, memory and cache after it, and stage times.
 
-    turns: session_id, seq, question, answer (the memory before the batch). cache: question, key, vec, lang, answer, last_access; entries that
-    were hit are touched, answers that passed both gates are put, with last_access = now. chunks may have `page`.
+    turns: session_id, seq, question, answer (the memory before the batch). cache: question, key, vec, lang, answer, last_access and, if
+    there is one, last_query. Questions use the cache in the order of query_id: answers that passed both gates are stored and serve later questions,
+    the oldest entries go in between (`cache_replay`). Entries stored or hit get last_access = now and last_query. chunks may have `page`.
     """
     spark, stage = questions.sparkSession, TimedStages()
     embedder = embedder or providers.hashed_embedder()
@@ -91,7 +95,11 @@ def exchange(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, turns:
         last = memory.last_turns(turns, settings.memory_turns_for_rewrite)
         listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "question", "answer"))), lambda t: F.struct(t["question"].alias("question"), t["answer"].alias("answer")))  # a few turns
         history = last.groupBy("session_id").agg(memory.history_text(listed).alias("history"))
-    answers = answer_questions(questions, chunks, vectors, history, cache, embedder, settings=settings, stage=stage, **models).checkpoint()
+    small, asked = prepare(questions, history, embedder, rewriter, settings, stage)
+    if cache is None:
+        answers, stored = small.unionByName(answer_prepared(asked, chunks, vectors, embedder, settings=settings, stage=stage, **models)).checkpoint(), None
+    else:
+        answers, stored = _with_cache(small, asked, cache, now, settings, lambda rows: answer_prepared(rows, chunks, vectors, embedder, settings=settings, stage=stage, **models))
     shown = answers.filter("NOT abstained AND NOT cached AND reason <> 'chitchat'").select("query_id")
     page = F.col("page") if "page" in chunks.columns else F.lit(None).cast("int")
     texts = chunks.select("id", "text", "header", page.alias("page"))
@@ -105,17 +113,61 @@ def exchange(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, turns:
     order = Window.partitionBy("session_id").orderBy("_q")
     added = memorised.withColumn("seq", F.coalesce("_top", F.lit(-1).cast("long")) + F.row_number().over(order)).select("session_id", "seq", "question", "answer")
     after = added if turns is None else turns.select("session_id", F.col("seq").cast("long").alias("seq"), "question", "answer").unionByName(added)
-    stored = None
-    if cache is not None:
-        used = memory.touch(cache, memory.cache_lookup(stage.kept["embed"].select("query_id", F.col("embedding").alias("vec"), F.col("language").alias("lang")), cache, settings.semantic_cache_threshold), F.lit(now).cast("long"))
-        fresh = memory.admit(answers).join(stage.kept["embed"].select("query_id", F.col("embedding").alias("vec")), "query_id")
-        entries = used.select("question", "vec", "lang", "answer", "last_access").unionByName(fresh.select("standalone", "vec", F.col("language").alias("lang"), F.col("text").alias("answer"), F.lit(now).cast("long").alias("last_access")).withColumnRenamed("standalone", "question"))
-        stored = memory.cache_put(entries, settings.semantic_cache_size)
     stage.ms["total"] = (time.monotonic() - stage.began) * 1000
     timings = spark.createDataFrame(sorted(stage.ms.items()), "stage string, ms double")
     return Exchange(answers, sources, guard.section_line(sources), memory.last_turns(after, settings.memory_max_turns), stored, timings)
 
 
+def _with_cache(small: DataFrame, asked: DataFrame, cache: DataFrame, now: int, settings: Settings, answer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Answers of a batch that uses the cache in order, and the cache after it.
+
+    Only questions that miss are answered. Whether an answer may be stored is known once it is there, so questions not yet answered
+    count as storable; where one turns out not to be, later questions may miss in turn and are answered in another round.
+    """
+    keyed = asked.select("query_id", F.lower(tx.strip(F.col("standalone"))).alias("key"), F.col("embedding").alias("vec"), F.col("language").alias("lang"))
+    held = cache.withColumn("last_query", F.col("last_query").cast("long") if "last_query" in cache.columns else F.lit(None).cast("long"))
+    known = None
+    while True:
+        verdicts = keyed.withColumn("cacheable", F.lit(True)) if known is None else keyed.join(known.select("query_id", "cacheable"), "query_id", "left").fillna(True, ["cacheable"])
+        used = cache_replay(verdicts, held, settings.semantic_cache_size, settings.semantic_cache_threshold)
+        missed = used.decisions.filter("hit_key IS NULL").select("query_id")
+        if known is not None:
+            missed = missed.join(known.select("query_id"), "query_id", "left_anti")
+        missed = missed.checkpoint()
+        if missed.isEmpty():
+            break
+        more = answer(asked.join(missed, "query_id")).checkpoint()
+        known = more if known is None else known.unionByName(more).checkpoint()
+    hits = used.decisions.filter("hit_key IS NOT NULL")
+    old = hits.filter("hit_source IS NULL").join(cache.select(F.col("key").alias("hit_key"), "answer"), "hit_key").select("query_id", "answer")
+    columns = ["query_id", "session_id", "question", "standalone", "language"]
+    out = small
+    if known is not None:
+        out = out.unionByName(known.join(used.decisions.filter("hit_key IS NULL").select("query_id"), "query_id", "left_semi"))
+        old = old.unionByName(hits.join(known.select(F.col("query_id").alias("hit_source"), F.col("text").alias("answer")), "hit_source").select("query_id", "answer"))
+    served = asked.join(old, "query_id").select(*columns, F.col("answer").alias("text"), F.lit(False).alias("abstained"), F.lit("").alias("reason"), F.lit(True).alias("cached"), F.lit(False).alias("cacheable"))
+    fields = ["question", "key", "vec", "lang", "answer", "last_access", "last_query"]
+    state = used.state.withColumns({"last_query": F.col("used")})
+    kept = state.filter("source IS NULL").join(held.withColumnRenamed("last_query", "_before"), "key").withColumns({"last_access": F.when(F.col("used").isNull(), F.col("last_access")).otherwise(F.lit(now)).cast("long"), "last_query": F.coalesce("used", "_before")}).select(*fields)
+    if known is not None:
+        fresh = known.select(F.col("query_id").alias("source"), F.col("standalone").alias("question"), F.col("text").alias("answer"))
+        entries = state.filter("source IS NOT NULL").join(fresh, "source").join(keyed.select(F.col("query_id").alias("source"), "vec", "lang"), "source").withColumn("last_access", F.lit(now).cast("long"))
+        kept = kept.unionByName(entries.select(*fields))
+    return out.unionByName(served.select(*out.columns)).checkpoint(), kept
+
+
+def prepare(questions: DataFrame, history: DataFrame | None, embedder: providers.Embedder, rewriter: providers.Rewriter, settings: Settings, stage: "Stages") -> tuple[DataFrame, DataFrame]:
+    """Answered small talk, and the other questions with language, history, standalone form and embedding."""
+    base = questions.select("query_id", "session_id", "question").withColumns({"language": nlu.detect_language(F.col("question")), "kind": nlu.route(F.col("question"))})
+    small = nlu.route_reply(base.filter("kind IS NOT NULL")).select("query_id", "session_id", "question", F.col("question").alias("standalone"), "language", F.col("reply").alias("text"), F.lit(False).alias("abstained"), F.lit("chitchat").alias("reason"), F.lit(False).alias("cached"), F.lit(False).alias("cacheable"))
+    asked = base.filter("kind IS NULL").drop("kind")
+    if history is not None:
+        asked = asked.join(history.select("session_id", "history"), "session_id", "left").fillna("", ["history"])
+    else:
+        asked = asked.withColumn("history", F.lit(""))
+    return small, stage("embed", embed(stage("rewrite", _rewrite(asked, rewriter)), embedder, "standalone", settings.embedding_batch))
+
+
 def answer_questions(
     questions: DataFrame, chunks: DataFrame, vectors: DataFrame, history: DataFrame | None = None, cache: DataFrame | None = None,
     embedder: providers.Embedder | None = None, generator: providers.Generator = providers.first_sentence_generator, rewriter: providers.Rewriter = providers.identity_rewriter, settings: Settings = DEFAULTS, reranker: providers.Reranker | None = None, stage: "Stages | None" = None,
@@ -126,14 +178,7 @@ def answer_questions(
     embedding; history: session_id, history (text); cache: key, vec, lang, answer, last_access.
     """
     embedder, stage = embedder or providers.hashed_embedder(), stage or Stages()
-    base = questions.select("query_id", "session_id", "question").withColumns({"language": nlu.detect_language(F.col("question")), "kind": nlu.route(F.col("question"))})
-    small = nlu.route_reply(base.filter("kind IS NOT NULL")).select("query_id", "session_id", "question", F.col("question").alias("standalone"), "language", F.col("reply").alias("text"), F.lit(False).alias("abstained"), F.lit("chitchat").alias("reason"), F.lit(False).alias("cached"), F.lit(False).alias("cacheable"))
-    asked = base.filter("kind IS NULL").drop("kind")
-    if history is not None:
-        asked = asked.join(history.select("session_id", "history"), "session_id", "left").fillna("", ["history"])
-    else:
-        asked = asked.withColumn("history", F.lit(""))
-    asked = stage("embed", embed(stage("rewrite", _rewrite(asked, rewriter)), embedder, "standalone", settings.embedding_batch))
+    small, asked = prepare(questions, history, embedder, rewriter, settings, stage)
     out = small
     if cache is not None:
         found = memory.cache_lookup(asked.select("query_id", F.col("embedding").alias("vec"), F.col("language").alias("lang")), cache, settings.semantic_cache_threshold)
@@ -141,6 +186,12 @@ def answer_questions(
         known = asked.join(hits, "query_id")
         out = out.unionByName(known.select("query_id", "session_id", "question", "standalone", "language", F.col("answer").alias("text"), F.lit(False).alias("abstained"), F.lit("").alias("reason"), F.lit(True).alias("cached"), F.lit(False).alias("cacheable")))
         asked = asked.join(hits.select("query_id"), "query_id", "left_anti")
+    return out.unionByName(answer_prepared(asked, chunks, vectors, embedder, generator, settings, reranker, stage))
+
+
+def answer_prepared(asked: DataFrame, chunks: DataFrame, vectors: DataFrame, embedder: providers.Embedder, generator: providers.Generator = providers.first_sentence_generator, settings: Settings = DEFAULTS, reranker: providers.Reranker | None = None, stage: "Stages | None" = None) -> DataFrame:
+    """Answers of prepared questions by retrieval, generation and the gates."""
+    stage = stage or Stages()
     texts = asked.select("query_id", F.col("standalone").alias("text"))
     expanded = embed(texts.withColumn("asked", nlu.expand_query(F.col("text"))), embedder, "asked", settings.embedding_batch)
     hits = stage("retrieve", retrieve.retrieve(chunks, vectors, texts, expanded.select("query_id", F.col("embedding").alias("qvec")), settings, reranker))
@@ -152,4 +203,4 @@ def answer_questions(
     both = said.unionByName(ready.filter("abstain").withColumn("raw", F.lit("")))
     passes, why = guard.grounding(F.col("raw"), F.coalesce("context", F.lit("")), F.col("language"), settings.grounding_min_overlap, settings.enable_grounding_check)
     decided = guard.decide(both.withColumns({"passes": passes, "why": why})).withColumn("cached", F.lit(False))
-    return out.unionByName(decided.select(*out.columns))
+    return decided.select("query_id", "session_id", "question", "standalone", "language", "text", "abstained", "reason", "cached", "cacheable")

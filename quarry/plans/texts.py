@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as lx
 from quarry.functions import text as tx
-from quarry.operators import guard, index, memory, nlu, retrieve
+from quarry.operators import cache_order, guard, index, memory, nlu, retrieve
 from quarry.plans.registry import est, in_list, parts, query, sentences, strip, table, windows
 from quarry.sources.folders import scratch
 from quarry.sources.store import CollectionStore
@@ -302,6 +302,19 @@ def cache_evict(spark, d):
     return memory.cache_put(docs).select("key", "last_access")
 
 
+# Vectors asked one after the other, from an empty cache of 64 entries; their similarities are lower than those of real questions, and so is the threshold.
+@query("cache_order", """WITH RECURSIVE q AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+near AS (SELECT n, list({'id': id, 'sim': sim}) AS c FROM (SELECT b.n, a.vec_id AS id, round(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)) + 1e-9::DOUBLE), 6) AS sim FROM q a JOIN q b ON a.label = b.label AND a.n < b.n) WHERE sim >= 0.3 GROUP BY n),
+steps AS (SELECT q.n, vec_id, coalesce(c, []) AS c FROM q LEFT JOIN near USING (n)),
+run AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS query_id, []::BIGINT[] AS held, NULL::BIGINT AS hit, NULL::DOUBLE AS sim
+    UNION ALL SELECT n, vec_id, CASE WHEN best IS NULL THEN list_append(held, vec_id)[-64:] ELSE list_append(list_filter(held, lambda x: x <> best.id), best.id) END, best.id, best.sim
+    FROM (SELECT s.n, s.vec_id, r.held, list_sort(list_transform(list_filter(c, lambda x: list_contains(held, x.id)), lambda x: {'far': -x.sim, 'place': list_position(held, x.id), 'id': x.id, 'sim': x.sim}))[1] AS best FROM run r JOIN steps s ON s.n = r.n + 1))
+SELECT query_id, hit AS hit_source, sim, hit IS NULL AS stored FROM run WHERE n > 0""")
+def cache_order_query(spark, d):
+    asked = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vec"), F.col("label").cast("string").alias("lang"), F.lit(True).alias("cacheable"))
+    return cache_order.cache_replay(asked, None, size=64, threshold=0.3).decisions.drop("hit_key")
+
+
 @query("sparse_dot", "WITH m AS (SELECT l_orderkey, l_partkey % 50 AS k, sum(l_quantity) AS w FROM lineitem GROUP BY ALL) SELECT a.l_orderkey AS id, round(coalesce(sum(a.w * b.w), 0), 4) AS score FROM m a LEFT JOIN m b ON b.l_orderkey = a.l_orderkey + 1 AND a.k = b.k GROUP BY a.l_orderkey HAVING a.l_orderkey + 1 IN (SELECT l_orderkey FROM lineitem)")
 def sparse_dot(spark, d):
     m = table(spark, d, "lineitem").groupBy("l_orderkey", (F.col("l_partkey") % 50).cast("string").alias("k")).agg(F.sum("l_quantity").alias("w"))

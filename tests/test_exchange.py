@@ -2,6 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
+from quarry.config import Settings
 from quarry.operators import chunk, memory, parse, retrieve, speech
 from quarry.operators.index import embed
 from quarry.plans.answer import answer_questions, exchange
@@ -156,3 +157,23 @@ def test_order_links_and_large_caches(spark, monkeypatch):
     cache = spark.createDataFrame([(f"k{k}", vec(k), "en" if k % 2 else "hinglish", k) for k in range(40)], "key string, vec array<double>, lang string, last_access long")
     questions = spark.createDataFrame([(k, vec(k), "en" if k % 3 else "xx") for k in range(20)], "query_id long, vec array<double>, lang string")
     assert sorted(memory.cache_lookup(questions, cache, broadcast_entries=7).collect()) == sorted(memory.cache_lookup(questions, cache).collect())
+
+
+def test_cache_serves_later_questions_of_a_batch(spark, chunks):
+    vectors = embed(chunks, providers.hashed_embedder()).select("id", "embedding")
+    fee, limit = "What does an international transfer cost?", "How long are statements kept for download?"
+    asked = [(1, "s", fee), (2, "t", "zzz qqq xxx"), (3, "u", "  " + fee.upper()), (4, "u", limit), (5, "v", fee), (6, "v", "zzz qqq xxx")]
+    questions = spark.createDataFrame(asked, "query_id long, session_id string, question string")
+    cache = spark.createDataFrame([], "question string, key string, vec array<double>, lang string, answer string, last_access long")
+
+    def embedder(texts):
+        return providers.hashed_embedder()([t.strip().lower() for t in texts])
+
+    got = exchange(questions, chunks, vectors, None, cache, now=5, embedder=embedder)
+    rows = {r.query_id: r for r in got.answers.collect()}
+    assert {k: r.cached for k, r in rows.items()} == {1: False, 2: False, 3: True, 4: False, 5: True, 6: False}
+    assert rows[3].text == rows[1].text and rows[2].abstained and rows[6].abstained and not rows[3].cacheable
+    assert {(r.key, r.last_access, r.last_query) for r in got.cache.collect()} == {(limit.lower(), 5, 4), (fee.lower(), 5, 5)}
+    small = exchange(questions, chunks, vectors, None, cache, now=5, embedder=embedder, settings=Settings(semantic_cache_size=1))
+    assert {r.query_id: r.cached for r in small.answers.collect()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False}
+    assert [(r.key, r.last_query) for r in small.cache.collect()] == [(fee.lower(), 5)]
