@@ -6,7 +6,7 @@ import importlib
 
 from quarry.plans.registry import ORACLE_SQL, QUERIES
 
-for _module in ("texts", "knowledge", "dialogue", "evaluation"):
+for _module in ("texts", "knowledge", "dialogue", "evaluation", "jobs"):
     importlib.import_module(f"quarry.plans.{_module}")
 
 FLAGSHIP = "bm25_topk"

@@ -28,17 +28,23 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = DEFAULTS.bm25_k
     """query_id, id, score of every document that shares a token with the query (docs: id, text; queries: query_id, text).
 
     One pass over the documents counts the distinct tokens of each, and with them documents and lengths; it shuffles a
-    row for each token and task. A second pass makes postings, of which only those of tokens in a query are shuffled.
+    row for each token and task, and its counts are kept. A second pass makes postings, of which only those of tokens in a query are shuffled.
     Sums per (query, document) are partly aggregated before the shuffle.
     """
-    counted = token_counts(docs)
+    ensure_checkpoint_dir(docs.sparkSession)
+    counted = token_counts(docs).checkpoint()  # a row for each token, read for the statistics and for the terms
     stats = counted_stats(counted)
     terms = query_terms(queries)
     asked = terms.join(counted_terms(counted, stats), "token")
     few = asked.count() <= broadcast_terms
     near = F.broadcast if few else (lambda df: df)
     posted = postings(docs, only=near(terms.select("token").distinct()))
-    scored = posted.join(near(asked), "token").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
+    return score_postings(posted, near(asked), stats, ["token"], k1, b)
+
+
+def score_postings(posted: DataFrame, asked: DataFrame, stats: DataFrame, on: list[str], k1: float, b: float) -> DataFrame:
+    """query_id, id, score: Okapi BM25 of postings (token, id, tf, dl) for question tokens (query_id, token, qtf, idf)."""
+    scored = posted.join(asked, on).crossJoin(F.broadcast(stats.select("avgdl")))  # one row
     tf = F.col("tf").cast("double")
     part = F.col("qtf") * F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as lx
 from quarry.functions import text as tx
-from quarry.operators import cache_order, guard, index, memory, nlu, retrieve
+from quarry.operators import cache_order, guard, index, memory, nlu, retrieve, stored_index
 from quarry.plans.registry import est, in_list, parts, query, sentences, strip, table, windows
 from quarry.sources.folders import scratch
 from quarry.sources.store import CollectionStore
@@ -119,6 +119,16 @@ def bm25_topk(spark, d):
     return retrieve.bm25_topk(retrieve.bm25_scores(_docs(spark, d), _questions(spark, d))).withColumn("score", F.round("score", 3))
 
 
+@query("bm25_stored", f"WITH {BM25} SELECT query_id, id, round(score, 3) AS score, bm25_rank FROM sparse")
+def bm25_stored(spark, d):
+    """The same from a stored index, to which the documents of each language were added alone."""
+    stored = stored_index.StoredIndex(spark, scratch(spark, "postings"), id_type="bigint")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", (F.coalesce("lang", F.lit("")) == "en").alias("en"))
+    for batch, some in enumerate((docs.filter("en"), docs.filter("NOT en"))):
+        stored.add(some.drop("en"), batch)
+    return retrieve.bm25_topk(stored.scores(_questions(spark, d))).withColumn("score", F.round("score", 3))
+
+
 DENSE = """
 vecs AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), qvecs AS (SELECT item_id AS query_id, e AS q FROM benchmark JOIN vecs ON item_id = id),
 dense AS (SELECT * FROM (SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) - 1 AS dense_rank FROM (SELECT query_id, id, round(list_inner_product(e, q), 6) AS sim FROM qvecs CROSS JOIN vecs)) WHERE dense_rank < 25)"""
