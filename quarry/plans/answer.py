@@ -191,6 +191,13 @@ def answer_questions(
 
 def answer_prepared(asked: DataFrame, chunks: DataFrame, vectors: DataFrame, embedder: providers.Embedder, generator: providers.Generator = providers.first_sentence_generator, settings: Settings = DEFAULTS, reranker: providers.Reranker | None = None, stage: "Stages | None" = None) -> DataFrame:
     """Answers of prepared questions by retrieval, generation and the gates."""
+    judged = said_prepared(asked, chunks, vectors, embedder, generator, settings, reranker, stage)
+    decided = guard.decide(judged).withColumn("cached", F.lit(False))
+    return decided.select("query_id", "session_id", "question", "standalone", "language", "text", "abstained", "reason", "cached", "cacheable")
+
+
+def said_prepared(asked: DataFrame, chunks: DataFrame, vectors: DataFrame, embedder: providers.Embedder, generator: providers.Generator = providers.first_sentence_generator, settings: Settings = DEFAULTS, reranker: providers.Reranker | None = None, stage: "Stages | None" = None) -> DataFrame:
+    """Prepared questions with what was generated (raw) and what the gates say of it: abstain, pre_reason, passes, why."""
     stage = stage or Stages()
     texts = asked.select("query_id", F.col("standalone").alias("text"))
     expanded = embed(texts.withColumn("asked", nlu.expand_query(F.col("text"))), embedder, "asked", settings.embedding_batch)
@@ -202,5 +209,18 @@ def answer_prepared(asked: DataFrame, chunks: DataFrame, vectors: DataFrame, emb
     said = stage("llm", _generate(ready.filter("NOT abstain").withColumn("prompt", prompt), generator).drop("prompt"))
     both = said.unionByName(ready.filter("abstain").withColumn("raw", F.lit("")))
     passes, why = guard.grounding(F.col("raw"), F.coalesce("context", F.lit("")), F.col("language"), settings.grounding_min_overlap, settings.enable_grounding_check)
-    decided = guard.decide(both.withColumns({"passes": passes, "why": why})).withColumn("cached", F.lit(False))
-    return decided.select("query_id", "session_id", "question", "standalone", "language", "text", "abstained", "reason", "cached", "cacheable")
+    return both.withColumns({"passes": passes, "why": why})
+
+
+def spoken_answers(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, history: DataFrame | None = None, embedder: providers.Embedder | None = None, rewriter: providers.Rewriter = providers.identity_rewriter, settings: Settings = DEFAULTS, **models) -> DataFrame:
+    """query_id, session_id, question, language, kind, abstain, raw, passes, why: what the events of served exchanges are made of.
+
+    The served stream never asks the cache, and sends what was generated before it is judged.
+    """
+    embedder = embedder or providers.hashed_embedder()
+    small, asked = prepare(questions, history, embedder, rewriter, settings, Stages())
+    fields = ["query_id", "session_id", "question", "language", "kind", "abstain", "raw", "passes", "why"]
+    none = F.lit(None).cast("string")
+    chat = small.withColumns({"kind": nlu.route(F.col("question")), "abstain": F.lit(False), "raw": none, "passes": F.lit(True), "why": F.lit("")})
+    said = said_prepared(asked, chunks, vectors, embedder, settings=settings, **models).withColumn("kind", none)
+    return chat.select(*fields).unionByName(said.select(*fields))

@@ -200,3 +200,30 @@ def stream_events(spark, d):
     phrases = _phrases(spark, d).select(F.concat_ws("-", "id", "n").alias("session_id"), F.col("text").alias("question"), F.col("lang").alias("language"))
     asked = phrases.withColumns({"kind": nlu.route(F.col("question")), "abstain": F.col("language") == "xx", "raw": F.concat(F.col("question"), F.lit(" First part. And the rest")), "passes": F.lit(True), "why": F.lit("")})
     return exchange_events(asked)
+
+
+# Every user turn is a message of its conversation's connection, sent by a session that every fifth turn names; the turn is answered with itself.
+_MESSAGES = """m AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 's' || turn::VARCHAR END AS named, text FROM conversations WHERE role = 'user'),
+requests AS (SELECT conv_id::VARCHAR AS connection_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text NULLS FIRST) - 1 AS request, coalesce(last_value(named IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, text NULLS FIRST ROWS UNBOUNDED PRECEDING), conv_id::VARCHAR) AS session_id, coalesce(text, '') AS text FROM m)"""
+
+
+@query("stream_connection", f"""WITH {_MESSAGES}, asked AS (SELECT *, 'en' AS lang, {ROUTE} AS kind, {strip('text')} AS raw FROM requests),
+replied AS (SELECT *, {_REPLY} AS reply FROM asked), listed AS (SELECT connection_id, request, session_id, lang, {_EVENTS} AS l FROM replied WHERE raw <> ''),
+rows AS (SELECT connection_id, request, session_id, lang, unnest(l) AS e, unnest(range(0, len(l))) AS seq FROM listed)
+SELECT connection_id, request, seq, session_id, e.type AS type, e.text AS text, lang AS language, e.grounded AS grounded, e.reason AS reason FROM rows
+UNION ALL SELECT connection_id, request, 0, session_id, 'error', 'Empty question.', NULL, NULL, NULL FROM asked WHERE raw = ''""")
+def stream_connection(spark, d):
+    from quarry.plans.registry import table
+    from quarry.sources.folders import scratch
+    from quarry.streaming import connection
+
+    base, none = scratch(spark, "connection"), F.lit(None)
+    turns = table(spark, d, "conversations").filter("role = 'user'")
+    messages = turns.select(F.col("conv_id").cast("string").alias("connection_id"), F.col("turn").cast("long").alias("arrived"), F.when(F.col("turn") % 5 == 0, F.concat(F.lit("s"), F.col("turn").cast("string"))).alias("session_id"), F.lit("question").alias("type"), "text", none.cast("string").alias("data"), none.cast("boolean").alias("audio_reply"))
+    messages.repartition("connection_id").write.parquet(f"{base}/in")
+
+    def answer(asked):
+        return asked.withColumns({"language": F.lit("en"), "kind": nlu.route(F.col("question")), "abstain": F.lit(False), "raw": F.col("question"), "passes": F.lit(True), "why": F.lit("")})
+
+    connection.serve_connections(spark.readStream.schema(connection.MESSAGE).parquet(f"{base}/in"), answer, f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
+    return connection.read_events(spark, f"{base}/out").drop("audio")

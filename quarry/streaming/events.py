@@ -10,10 +10,10 @@ from quarry.operators.guard import abstain_text
 from quarry.operators.nlu import route_reply
 
 
-def exchange_events(asked: DataFrame) -> DataFrame:
-    """session_id, seq, type, text, language, grounded, reason.
+def exchange_events(asked: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """keys, seq, type, text, language, grounded, reason.
 
-    asked: session_id, question, language, kind (small talk or null), abstain, raw (the generated text), passes, why.
+    asked: keys, question, language, kind (small talk or null), abstain, raw (the generated text), passes, why.
     Small talk: meta, sentence, done. No ground before generation: abstain. Else: meta, then a token event for each
     word and a sentence event after the token that completes it, then done, which tells whether the text was grounded.
     """
@@ -30,5 +30,5 @@ def exchange_events(asked: DataFrame) -> DataFrame:
         .when(F.col("abstain"), F.array(event("abstain", abstain_text(F.col("language")))))
         .otherwise(F.concat(F.array(event("meta", none)), said, F.array(event("done", strip(raw), F.col("passes"), F.col("why")))))
     )
-    out = rows.select("session_id", "language", F.posexplode(events).alias("seq", "e"))
-    return out.select("session_id", F.col("seq").cast("long").alias("seq"), "e.type", "e.text", "language", "e.grounded", "e.reason")
+    out = rows.select(*keys, "language", F.posexplode(events).alias("seq", "e"))
+    return out.select(*keys, F.col("seq").cast("long").alias("seq"), "e.type", "e.text", "language", "e.grounded", "e.reason")
