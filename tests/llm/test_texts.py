@@ -229,6 +229,26 @@ def test_wrappers_find_the_content_where_tags_and_names_tell_nothing(spark):
     assert all("Home About us" in t and "Imprint" in t and "Shown on every page" in t for t in off.values())
 
 
+def test_names_that_hold_a_furniture_word_keep_their_text(spark):
+    text = "One paragraph of the article, with some words. " * 3
+    pages = {
+        f'<body class="single has-sidebar"><div class="wrap"><article><p>{text}</article></div></body>': text,
+        f'<main class="content no-comments"><p>{text}</main>': text,
+        f'<article class="topic-social-science"><p>{text}</article>': text,
+        f'<article id="market-share"><p>{text}</article>': text,
+        f'<article><header class="entry-header"><h1>Title</h1></header><p>{text}</article>': "Title " + text,
+        f'<body><form id="aspnetForm"><main><p>{text}</main></form></body>': text,
+        f'<div class="sidebar"><article><p>{text}</article></div>': text,
+        f'<div class="site-header">Brand</div><div class="related-posts"><article class="card">Other</article></div><article><p>{text}</article><div id="comments"><article class="c"><p>{text * 2}</article></div><div class="siteFooter cookie-banner-2">Note</div>': text,
+        f'<body><article><p>{text}<div class="share-buttons">Share</div><div class="post-navigation">Next</div><aside>Aside</aside></article></body>': text,
+    }
+    df = spark.createDataFrame([(k, f"http://h{k}/", page) for k, page in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(df).collect()}
+    assert got == {k: want.strip() for k, want in enumerate(pages.values())}
+    many = spark.createDataFrame([(k, "http://same/", f'<body class="single has-sidebar"><div class="menu">Home</div><article><p>Text number {k} of {k * 7}</article></body>') for k in range(20)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract_main_text(many).collect()} == {k: f"Text number {k} of {k * 7}" for k in range(20)}
+
+
 # ---- mixing ----
 
 
