@@ -23,6 +23,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores after it as it takes to be no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def frugal(run):
     """An Arrow function whose worker gives memory back to the system at the end of a task.
 
@@ -62,4 +70,4 @@ def texts(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
         yield from part.column(column).to_pylist()
 
 
-__all__ = ["ensure_checkpoint_dir", "frugal", "shuffle_partitions", "slices", "table", "texts"]
+__all__ = ["ensure_checkpoint_dir", "frugal", "shuffle_partitions", "slices", "table", "texts", "unused"]

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._arrow import ensure_checkpoint_dir, table
+from quarry.llm._arrow import ensure_checkpoint_dir, table, unused
 
 MIN_WORDS = 5
 BLOCK = 64
@@ -156,13 +156,14 @@ def dropped_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def dedup_lines(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """`df` with duplicate lines taken out of its texts; with `counts`, also `n_lines` and `n_dropped`."""
-    gone = dropped_lines(df, id_column, text_column, min_words).select(F.col("_id").alias("__ld_id"), F.col("_th").alias("__ld_th"), F.col("_dropped").alias("__ld_dropped"))
-    joined = df.withColumn("__ld_own", text_number(F.col(text_column))).join(gone, F.col(id_column).eqNullSafe(F.col("__ld_id")) & (F.col("__ld_own") == F.col("__ld_th")), "left").drop("__ld_id", "__ld_th", "__ld_own")
+    other, own, th, dropped, split = (unused(df, f"__ld_{n}") for n in ("id", "own", "th", "dropped", "lines"))
+    gone = dropped_lines(df, id_column, text_column, min_words).select(F.col("_id").alias(other), F.col("_th").alias(th), F.col("_dropped").alias(dropped))
+    joined = df.withColumn(own, text_number(F.col(text_column))).join(gone, F.col(id_column).eqNullSafe(F.col(other)) & (F.col(own) == F.col(th)), "left").drop(other, th, own)
     lines = F.split(F.col(text_column), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_dropped"))
-    joined = joined.withColumn("__ld_lines", F.when(F.col("__ld_dropped").isNotNull(), lines))  # split once, not for each line
-    text = F.when(F.col("__ld_dropped").isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__ld_lines", i)), "\n"))
-    added = {"n_lines": F.coalesce(F.when(F.col("__ld_dropped").isNotNull(), F.size("__ld_lines")).otherwise(F.size(lines)), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("__ld_dropped"), F.lit(0)).cast("long")} if counts else {}
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(dropped))
+    joined = joined.withColumn(split, F.when(F.col(dropped).isNotNull(), lines))  # split once, not for each line
+    text = F.when(F.col(dropped).isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    added = {"n_lines": F.coalesce(F.when(F.col(dropped).isNotNull(), F.size(split)).otherwise(F.size(lines)), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size(dropped), F.lit(0)).cast("long")} if counts else {}
     return joined.select(*[c for c in df.columns if c not in (text_column, *added)], *[v.alias(k) for k, v in added.items()], text.alias(text_column)).select(*[c for c in df.columns if c not in added], *added)
 
 

@@ -9,7 +9,7 @@ kept shares fall short of the targets; `bounded` rakes under the bound instead (
 
 Edge cases: a null margin value is a value of its own (''); null and empty texts weigh one token; a null id hashes like
 the empty string; rows that repeat are each decided, alike; an empty table gives an empty table; other columns pass
-through unchanged, also those named like the columns added here, because the decision is taken under reserved names.
+through unchanged: added columns begin with a prefix that no column of the input begins with (see `free_prefix`).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._arrow import ensure_checkpoint_dir, table
+from quarry.llm._arrow import ensure_checkpoint_dir, table, unused
 
 #: Exponent for each margin: targets are the shares of the mass raised to it, so small values gain.
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
@@ -40,6 +40,13 @@ def unit_hash(column: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def free_prefix(df: DataFrame, prefix: str = "_mix_") -> str:
+    """The prefix, with as many underscores before it as it takes for no column of `df` to begin with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def _shares(cells: DataFrame, name: str, target: float | DataFrame, mass: str) -> DataFrame:
     """The target of each value of a margin, not normed."""
     if isinstance(target, DataFrame):
@@ -104,7 +111,7 @@ def rake_bounded(raked: DataFrame, margins: Mapping[str, float | DataFrame], bud
 
 
 def calibrated_mix(df: DataFrame, margins: Mapping[str, Column], targets: Mapping[str, float | DataFrame] | None = None, weight: Column | None = None, keep_share: float = KEEP_SHARE, rounds: int = ROUNDS, id_column: str = "doc_id", prefix: str = "_mix_", bounded: bool = False) -> DataFrame:
-    """`df` with `{prefix}factor`, `{prefix}probability` and `{prefix}kept`.
+    """`df` with `{prefix}factor`, `{prefix}probability` and `{prefix}kept`; the prefix is `free_prefix(df, prefix)`.
 
     margins: name -> expression. The kept tokens are expected to be `keep_share` of all: probabilities are
     factor * scale, clipped at 1, and the scale is set anew `CLIP_ROUNDS` times for what clipping takes away, at the
@@ -112,6 +119,7 @@ def calibrated_mix(df: DataFrame, margins: Mapping[str, Column], targets: Mappin
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    prefix = free_prefix(df, prefix)
     targets = dict(targets or EXPONENTS)
     named = {name: f"{prefix}{name}" for name in margins}
     rows = df.withColumns({named[n]: F.coalesce(c.cast("string"), F.lit("")) for n, c in margins.items()}).withColumn(f"{prefix}weight", weight if weight is not None else token_weight())
@@ -131,10 +139,11 @@ def calibrated_mix(df: DataFrame, margins: Mapping[str, Column], targets: Mappin
     return joined.withColumn(f"{prefix}kept", unit_hash(id_column) < F.col(f"{prefix}probability"))
 
 
-def with_topic(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """`docs` with `_topic`: the least cluster label of its vector, null without one."""
-    topics = embeddings.groupBy(F.col("vec_id").alias("_topic_of")).agg(F.min("label").cast("string").alias("_topic"))
-    return docs.join(topics, F.col("doc_id") == F.col("_topic_of"), "left").drop("_topic_of")
+def with_topic(docs: DataFrame, embeddings: DataFrame, name: str = "_topic") -> DataFrame:
+    """`docs` with a column `name`: the least cluster label of its vector, null without one."""
+    key = unused(docs, "_topic_of")
+    topics = embeddings.groupBy(F.col("vec_id").alias(key)).agg(F.min("label").cast("string").alias(name))
+    return docs.join(topics, F.col("doc_id") == F.col(key), "left").drop(key)
 
 
 def mix_documents(docs: DataFrame, embeddings: DataFrame, **options) -> DataFrame:
@@ -142,12 +151,13 @@ def mix_documents(docs: DataFrame, embeddings: DataFrame, **options) -> DataFram
 
     Texts are weighed before the join with the topics, which then moves them only if the caller wants them back.
     """
-    weighed = docs.withColumn("_topic_weight", token_weight())
-    return calibrated_mix(with_topic(weighed, embeddings), {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("_topic")}, weight=F.col("_topic_weight"), **options).drop("_topic_weight")
+    weight, topic = unused(docs, "_topic_weight"), unused(docs, "_topic")
+    weighed = with_topic(docs.withColumn(weight, token_weight()), embeddings, topic)
+    return calibrated_mix(weighed, {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col(topic)}, weight=F.col(weight), **options).drop(weight, topic)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), bounded=True)
+    mixed = mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "embeddings"), bounded=True)
     return mixed.select("doc_id", F.col("_mix_weight").cast("long").alias("n_tokens"), F.col("_mix_topic").alias("topic"), F.round("_mix_factor", 6).alias("factor"), F.round("_mix_probability", 6).alias("probability"), F.col("_mix_kept").alias("kept"))
 
 

@@ -160,8 +160,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_column: str = "text", score_column: str = "score", keep: Sequence[str] | None = None) -> DataFrame:
-    """`df` (its columns `keep`, if named) with the score of each whole text in a further column."""
-    keep = list(df.columns if keep is None else keep)
+    """`df` (its columns `keep`, if named) with the score of each whole text in a further column.
+
+    A column that is named like the score gives way to it; a null text scores like an empty one.
+    """
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() != score_column.lower()]
     shared = df.sparkSession.sparkContext.broadcast((model.weights, model.intercept))  # 4 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
