@@ -156,7 +156,8 @@ def resample(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text
     wanted = text_classes(target, target_column, longest, buckets)
     gains = bucket_gains(spark, bucket_totals(classes, buckets), bucket_totals(wanted, buckets), buckets)
     rows = docs.select(F.col(id_column).alias("id"), text_key(text_column).alias("key")).checkpoint()
-    scored = joined_back(rows, class_weights(classes, gains), rows.count()).withColumn("score", F.col("weight") + noise(seed)).checkpoint()
+    weights = class_weights(classes, gains).checkpoint()  # a hash and four numbers a class, read by both joins
+    scored = joined_back(rows, weights, rows.count()).withColumn("score", F.col("weight") + noise(seed)).checkpoint()
     able = F.col("n_words") >= min_words
     drawn = scored.filter(able).count() * percent // 100
     order = [F.desc("score"), F.asc("id"), F.asc("n_features"), F.asc("weight")]
