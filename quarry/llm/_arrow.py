@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.sources.folders import ensure_checkpoint_dir
+from quarry.sources.folders import ensure_checkpoint_dir, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Lets Spark remove the shuffle files of a query once it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder, read back. It cuts the lineage like a checkpoint, and the shuffle files behind it go at once."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, with as many underscores after it as it takes to be no column of `df`."""
     taken = {c.lower() for c in df.columns}
@@ -70,4 +86,4 @@ def texts(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
         yield from part.column(column).to_pylist()
 
 
-__all__ = ["ensure_checkpoint_dir", "frugal", "shuffle_partitions", "slices", "table", "texts", "unused"]
+__all__ = ["ensure_checkpoint_dir", "frugal", "shuffle_partitions", "slices", "table", "texts", "unused", "written"]

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._arrow import ensure_checkpoint_dir, table, unused
+from quarry.llm._arrow import ensure_checkpoint_dir, table, unused, written
 
 MIN_WORDS = 5
 BLOCK = 64
@@ -123,13 +123,13 @@ def near_lines(df: DataFrame, classes: DataFrame, id_column: str = "doc_id", tex
     halves = worded.select("_h1", F.explode(sides).alias("_k")).select("_h1", "_k.left", "_k.key")
     shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("key")
     found = halves.join(shared, "key", "left_semi").groupBy("_h1").agg(F.max("left").alias("_l"), F.min("left").alias("_r"))
-    likely = worded.join(found, "_h1").select(F.col("_f._id").alias("_want"), F.col("_f._th").alias("_want_th"), "_f._line", "_l", "_r").checkpoint()
+    likely = written(worded.join(found, "_h1").select(F.col("_f._id").alias("_want"), F.col("_f._th").alias("_want_th"), "_f._line", "_l", "_r"), "likely")
     few = likely.count() <= BROADCAST_LINES
     by_doc = likely.groupBy("_want", "_want_th").agg(F.collect_list(F.struct("_line", "_l", "_r")).alias("_lines"))  # at most the lines of a document
     texts = df.select(F.col(id_column).alias("_id"), text_number(F.col(text_column)).alias("_th"), F.col(text_column).alias("_text"))
     texts = texts.join(F.broadcast(by_doc) if few else by_doc, F.col("_id").eqNullSafe(F.col("_want")) & (F.col("_th") == F.col("_want_th")))
     lines = texts.select("_id", "_th", F.split("_text", "\n", -1).alias("_all"), "_lines").select("_id", "_th", F.explode(F.transform("_lines", lambda s: F.struct(s["_line"].alias("_line"), s["_l"].alias("_l"), s["_r"].alias("_r"), F.trim(F.get("_all", s["_line"])).alias("_t")))).alias("_s"))
-    lines = lines.select("_id", "_th", "_s._line", "_s._l", "_s._r", "_s._t").dropDuplicates(["_id", "_th", "_line"]).checkpoint().withColumn("_w", _words(F.col("_t")))
+    lines = written(lines.select("_id", "_th", "_s._line", "_s._l", "_s._r", "_s._t").dropDuplicates(["_id", "_th", "_line"]), "lines").withColumn("_w", _words(F.col("_t")))
     n = F.size("_w")
     lines = lines.withColumns({"_from": F.when(~F.col("_r"), F.lit(0)).otherwise(F.greatest(F.floor((n - 1) / F.lit(2)).cast("int"), F.lit(0))), "_to": F.when(F.col("_l"), n).otherwise(F.floor(n / F.lit(2)).cast("int") + 1)})
     variants = lines.select(F.struct("_id", "_th", "_line").alias("_at"), F.explode(_variant_keys()).alias("_key"))
