@@ -60,16 +60,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, limit: int = DEFAULTS.broadcast_queries) -> DataFrame:
+def similarities(vectors: DataFrame, queries: DataFrame, limit: int = DEFAULTS.broadcast_queries, limit_bytes: int = 32_000_000) -> DataFrame:
     """query_id, id, sim for all pairs (vectors: id, embedding; queries: query_id, qvec).
 
-    A stated set of queries is broadcast when its counted size allows; more queries go in numbered blocks, each block
+    A stated set of queries is broadcast when its counted rows and bytes allow; more queries go in numbered blocks, each block
     meeting every vector by an equi-join.
     """
-    if queries.count() <= limit:
+    count, numbers = queries.agg(F.count(F.lit(1)), F.sum(F.size("qvec"))).first()
+    size = 8 * max(0, numbers or 0)
+    if count <= limit and size <= limit_bytes:
         pairs = vectors.join(F.broadcast(queries))
     else:
-        blocks = max(2, queries.count() // limit + 1)
+        blocks = max(2, count // limit + 1, size // limit_bytes + 1)
         numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
         pairs = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(numbered, "block")
     return pairs.select("query_id", "id", dot(F.col("embedding"), F.col("qvec")).alias("sim"))

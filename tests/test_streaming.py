@@ -1,9 +1,10 @@
 import random
+import time
 
 from quarry.functions.text import streamed_sentences
 from quarry.plans.dialogue import stream_turns
 from quarry.plans.registry import QUERIES
-from quarry.streaming.sentences import cut, replay_tokens
+from quarry.streaming.sentences import END, cut, replay_tokens, segment_unordered
 
 
 def test_cutting_does_not_depend_on_tokens(spark):
@@ -36,3 +37,43 @@ def test_event_order(spark):
     for events in by.values():
         kinds = [k for _, k in sorted(events)]
         assert kinds == ["abstain"] or kinds[0] == "meta" and kinds[-1] == "done" and kinds.count("done") == 1
+
+
+def run_unordered(spark, path, wait_ms=60_000):
+    """All files that are there, a file each micro-batch; without batches of no data, which timers by the clock would never end."""
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(empty, "false")
+    try:
+        stream = spark.readStream.schema("session_id string, seq long, token string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+        segment_unordered(stream, wait_ms).writeStream.outputMode("append").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).format("parquet").start(f"{path}/out").awaitTermination()
+    finally:
+        spark.conf.unset(empty)
+    return sorted((r.session_id, r.pos, r.sentence) for r in spark.read.parquet(f"{path}/out").collect())
+
+
+def deliver_tokens(spark, rows, path, name):
+    spark.createDataFrame(rows, "session_id string, seq long, token string").coalesce(1).write.parquet(f"{path}/in/{name}")
+
+
+def test_tokens_in_any_order_give_the_same_sentences(spark, tmp_path):
+    rng = random.Random(4)
+    texts = {f"s{k}": "".join(rng.choice(["one ", "two. ", "three", "! ", "2.", "50 ", "? "]) for _ in range(40)) for k in range(6)}
+    tokens = {name: [text[i : i + 3] for i in range(0, len(text), 3)] for name, text in texts.items()}
+    ordered = [(name, k, t) for name, ts in tokens.items() for k, t in enumerate(ts)]
+    want = sorted((r.session_id, r.pos, r.sentence) for r in replay_tokens(spark.createDataFrame(ordered, "session_id string, seq long, token string")).collect())
+    rows = ordered + [(name, len(ts), END) for name, ts in tokens.items()]
+    rng.shuffle(rows)
+    rows += rng.sample(rows, 30)  # delivered twice
+    for k in range(4):
+        deliver_tokens(spark, rows[k::4], tmp_path, f"f{k}")
+    assert run_unordered(spark, tmp_path) == want
+    deliver_tokens(spark, rows[:20], tmp_path, "late")  # copies of ended sessions
+    assert run_unordered(spark, tmp_path) == want
+
+
+def test_a_gap_is_given_up_after_a_while(spark, tmp_path):
+    deliver_tokens(spark, [("a", 0, "One. "), ("a", 2, "Three. "), ("a", 3, "Four")], tmp_path, "f0")
+    assert run_unordered(spark, tmp_path, 1) == [("a", 0, "One.")]
+    time.sleep(0.2)
+    deliver_tokens(spark, [("b", 0, "Other. ")], tmp_path, "f1")
+    assert run_unordered(spark, tmp_path, 1) == [("a", 0, "One."), ("a", 1, "Three."), ("a", 2, "Four"), ("b", 0, "Other.")]
