@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.config import DEFAULTS
 from quarry.functions import lexicon as lx
 from quarry.functions import text as tx
+from quarry.functions.frame import once
 
 
 def context_header(section_no: Column, section_title: Column, subsection_no: Column, subsection_title: Column) -> Column:
@@ -59,11 +60,13 @@ def build_chunks(blocks: DataFrame, target: int = DEFAULTS.chunk_target_tokens,
 
     of = lambda *kinds: F.filter(items, lambda b: b["kind"].isin(*kinds))
     atomic = F.transform(of("faq", "table_row"), lambda b: piece(0, b["block_no"], b["kind"], b["text"], b["question"], b["row_subject"], b))
-    packed = tx.pack_bullets(F.transform(of("bullet"), lambda b: F.struct(b["block_no"].alias("place"), b["text"].alias("text"))), target)
-    bullets = F.transform(packed, lambda p, i: piece(1, i, F.lit("bullets"), p["text"], none, none, F.coalesce(F.get(F.filter(items, lambda b: b["block_no"] == p["place"]), F.lit(0)), F.get(items, F.lit(0)))))
+    placed_items = F.transform(items, lambda b, i: F.struct(i.alias("place"), b["text"].alias("text"), b["kind"].alias("kind")))
+    packed = tx.pack_bullets(F.filter(placed_items, lambda b: b["kind"] == "bullet"), target)
+    bullets = F.transform(packed, lambda p, i: piece(1, i, F.lit("bullets"), p["text"], none, none, F.get(items, F.coalesce(p["place"].cast("int"), F.lit(0)))))
     prose_text = tx.strip(F.array_join(F.transform(of("prose"), lambda b: b["text"]), " "))
     prose = F.transform(tx.sentence_windows(prose_text, target, overlap), lambda t, i: piece(2, i, F.lit("prose"), t, none, none, F.get(items, F.lit(0))))
-    placed = runs.select("doc_id", "group_no", F.explode(F.concat(atomic, bullets, prose)).alias("p")).select("doc_id", "group_no", "p.*").withColumn("raw_text", tx.strip(F.col("text")))
+    placed = runs.select("doc_id", "group_no", F.explode(F.concat(atomic, bullets, prose)).alias("p")).select("doc_id", "group_no", "p.*")
+    placed = once(placed, {"raw_text": tx.strip(F.col("text"))})
     kept = placed.filter((F.col("raw_text") != "") & (tx.est_tokens(F.col("raw_text")) >= least))
     return link_chunks(describe_chunks(kept.withColumn("chunk_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("group_no", "class", "seq")) - 1).cast("long")), prefix))
 

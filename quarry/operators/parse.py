@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as lx
+from quarry.functions.frame import once
 from quarry.functions.text import clean_text, strip
 
 BLOCK_COLUMNS = ["doc_id", "block_no", "kind", "text", "section_no", "section_title", "subsection_no", "subsection_title", "page", "question", "row_subject"]
@@ -32,8 +33,8 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(strip(F.col("raw_line")).rlike(lx.BULLET), "bullet")
         .otherwise("prose")
     )
-    cleaned = lines.withColumn("line", clean_text(F.col("raw_line"))).filter(F.col("line") != "")
-    placed = cleaned.withColumn("class", kind).withColumn("body", F.when(F.col("class").isin("bullet", "prose", "a"), body)).filter(~F.col("class").isin("bullet", "prose") | (F.col("body") != ""))
+    cleaned = once(lines, {"line": clean_text(F.col("raw_line"))}).filter(F.col("line") != "")
+    placed = once(once(cleaned, {"class": kind}), {"body": F.when(F.col("class").isin("bullet", "prose", "a"), body)}).filter(~F.col("class").isin("bullet", "prose") | (F.col("body") != ""))
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
     return placed.withColumn("idx", F.row_number().over(order)).select("doc_id", "page", "line_no", "idx", "line", "class", "body", "raw_line")
 
@@ -81,14 +82,13 @@ def linearize_tables(tables: DataFrame) -> DataFrame:
     The first row is the header (it must not be empty); rows without a subject or without further values are dropped.
     """
     cleaned = lambda row: F.transform(row, lambda c: clean_text(F.coalesce(c, F.lit(""))))
-    # rows are cleaned after they are taken apart: filters then repeat the work of a row at most, not of a table
-    t = tables.filter(F.size("cells") >= 2).withColumn("columns", cleaned(F.col("cells")[0])).filter(F.exists("columns", lambda c: c != ""))
-    rows = t.select("doc_id", "page", "table_no", "columns", F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("row_no", "row")).withColumn("row", cleaned(F.col("row")))
+    t = once(tables.filter(F.size("cells") >= 2), {"columns": cleaned(F.col("cells")[0])}).filter(F.exists("columns", lambda c: c != ""))
+    rows = once(t.select("doc_id", "page", "table_no", "columns", F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("row_no", "row")), {"row": cleaned(F.col("row"))})
     rows = rows.withColumn("row_subject", F.get("row", F.lit(0))).filter(F.coalesce(F.col("row_subject"), F.lit("")) != "")
     label = F.when(F.col("columns")[0] != "", F.col("columns")[0]).otherwise("Item")
     width = F.least(F.size("columns"), F.size("row")) - 1
     pairs = F.zip_with(F.slice("columns", 2, F.greatest(width, F.lit(0))), F.slice("row", 2, F.greatest(width, F.lit(0))), lambda c, v: F.when((v != "") & (c != ""), F.concat(c, F.lit(": "), v)).when(v != "", v))
-    named = rows.withColumn("pairs", F.filter(pairs, lambda x: x.isNotNull())).filter(F.size("pairs") > 0)
+    named = once(rows, {"pairs": F.filter(pairs, lambda x: x.isNotNull())}).filter(F.size("pairs") > 0)
     return named.select("doc_id", "page", "table_no", "row_no", "row_subject", "columns", F.concat(F.lit("For "), label, F.lit(" '"), "row_subject", F.lit("' — "), F.array_join("pairs", "; "), F.lit(".")).alias("text"))
 
 
