@@ -65,9 +65,12 @@ def parts(x: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(x, pattern, -1), strip), lambda s: s != "")
 
 
+#: Where sentences are cut: a sentence end followed by white space and a capital letter or digit.
+SENTENCE_CUT = r"(?<=[.!?])\s+(?=[A-Z0-9])"
+
+
 def sentences(x: Column) -> Column:
-    """Split where a sentence end is followed by white space and a capital letter or digit."""
-    return parts(x, r"(?<=[.!?])\s+(?=[A-Z0-9])")
+    return parts(x, SENTENCE_CUT)
 
 
 def spoken_sentences(x: Column) -> Column:

@@ -9,6 +9,11 @@ from quarry.config import DEFAULTS
 from quarry.functions import lexicon as lx
 from quarry.functions import text as tx
 from quarry.functions.frame import once
+from quarry.operators.packing import pack_rows, sentence_rows
+from quarry.sources.folders import ensure_checkpoint_dir
+
+HEAD = ["section_no", "section_title", "subsection_no", "subsection_title", "page"]
+RUN = ["doc_id", "group_no"]
 
 
 def context_header(section_no: Column, section_title: Column, subsection_no: Column, subsection_title: Column) -> Column:
@@ -49,14 +54,60 @@ def prose_chunks(grouped: DataFrame, target: int = DEFAULTS.chunk_target_tokens,
     return windows.select("doc_id", "group_no", F.lit(2).alias("class"), F.lit(None).cast("long").alias("block_no"), F.col("seq").cast("long").alias("seq"), F.lit("prose").alias("kind"), "text", F.lit(None).cast("string").alias("question"), F.lit(None).cast("string").alias("row_subject"))
 
 
-def build_chunks(blocks: DataFrame, target: int = DEFAULTS.chunk_target_tokens, overlap: int = DEFAULTS.chunk_overlap_sentences, least: int = DEFAULTS.chunk_min_tokens, prefix: str = "chunk") -> DataFrame:
-    """All chunks of the documents: atomic rows, then bullets, then prose of each run; ids name the document and count within it."""
-    head = ["section_no", "section_title", "subsection_no", "subsection_title", "page"]
-    runs = run_groups(blocks).groupBy("doc_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "kind", "text", "question", "row_subject", *head))).alias("items"))  # a run of one section of one document
+def build_chunks(blocks: DataFrame, target: int = DEFAULTS.chunk_target_tokens, overlap: int = DEFAULTS.chunk_overlap_sentences, least: int = DEFAULTS.chunk_min_tokens, prefix: str = "chunk", long_run: int = 4096) -> DataFrame:
+    """All chunks of the documents: atomic rows, then bullets, then prose of each run; ids name the document and count within it.
+
+    The grouped blocks are stored once. Runs of at most `long_run` blocks are folded each in a row of its own, longer ones
+    are packed on rows, whatever their length; both give the same chunks.
+    """
+    ensure_checkpoint_dir(blocks.sparkSession)
+    grouped = run_groups(blocks).checkpoint()
+    long = grouped.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > long_run).select(*RUN).checkpoint()
+    if long.isEmpty():
+        placed = folded_runs(grouped, target, overlap)
+    else:
+        placed = folded_runs(grouped.join(long, RUN, "left_anti"), target, overlap).unionByName(packed_runs(grouped.join(long, RUN, "left_semi"), target, overlap))
+    placed = once(placed, {"raw_text": tx.strip(F.col("text"))})
+    kept = placed.filter((F.col("raw_text") != "") & (tx.est_tokens(F.col("raw_text")) >= least))
+    return link_chunks(describe_chunks(kept.withColumn("chunk_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("group_no", "class", "seq")) - 1).cast("long")), prefix))
+
+
+def packed_runs(grouped: DataFrame, target: int, overlap: int) -> DataFrame:
+    """The pieces of runs of any length, as `folded_runs` gives them; no run is held in a row."""
+    head, size = F.struct(*HEAD), tx.est_tokens(F.col("text")).cast("long")
+    anchor = grouped.groupBy(*RUN).agg(F.min_by(head, "block_no").alias("anchor"))
+    of_run = Window.partitionBy(*RUN)
+
+    def pieces(rows: DataFrame, klass: int, kind: str) -> DataFrame:
+        """rows: RUN, seq, text, own (a head, or null for the head of the run's first block)."""
+        none = F.lit(None).cast("string")
+        placed = rows.join(anchor, RUN).withColumn("own", F.coalesce("own", "anchor"))
+        return placed.select(*RUN, F.lit(klass).alias("class"), F.col("seq").cast("long").alias("seq"), F.lit(kind).alias("kind"), "text", none.alias("question"), none.alias("row_subject"), "own.*")
+
+    atomic = grouped.filter(F.col("kind").isin("faq", "table_row")).select(*RUN, F.lit(0).alias("class"), F.col("block_no").alias("seq"), "kind", "text", "question", "row_subject", *HEAD)
+    # a bullet of `target` tokens or more stands alone: it ends the list before it and begins none
+    w = of_run.orderBy("block_no")
+    sized = grouped.filter(F.col("kind") == "bullet").select(*RUN, "block_no", "text", size.alias("size"), F.when(size >= target, head).alias("own"))
+    apart = F.col("own").isNotNull() | F.lag("own").over(w).isNotNull()
+    bullets = sized.withColumn("new", F.when(apart, 1).otherwise(0)).withColumn("stretch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    bullets = bullets.withColumn("pos", (F.row_number().over(Window.partitionBy(*RUN, "stretch").orderBy("block_no")) - 1).cast("long"))
+    lists = pack_rows(bullets.select(*RUN, "stretch", "pos", "size", "text", "own"), [*RUN, "stretch"], target, carry=["own"])
+    lists = lists.withColumns({"seq": F.row_number().over(of_run.orderBy("stretch", "window")) - 1, "text": F.array_join(F.transform("texts", lambda t: F.concat(F.lit("- "), t)), "\n")})
+    prose = sentence_rows(grouped.filter(F.col("kind") == "prose"), RUN, "block_no", tx.SENTENCE_CUT, r"[.!?]$", r"^[A-Z0-9]")
+    prose = prose.withColumn("text", tx.strip(F.col("text"))).filter(F.col("text") != "")
+    prose = prose.withColumn("pos", (F.row_number().over(of_run.orderBy("sentence")) - 1).cast("long"))
+    windows = pack_rows(prose.select(*RUN, "pos", size.alias("size"), "text"), RUN, target, overlap)
+    windows = windows.select(*RUN, F.col("window").alias("seq"), F.array_join("texts", " ").alias("text"), F.lit(None).cast(grouped.select(head).schema[0].dataType).alias("own"))
+    return atomic.unionByName(pieces(lists, 1, "bullets")).unionByName(pieces(windows, 2, "prose"))
+
+
+def folded_runs(grouped: DataFrame, target: int, overlap: int) -> DataFrame:
+    """The pieces of each run, folded in one row: RUN, class, seq, kind, text, question, row_subject and the head."""
+    runs = grouped.groupBy("doc_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "kind", "text", "question", "row_subject", *HEAD))).alias("items"))  # a run of one section of one document
     items, none = F.col("items"), F.lit(None).cast("string")
 
     def piece(klass: int, seq: Column, kind: Column, text: Column, question: Column, subject: Column, at: Column) -> Column:
-        return F.struct(F.lit(klass).alias("class"), seq.cast("long").alias("seq"), kind.alias("kind"), text.alias("text"), question.alias("question"), subject.alias("row_subject"), *[at[h].alias(h) for h in head])
+        return F.struct(F.lit(klass).alias("class"), seq.cast("long").alias("seq"), kind.alias("kind"), text.alias("text"), question.alias("question"), subject.alias("row_subject"), *[at[h].alias(h) for h in HEAD])
 
     of = lambda *kinds: F.filter(items, lambda b: b["kind"].isin(*kinds))
     atomic = F.transform(of("faq", "table_row"), lambda b: piece(0, b["block_no"], b["kind"], b["text"], b["question"], b["row_subject"], b))
@@ -65,10 +116,7 @@ def build_chunks(blocks: DataFrame, target: int = DEFAULTS.chunk_target_tokens,
     bullets = F.transform(packed, lambda p, i: piece(1, i, F.lit("bullets"), p["text"], none, none, F.get(items, F.coalesce(p["place"].cast("int"), F.lit(0)))))
     prose_text = tx.strip(F.array_join(F.transform(of("prose"), lambda b: b["text"]), " "))
     prose = F.transform(tx.sentence_windows(prose_text, target, overlap), lambda t, i: piece(2, i, F.lit("prose"), t, none, none, F.get(items, F.lit(0))))
-    placed = runs.select("doc_id", "group_no", F.explode(F.concat(atomic, bullets, prose)).alias("p")).select("doc_id", "group_no", "p.*")
-    placed = once(placed, {"raw_text": tx.strip(F.col("text"))})
-    kept = placed.filter((F.col("raw_text") != "") & (tx.est_tokens(F.col("raw_text")) >= least))
-    return link_chunks(describe_chunks(kept.withColumn("chunk_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("group_no", "class", "seq")) - 1).cast("long")), prefix))
+    return runs.select(*RUN, F.explode(F.concat(atomic, bullets, prose)).alias("p")).select(*RUN, "p.*")
 
 
 def describe_chunks(rows: DataFrame, prefix: str = "chunk") -> DataFrame:

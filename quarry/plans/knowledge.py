@@ -178,6 +178,13 @@ def chunk_emit(spark, d):
     return _chunks(spark, d).select("doc_id", "id", "chunk_id", "kind", "text", "section_no", "section_title", "subsection_no", "page", F.col("n_tokens").cast("long").alias("n_tokens"), "question", "row_subject")
 
 
+@query("chunk_long_runs", f"WITH {CHUNKS} SELECT doc_id, id, chunk_id, kind, '[' || header || ']' || chr(10) || raw_text AS text, section_no, section_title, subsection_no, page, n_tokens, question, row_subject FROM chunks")
+def chunk_long_runs(spark, d):
+    """chunk_emit with every run packed on rows, as runs of any length are."""
+    chunks = chunk.build_chunks(_blocks(spark, d), target=TARGET, long_run=0)
+    return chunks.select("doc_id", "id", "chunk_id", "kind", "text", "section_no", "section_title", "subsection_no", "page", F.col("n_tokens").cast("long").alias("n_tokens"), "question", "row_subject")
+
+
 @query("chunk_links", f"WITH {CHUNKS} SELECT doc_id, id, lag(id, 1, '') OVER o AS prev_id, lead(id, 1, '') OVER o AS next_id FROM chunks WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_id)")
 def chunk_links(spark, d):
     return _chunks(spark, d).select("doc_id", "id", "prev_id", "next_id")
