@@ -6,6 +6,8 @@ import os
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -35,8 +37,12 @@ class Settings:
     broadcast_queries: int = 20_000
 
     @classmethod
-    def load(cls, env_file: str | None = None, environ: dict[str, str] | None = None) -> "Settings":
-        """Defaults, then NAME=value lines of a file, then environment variables; unknown names are ignored."""
+    def load(cls, env_file: str | None = None, environ: dict[str, str] | None = None, spark: SparkSession | None = None) -> "Settings":
+        """Defaults, then NAME=value lines of a file, then environment variables, then `quarry.<name>` of the session.
+
+        Unknown names are ignored. The session's are set with `spark.conf.set` or `--conf spark.quarry.<name>=value`, as
+        spark-submit passes only names that begin with `spark.`.
+        """
         found: dict[str, str] = {}
         if env_file and Path(env_file).exists():
             for line in Path(env_file).read_text().splitlines():
@@ -44,6 +50,12 @@ class Settings:
                 if eq and not name.lstrip().startswith("#"):
                     found[name.strip().lower()] = value.strip().strip("\"'")
         found |= {k.lower(): v for k, v in (os.environ if environ is None else environ).items()}
+        if spark is not None:
+            for f in fields(cls):
+                for name in (f"spark.quarry.{f.name}", f"quarry.{f.name}"):
+                    value = spark.conf.get(name, None)
+                    if value is not None:
+                        found[f.name] = value
         values = {}
         for f in fields(cls):
             if f.name in found:

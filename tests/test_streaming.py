@@ -4,6 +4,7 @@ import time
 from quarry.functions.text import streamed_sentences
 from quarry.plans.dialogue import stream_turns
 from quarry.plans.registry import QUERIES
+from quarry.streaming.memory import latest, remember
 from quarry.streaming.sentences import END, cut, replay_tokens, segment_unordered
 
 
@@ -30,6 +31,29 @@ def test_streamed_memory_equals_batch(spark):
     assert sorted(map(tuple, stream_turns(spark, d).select(cols).collect())) == sorted(map(tuple, QUERIES["memory_last6"](spark, d).select(cols).collect()))
 
 
+def test_idle_sessions_lose_their_memory(spark, tmp_path):
+    def deliver(name, *rows):
+        spark.createDataFrame(rows, "session_id long, seq long, question string, answer string").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        turns = spark.readStream.schema("session_id long, seq long, question string, answer string").parquet(f"{tmp_path}/in/*")
+        remember(turns, 2, idle_ms=1500).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
+        rows = latest(spark.read.parquet(f"{tmp_path}/out")).collect()
+        return {s: sorted(r.seq for r in rows if r.session_id == s) for s in {r.session_id for r in rows}}
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        deliver("a", (1, 0, "q", "a"), (1, 1, "q", "a"), (1, 2, "q", "a"), (2, 0, "q", "a"))
+        assert run() == {1: [1, 2], 2: [0]}
+        time.sleep(2)
+        deliver("b", (3, 0, "q", "a"))  # a batch in which the timers of the first two fire
+        assert run() == {1: [1, 2], 2: [0], 3: [0]}
+        deliver("c", (1, 3, "q", "a"))
+        assert run() == {1: [3], 2: [0], 3: [0]}
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
 def test_event_order(spark):
     by = {}
     for r in QUERIES["stream_events"](spark, "/root/testdata/sf0.001").collect():
