@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as lx
 from quarry.functions import text as tx
-from quarry.operators import cache_order, guard, index, memory, nlu, retrieve, stored_index
+from quarry.operators import cache_order, dense_index, guard, index, memory, nlu, retrieve, stored_index
 from quarry.plans.registry import est, in_list, parts, query, sentences, strip, table, windows
 from quarry.sources.folders import scratch
 from quarry.sources.store import CollectionStore
@@ -148,6 +148,15 @@ def dense_topk(spark, d):
     return retrieve.dense_topk(_vectors(spark, d), _question_vectors(spark, d))
 
 
+@query("dense_cells", f"WITH {DENSE} SELECT query_id, id, sim, dense_rank FROM dense")
+def dense_cells(spark, d):
+    """The same from stored cells, of which a question reads those that can hold one of its best."""
+    stored = dense_index.DenseIndex(spark, scratch(spark, "cells"))
+    stored.begin(_vectors(spark, d))
+    stored.add(_vectors(spark, d), 0)
+    return stored.search(_question_vectors(spark, d))
+
+
 HYBRID = f"""{BM25}, {DENSE},
 merged AS (SELECT query_id, id, coalesce(dense_rank, 10000) AS dense_rank, coalesce(bm25_rank, 10000) AS bm25_rank FROM (SELECT query_id, id, dense_rank FROM dense) FULL OUTER JOIN (SELECT query_id, id, bm25_rank FROM sparse) USING (query_id, id) WHERE id IN (SELECT doc_id FROM documents)),
 fused AS (SELECT *, 1.0::DOUBLE / (60 + dense_rank) + 0.75::DOUBLE / (60 + bm25_rank) AS fused FROM merged),
