@@ -42,6 +42,24 @@ SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(1 AS INT) AS page, CAST(l_line
 FROM lineitem
 """
 
+#: doc_id, page, x0, x1, top, bottom, text: words of a page an order, its lines as one table or two (a wide gap after line 4).
+KB_WORDS = f"""
+SELECT doc_id, CAST(1 AS INT) AS page, CAST(x AS DOUBLE) AS x0, CAST(x + 6 * length(text) AS DOUBLE) AS x1, CAST(y AS DOUBLE) AS top, CAST(y + 10 AS DOUBLE) AS bottom, text FROM (
+SELECT CAST(o_orderkey AS BIGINT) AS doc_id, 50 AS x, 20 AS y, 'Order' AS text FROM orders
+UNION ALL SELECT CAST(o_orderkey AS BIGINT), 84, 20, CAST(o_orderkey AS STRING) FROM orders
+UNION ALL SELECT CAST(o_orderkey AS BIGINT), 50, 48, 'Priority' FROM orders
+UNION ALL SELECT CAST(o_orderkey AS BIGINT), 102, 48, o_orderpriority FROM orders
+UNION ALL SELECT CAST(o_orderkey AS BIGINT), 50, 100, 'Line' FROM orders
+UNION ALL SELECT CAST(o_orderkey AS BIGINT), 150, 100, 'Price' FROM orders
+UNION ALL SELECT CAST(o_orderkey AS BIGINT), 260, 100, 'Discount' FROM orders
+UNION ALL SELECT CAST(o_orderkey AS BIGINT), 330, 100, 'Flag' FROM orders
+UNION ALL SELECT CAST(l_orderkey AS BIGINT), 50, 100 + 14 * l_linenumber + CASE WHEN l_linenumber > 4 THEN 60 ELSE 0 END, 'Line' FROM lineitem
+UNION ALL SELECT CAST(l_orderkey AS BIGINT), 78, 100 + 14 * l_linenumber + CASE WHEN l_linenumber > 4 THEN 60 ELSE 0 END, CAST(l_linenumber AS STRING) FROM lineitem
+UNION ALL SELECT CAST(l_orderkey AS BIGINT), 150, 100 + 14 * l_linenumber + CASE WHEN l_linenumber > 4 THEN 60 ELSE 0 END, {MONEY.format(x='l_extendedprice')} FROM lineitem
+UNION ALL SELECT CAST(l_orderkey AS BIGINT), 260, 100 + 14 * l_linenumber + CASE WHEN l_linenumber > 4 THEN 60 ELSE 0 END, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(CAST(floor(l_discount * 100 + 0.5) AS BIGINT) AS STRING) || '%' END FROM lineitem
+UNION ALL SELECT CAST(l_orderkey AS BIGINT), 330, 100 + 14 * l_linenumber + CASE WHEN l_linenumber > 4 THEN 60 ELSE 0 END, l_returnflag FROM lineitem) w
+"""
+
 #: id, text, lang: phrases of every kind beside names from the tables.
 PHRASES = """
 SELECT CAST(c_custkey AS BIGINT) AS id, p.n AS n, replace(p.t, '@', c_name) AS text, p.lang AS lang FROM customer CROSS JOIN (

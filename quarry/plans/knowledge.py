@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as lx
 from quarry.functions import text as tx
-from quarry.operators import chunk, parse
+from quarry.operators import chunk, layout, parse
 from quarry.plans import kb
 from quarry.plans.registry import derived, est, query, quoted, sentences, strip, table, windows
 
@@ -51,6 +51,25 @@ tabled AS (SELECT * FROM (SELECT * EXCLUDE (head), coalesce(last_value(head IGNO
 every AS (SELECT doc_id, page, 1 AS source, idx AS a, 0 AS b, class AS kind, text, section_no, section_title, CASE WHEN class = 'faq' THEN '' ELSE subsection_no END AS subsection_no, CASE WHEN class = 'faq' THEN '' ELSE subsection_title END AS subsection_title, question, NULL AS row_subject FROM merged
     UNION ALL SELECT doc_id, page, 0, a, b, 'table_row', text, head.n, head.t, head.sn, head.st, NULL, row_subject FROM tabled),
 blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, source, a, b) AS block_no, kind, text, section_no, section_title, subsection_no, subsection_title, page, question, row_subject FROM every WHERE {NOISE})"""
+B = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+LAYOUT = f"""
+words AS (SELECT * FROM ({kb.duck(kb.KB_WORDS)}) WHERE trim(text) <> ''),
+lined AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY top, bottom, x0, x1, text ROWS UNBOUNDED PRECEDING) AS line FROM (
+    SELECT *, CASE WHEN coalesce(top - max(bottom) OVER (PARTITION BY doc_id, page ORDER BY top, bottom, x0, x1, text {B}) >= -1, true) THEN 1 ELSE 0 END AS fresh FROM words)),
+celled AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, page, line ORDER BY x0, x1, text ROWS UNBOUNDED PRECEDING) AS cell FROM (
+    SELECT *, CASE WHEN coalesce(x0 - max(x1) OVER (PARTITION BY doc_id, page, line ORDER BY x0, x1, text {B}) >= 12, true) THEN 1 ELSE 0 END AS apart FROM lined)),
+frags AS (SELECT doc_id, page, line, cell, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom, string_agg(text, ' ' ORDER BY x0, x1, text) AS text FROM celled GROUP BY ALL),
+rowed_up AS (SELECT *, sum(CASE WHEN coalesce(before > 1 AND top - above < 20, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM (
+    SELECT *, lag(n) OVER (PARTITION BY doc_id, page ORDER BY line) AS before, lag(bottom) OVER (PARTITION BY doc_id, page ORDER BY line) AS above FROM (
+        SELECT doc_id, page, line, count(*) AS n, min(top) AS top, max(bottom) AS bottom FROM frags GROUP BY ALL))),
+gridded AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, page, run ORDER BY x0, x1, line, text ROWS UNBOUNDED PRECEDING) AS col FROM (
+    SELECT f.doc_id, f.page, run, f.line, r.top, r.bottom, x0, x1, text, CASE WHEN coalesce(x0 - max(x1) OVER (PARTITION BY f.doc_id, f.page, run ORDER BY x0, x1, f.line, text {B}) >= 1, true) THEN 1 ELSE 0 END AS apart
+    FROM frags f JOIN rowed_up r ON f.doc_id = r.doc_id AND f.page = r.page AND f.line = r.line WHERE n > 1)),
+kept_tables AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY run) AS table_no FROM (
+    SELECT doc_id, page, run, min(top) AS top, max(bottom) AS bottom, max(col)::BIGINT AS width FROM gridded GROUP BY ALL HAVING count(DISTINCT line) >= 2 AND max(col) > 1)),
+slots AS (SELECT doc_id, page, run, line, col, string_agg(text, ' ' ORDER BY x0, x1, text) AS text FROM gridded GROUP BY ALL),
+grid AS (SELECT k.doc_id, k.page, k.table_no, k.top, k.bottom, l.line, row_number() OVER (PARTITION BY k.doc_id, k.page, k.run ORDER BY l.line) AS row_no, list_transform(range(1, k.width + 1), lambda c: l.texts[c]) AS cells
+    FROM kept_tables k JOIN (SELECT doc_id, page, run, line, map_from_entries(list({{'k': col::BIGINT, 'v': text}})) AS texts FROM slots GROUP BY ALL) l ON k.doc_id = l.doc_id AND k.page = l.page AND k.run = l.run)"""
 TARGET = 60  # tokens; small, so that every branch of the packing occurs in the derived texts
 GROUPS = f"""{BLOCKS},
 grouped AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block_no ROWS UNBOUNDED PRECEDING)::BIGINT AS group_no FROM (
@@ -148,6 +167,14 @@ def region_anti(spark, d):
     return parse.outside_tables(objects, regions).select("doc_id", "obj_id")
 
 
+@query("table_discovery", f"WITH {LAYOUT} SELECT doc_id, page, table_no, top, bottom, row_no, array_to_string(list_transform(cells, lambda c: coalesce(c, '-')), ' | ') AS cells FROM grid")
+def table_discovery(spark, d):
+    """Tables found among the words of a page, a row each of their rows."""
+    found = layout.find_tables(derived(spark, d, kb.KB_WORDS))
+    rows = found.select("doc_id", "page", "table_no", "top", "bottom", F.posexplode("cells").alias("row_no", "row"))
+    return rows.select("doc_id", "page", "table_no", "top", "bottom", (F.col("row_no") + 1).cast("long").alias("row_no"), F.array_join("row", " | ", "-").alias("cells"))
+
+
 @query("run_groups", f"WITH {GROUPS} SELECT doc_id, block_no, group_no FROM grouped")
 def run_groups(spark, d):
     return chunk.run_groups(_blocks(spark, d)).select("doc_id", "block_no", "group_no")
