@@ -24,7 +24,8 @@ def sweep(df: DataFrame, within: list[str], order: list[str], start: str, end: s
     w = Window.partitionBy(*within).orderBy(*order)
     furthest = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col(start) - furthest >= gap, F.lit(True)).cast("int")
-    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    peers = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)  # equal rows get one number, whichever of them comes first
+    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(peers)).drop("_new")
 
 
 def placed(words: DataFrame) -> DataFrame:

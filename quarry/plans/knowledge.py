@@ -54,15 +54,15 @@ blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page,
 B = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 LAYOUT = f"""
 words AS (SELECT * FROM ({kb.duck(kb.KB_WORDS)}) WHERE trim(text) <> ''),
-lined AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY top, bottom, x0, x1, text ROWS UNBOUNDED PRECEDING) AS line FROM (
+lined AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY top, bottom, x0, x1, text RANGE UNBOUNDED PRECEDING) AS line FROM (
     SELECT *, CASE WHEN coalesce(top - max(bottom) OVER (PARTITION BY doc_id, page ORDER BY top, bottom, x0, x1, text {B}) >= -1, true) THEN 1 ELSE 0 END AS fresh FROM words)),
-celled AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, page, line ORDER BY x0, x1, text ROWS UNBOUNDED PRECEDING) AS cell FROM (
+celled AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, page, line ORDER BY x0, x1, text RANGE UNBOUNDED PRECEDING) AS cell FROM (
     SELECT *, CASE WHEN coalesce(x0 - max(x1) OVER (PARTITION BY doc_id, page, line ORDER BY x0, x1, text {B}) >= 12, true) THEN 1 ELSE 0 END AS apart FROM lined)),
 frags AS (SELECT doc_id, page, line, cell, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom, string_agg(text, ' ' ORDER BY x0, x1, text) AS text FROM celled GROUP BY ALL),
 rowed_up AS (SELECT *, sum(CASE WHEN coalesce(before > 1 AND top - above < 20, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM (
     SELECT *, lag(n) OVER (PARTITION BY doc_id, page ORDER BY line) AS before, lag(bottom) OVER (PARTITION BY doc_id, page ORDER BY line) AS above FROM (
         SELECT doc_id, page, line, count(*) AS n, min(top) AS top, max(bottom) AS bottom FROM frags GROUP BY ALL))),
-gridded AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, page, run ORDER BY x0, x1, line, text ROWS UNBOUNDED PRECEDING) AS col FROM (
+gridded AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, page, run ORDER BY x0, x1, line, text RANGE UNBOUNDED PRECEDING) AS col FROM (
     SELECT f.doc_id, f.page, run, f.line, r.top, r.bottom, x0, x1, text, CASE WHEN coalesce(x0 - max(x1) OVER (PARTITION BY f.doc_id, f.page, run ORDER BY x0, x1, f.line, text {B}) >= 1, true) THEN 1 ELSE 0 END AS apart
     FROM frags f JOIN rowed_up r ON f.doc_id = r.doc_id AND f.page = r.page AND f.line = r.line WHERE n > 1)),
 kept_tables AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY run) AS table_no FROM (
