@@ -8,6 +8,7 @@ from quarry.functions import lexicon as lx
 from quarry.functions import text as tx
 from quarry.operators import cache_order, dense_index, guard, index, memory, nlu, retrieve, stored_index
 from quarry.plans.registry import est, in_list, parts, query, sentences, strip, table, windows
+from quarry.sources import lines
 from quarry.sources.folders import scratch
 from quarry.sources.store import CollectionStore
 
@@ -27,6 +28,16 @@ def index_write(spark, d):
     return store.read(spark, "documents")
 
 
+@query("page_scan", "SELECT coalesce(lang, 'none') AS lang, text, count(*) AS n FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY ALL")
+def page_scan(spark, d):
+    """The texts written as the pages of files, a folder a language, and read back in parts."""
+    path = scratch(spark, "pages")
+    texts = table(spark, d, "documents").filter("text <> ''").select("text", F.coalesce("lang", F.lit("none")).alias("lang"))
+    texts.repartition("lang").write.partitionBy("lang").option("lineSep", "\f").text(path)
+    pages = lines.scan_pages(spark, path)
+    return pages.groupBy(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("est_tokens", f"SELECT doc_id, {est('text')}::INT AS n_tokens FROM documents")
 def est_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.est_tokens(F.col("text")).alias("n_tokens"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -37,6 +37,28 @@ def read_pages(spark: SparkSession, path: str, pages: Callable[[bytes], list[str
     return files.mapInPandas(run, "doc_id long, path string, page int, text string")
 
 
+def scan_pages(spark: SparkSession, path: str, files: list[str] | None = None, page: Column | str | None = None) -> DataFrame:
+    """doc_id, path, page (from 1), text, like read_pages of text files, with large files read in parts by several tasks.
+
+    Spark's text reader splits a file at form feeds; a part's pages are numbered by the counts of the parts before it, a row for
+    each part of a file, so files are read twice. `files` (paths as the result names them) leaves the other files unread. `page` is a
+    condition on the column of that name; texts of parts without such a page are read, but go no further than their scan or
+    join. A form feed that ends a file begins no page, and an empty file has none. Errors if the path does not exist.
+    """
+    raw = spark.read.option("lineSep", "\f").text(path)
+    if files is not None:
+        raw = raw.filter(F.col("_metadata.file_path").isin(files))  # before rows are numbered: Spark then leaves the other files out
+    named = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("text"))
+    before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    parts = named.groupBy("path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if page is not None:
+        numbers = parts.withColumn("page", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_n"))))
+        parts = numbers.filter(page).select("path", "_start", "_n", "_first", "_before").distinct()
+    met = named.join(parts, ["path", "_start"]).select(F.xxhash64("path").alias("doc_id"), "path", (F.col("_before") + F.col("_row") - F.col("_first") + 1).cast("int").alias("page"), "text")
+    return met if page is None else met.filter(page)
+
+
 def read_lines(spark: SparkSession, path: str, pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
     """SCHEMA, with line numbers from 1 on each page."""
     found = read_pages(spark, path, pages)
