@@ -30,6 +30,29 @@ def latency(df: DataFrame, column: str = "total_ms") -> DataFrame:
     return df.agg(F.median(column).alias("p50"), F.avg(column).alias("mean"), F.max(column).alias("max"))
 
 
+def latency_sketches(timings: DataFrame, by: list[str], column: str = "ms", k: int = 200) -> DataFrame:
+    """The groups of `by` with n, total, most and a KLL sketch of the column: a row of bounded size for any number of times.
+
+    Rows can be stored (of each day, say) and merged later. With k = 200 a quantile's rank is off by at most 1.65 % of the
+    group with a probability of 0.99; the error falls about as k grows. Null and non-finite times are not counted.
+    """
+    ms = F.col(column).cast("double")
+    sound = timings.filter(ms.isNotNull() & ~F.isnan(ms) & (F.abs(ms) < float("inf")))
+    return sound.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(ms).alias("total"), F.max(ms).alias("most"), F.kll_sketch_agg_double(ms, k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str], k: int = 200) -> DataFrame:
+    """The rows of latency_sketches put together by fewer columns; the error stays that of one sketch."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("most"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketched_latency(sketches: DataFrame, ranks: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """The columns of the groups with n, mean, max and p50, p95, ... from the sketches."""
+    groups = [c for c in sketches.columns if c not in ("n", "total", "most", "sketch")]
+    quantiles = [F.kll_sketch_get_quantile_double("sketch", F.lit(r)).alias(f"p{round(100 * r)}") for r in ranks]
+    return sketches.select(*groups, "n", (F.col("total") / F.col("n")).alias("mean"), F.col("most").alias("max"), *quantiles)
+
+
 def failures(judged: DataFrame, width: int = 110) -> DataFrame:
     """case_id, tag, question, text: what went wrong."""
     tag = F.when(F.col("answerable"), "ANSWER").otherwise("ABSTAIN")

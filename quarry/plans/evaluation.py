@@ -38,3 +38,14 @@ def eval_failures(spark, d):
 @query("eval_latency", "SELECT round(median(value), 6) AS p50, round(avg(value), 6) AS mean, round(max(value), 6) AS max FROM events")
 def eval_latency(spark, d):
     return evaluate.latency(table(spark, d, "events"), "value").select(*[F.round(c, 6).alias(c) for c in ("p50", "mean", "max")])
+
+
+@query("eval_stage_latency", "SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, max(value)::DOUBLE AS max, true AS p50_within, true AS p95_within FROM events GROUP BY event_type")
+def eval_stage_latency(spark, d):
+    """Latency by stage from sketches of each stage and day, merged; and whether the true ranks of its quantiles are within 0.03."""
+    events = table(spark, d, "events").select(F.col("event_type").alias("stage"), F.to_date("ts").alias("day"), F.col("value").alias("ms"))
+    daily = evaluate.latency_sketches(events, ["stage", "day"])
+    found = evaluate.sketched_latency(evaluate.merge_sketches(daily, ["stage"]), (0.5, 0.95))
+    ranked = events.join(found.select("stage", "p50", "p95"), "stage").groupBy("stage").agg(*[F.avg((F.col("ms") <= F.col(p)).cast("double")).alias(f"_{p}") for p in ("p50", "p95")])
+    within = [(F.abs(F.col(f"_{p}") - F.lit(r)) <= 0.03).alias(f"{p}_within") for p, r in (("p50", 0.5), ("p95", 0.95))]
+    return found.join(ranked, "stage").select("stage", "n", F.round("mean", 6).alias("mean"), "max", *within)
