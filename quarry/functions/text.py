@@ -16,7 +16,7 @@ def strings(values: Sequence[str]) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def clean_text(x: Column) -> Column:

@@ -19,7 +19,7 @@ FOLLOW = "(" + " OR ".join(f"starts_with(lower({strip('{x}')}), {quoted(s)})" fo
 
 
 def _phrases(spark, d):
-    return derived(spark, d, kb.PHRASES)
+    return derived(spark, d, kb.PHRASES, {"customer": "c_custkey"})
 
 
 def _turns(spark, d):

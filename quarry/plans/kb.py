@@ -82,10 +82,16 @@ def duck(sql: str) -> str:
     return re.sub(r"\barray\(", "list_value(", sql)
 
 
-def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run a statement over the tables of a folder, which its FROM clauses name."""
+def frame(spark: SparkSession, sf_dir: str, sql: str, dealt: dict[str, str] | None = None) -> DataFrame:
+    """Run a statement over the tables of a folder, which its FROM clauses name.
+
+    dealt: (table, column) of tables that are shuffled by that column before the statement multiplies their rows; a small file is
+    one task otherwise. The number of partitions is stated, because Spark would join small ones.
+    """
     names = sorted(set(re.findall(r"(?:FROM|JOIN) (region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations)\b", sql)))
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    for n, column in (dealt or {}).items():
+        tables[n] = tables[n].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), column)
     for n in names:
         sql = re.sub(rf"(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
     return spark.sql(sql, **tables)

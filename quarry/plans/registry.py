@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return kb.frame(spark, sf_dir, sql)
+def derived(spark: SparkSession, sf_dir: str, sql: str, dealt: dict[str, str] | None = None) -> DataFrame:
+    return kb.frame(spark, sf_dir, sql, dealt)
 
 
 # ---- pieces of DuckDB SQL ----
