@@ -65,10 +65,19 @@ def _idf(counts: DataFrame, stats: DataFrame, epsilon: float) -> DataFrame:
 
 
 def l2_normalize(vector: Column, eps: float = 1e-9) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))) + F.lit(eps)
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0)))) + F.lit(eps)
     return F.transform(vector, lambda x: x.cast("double") / norm)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero on its binary value; unlike F.round it leaves a negative value's zero negative."""
+    scale = float(10**digits)
+    scaled = F.abs(x) * F.lit(scale)
+    down = F.floor(scaled).cast("double")
+    near = F.signum(x) * ((down + F.when(scaled - down >= F.lit(0.5).cast("double"), F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale))
+    return F.when(F.isnan(x) | (scaled >= F.lit(float(2**52))), x).otherwise(near)  # no fraction to round, or none that a double holds
+
+
 def embed(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text_column: str = "text", batch: int = DEFAULTS.embedding_batch) -> DataFrame:
     """Adds `embedding`, L2-normalised, by calls of at most `batch` texts."""
 

@@ -87,7 +87,7 @@ def lang_detect(spark, d):
 
 @query("l2_normalize", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-9::DOUBLE), 6)) AS unit FROM embeddings")
 def l2_normalize(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(index.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(index.l2_normalize(F.col("embedding")), lambda x: index.rounded(x, 6)).alias("unit"))
 
 
 @query("bm25_tokens", f"SELECT doc_id AS id, token, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format(x='text')}) AS token FROM documents) GROUP BY ALL")
