@@ -33,7 +33,7 @@ def page_scan(spark, d):
     """The texts written as the pages of files, a folder a language, and read back in parts."""
     path = scratch(spark, "pages")
     texts = table(spark, d, "documents").filter("text <> ''").select("text", F.coalesce("lang", F.lit("none")).alias("lang"))
-    texts.repartition("lang").write.partitionBy("lang").option("lineSep", "\f").text(path)
+    texts.write.partitionBy("lang").option("lineSep", "\f").text(path)
     pages = lines.scan_pages(spark, path)
     return pages.groupBy(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), "text").agg(F.count(F.lit(1)).alias("n"))
 

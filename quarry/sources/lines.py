@@ -55,7 +55,7 @@ def scan_pages(spark: SparkSession, path: str, files: list[str] | None = None, p
     if page is not None:
         numbers = parts.withColumn("page", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_n"))))
         parts = numbers.filter(page).select("path", "_start", "_n", "_first", "_before").distinct()
-    met = named.join(parts, ["path", "_start"]).select(F.xxhash64("path").alias("doc_id"), "path", (F.col("_before") + F.col("_row") - F.col("_first") + 1).cast("int").alias("page"), "text")
+    met = named.join(F.broadcast(parts), ["path", "_start"]).select(F.xxhash64("path").alias("doc_id"), "path", (F.col("_before") + F.col("_row") - F.col("_first") + 1).cast("int").alias("page"), "text")
     return met if page is None else met.filter(page)
 
 
