@@ -29,11 +29,11 @@ def audited(docs: DataFrame, answers: DataFrame, vectors: DataFrame, min_overlap
     """query_id, verdict, reason, top_id, n_hits, text. docs: id, text, section_no, header; answers: query_id, text; vectors: id, embedding."""
     asked = vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec")).join(answers.select("query_id"), "query_id", "left_semi")
     linked = retrieve.link_by_order(docs.select("id", "section_no"))
-    sparse = retrieve.bm25_topk(retrieve.bm25_scores(docs.select("id", "text"), answers))
+    sparse = retrieve.bm25_best(docs.select("id", "text"), answers)
     fused = retrieve.rrf_topk(retrieve.rrf(retrieve.merge_hits(retrieve.dense_topk(vectors, asked), sparse, docs)))
     final = retrieve.final_topk(retrieve.rerank(fused, docs, answers))
-    hits = retrieve.expand_neighbors(final, linked).checkpoint()  # a few rows an answer, read by all that follows
-    context = guard.build_context(hits.join(docs.select("id", "text", "header"), "id"))
+    hits, near = retrieve.few_hits(retrieve.expand_neighbors(final, linked))  # a few rows an answer, read by all that follows
+    context = guard.build_context(docs.select("id", "text", "header").join(near(hits), "id"))
     gate = guard.pre_gate(answers, hits, abstain_threshold).withColumnRenamed("reason", "pre_reason")
     top = hits.groupBy("query_id").agg(F.min_by("id", "final_rank").alias("top_id"), F.count(F.lit(1)).alias("n_hits"))
     rows = answers.join(gate, "query_id").join(context, "query_id", "left").join(top, "query_id", "left")

@@ -127,7 +127,7 @@ def bm25_score(spark, d):
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, id, round(score, 3) AS score, bm25_rank FROM sparse")
 def bm25_topk(spark, d):
-    return retrieve.bm25_topk(retrieve.bm25_scores(_docs(spark, d), _questions(spark, d))).withColumn("score", F.round("score", 3))
+    return retrieve.bm25_best(_docs(spark, d), _questions(spark, d)).withColumn("score", F.round("score", 3))
 
 
 @query("bm25_stored", f"WITH {BM25} SELECT query_id, id, round(score, 3) AS score, bm25_rank FROM sparse")
@@ -185,7 +185,7 @@ hits AS (SELECT query_id, id, rerank_score, final_rank, false AS neighbor FROM f
 
 def _merged(spark, d):
     docs = _docs(spark, d)
-    sparse = retrieve.bm25_topk(retrieve.bm25_scores(docs, _questions(spark, d)))
+    sparse = retrieve.bm25_best(docs, _questions(spark, d))
     return retrieve.merge_hits(retrieve.dense_topk(_vectors(spark, d), _question_vectors(spark, d)), sparse, docs)
 
 
@@ -239,7 +239,8 @@ def neighbor_expand(spark, d):
 
 def _texts_of_hits(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("header"), (F.col("doc_id") % 90 + 1).alias("page"))
-    return _hits(spark, d).join(docs, "id")
+    hits, near = retrieve.few_hits(_hits(spark, d))
+    return docs.join(near(hits), "id").select(*hits.columns, *docs.columns[1:])
 
 
 CONTEXT = f"""{HYBRID},
