@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
@@ -46,7 +47,7 @@ STRUCTURAL = frozenset("site page main global primary secondary top bottom left
 #: These are furniture even where they hold articles.
 OTHERS_TEXT = frozenset("comment comments commentlist reply replies discussion disqus related recommended recommendations".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Pairs of children up to which their alignment is the best one.
+#: Cells of an alignment's table up to which all are held; a larger table is held in blocks of rows, with the same result.
 CELLS = 4_000_000
 LEAST_PAGES = 3
 CONSTANT = 0.5
@@ -209,43 +210,53 @@ def _label(node: Node) -> tuple:
 def _chosen(x: list[Node], y: list[Node], weigh) -> tuple[int, list[tuple[int, int]]]:
     """The ordered pairs of greatest total weight between two lists of children, by dynamic programming.
 
-    Beyond `CELLS` pairs of children each takes the next of equal shape, so that time and memory stay bounded.
+    Of a table beyond `CELLS` the first row of each block is kept, and a block is computed again when the way back comes to
+    it: memory grows with the longer list times the root of the other, and the pairs are those of the whole table.
     """
     if not x or not y:
         return 0, []
-    if len(x) * len(y) > CELLS:
-        total, steps, j = 0, [], 0
-        places: dict[int, list[int]] = {}
-        for k in range(len(y) - 1, -1, -1):
-            places.setdefault(y[k].shape, []).append(k)
-        for i, c in enumerate(x):
-            later = places.get(c.shape, [])
-            while later and later[-1] < j:
-                later.pop()
-            if later and later[-1] - j <= max(0, len(y) - len(x)) + 64:  # not so far ahead that the rest has no room
-                steps.append((i, later[-1]))
-                total += c.size
-                j = later.pop() + 1
-        return total, steps
-    kinds_x, kinds_y = {c.shape: c for c in x}, {c.shape: c for c in y}
+    kinds_y = {c.shape: c for c in y}
     places_y = {shape: k for k, shape in enumerate(kinds_y)}
-    rows = {s: np.array([weigh(c, d) for d in kinds_y.values()], "int64") for s, c in kinds_x.items()}
     at = np.array([places_y[c.shape] for c in y])
-    table = np.zeros((len(x) + 1, len(y) + 1), "int64")
+    known: dict[int, np.ndarray] = {}
+
+    def weights(c: Node) -> np.ndarray:
+        found = known.get(c.shape)
+        if found is None:
+            found = np.array([weigh(c, d) for d in kinds_y.values()], "int32")
+            if (len(known) + 1) * len(kinds_y) <= CELLS:
+                known[c.shape] = found
+        return found
+
+    def below(row: np.ndarray, c: Node) -> np.ndarray:
+        out = np.zeros_like(row)
+        out[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights(c)[at]))
+        return out
+
+    height = len(x) if len(x) * len(y) <= CELLS else math.isqrt(len(x)) + 1
+    row, tops = np.zeros(len(y) + 1, "int32"), []
     for i, c in enumerate(x):
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + rows[c.shape][at]))
-    steps = []
-    i, j = len(x), len(y)
-    while i and j:
-        w = rows[x[i - 1].shape][at[j - 1]]
-        if w and table[i, j] == table[i - 1, j - 1] + w:
-            i, j = i - 1, j - 1
-            steps.append((i, j))
-        elif table[i - 1, j] == table[i, j]:
-            i -= 1
-        else:
-            j -= 1
-    return int(table[-1, -1]), steps[::-1]
+        if i % height == 0:
+            tops.append(row)
+        row = below(row, c)
+    total = int(row[-1])
+    steps: list[tuple[int, int]] = []
+    j = len(y)
+    for first in range((len(tops) - 1) * height, -1, -height):
+        table = [tops.pop()]
+        for c in x[first : first + height]:
+            table.append(below(table[-1], c))
+        i = len(table) - 1
+        while i and j:
+            w = weights(x[first + i - 1])[at[j - 1]]
+            if w and table[i][j] == table[i - 1][j - 1] + w:
+                i, j = i - 1, j - 1
+                steps.append((first + i, j))
+            elif table[i - 1][j] == table[i][j]:
+                i -= 1
+            else:
+                j -= 1
+    return total, steps[::-1]
 
 
 def match(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
@@ -279,12 +290,11 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
         while right < least - left and p[-1 - right].shape == q[-1 - right].shape:
             right += 1
         p, q = p[left : len(p) - right], q[left : len(q) - right]
-        if len(p) * len(q) <= CELLS:
-            kinds = {c.shape: c for c in q}.values()
-            missing = [(c, d) for c in {c.shape: c for c in p}.values() for d in kinds if c.shape != d.shape and (c.shape, d.shape) not in known and _label(c) == _label(d)]
-            if missing:
-                stack += missing
-                continue
+        kinds = {c.shape: c for c in q}.values()
+        missing = [(c, d) for c in {c.shape: c for c in p}.values() for d in kinds if c.shape != d.shape and (c.shape, d.shape) not in known and _label(c) == _label(d)]
+        if missing:
+            stack += missing
+            continue
         total, steps = _chosen(p, q, weigh)
         ends = sum([c.size for c in x.blocks[:left]]) + sum([c.size for c in x.blocks[len(x.blocks) - right :]])
         known[x.shape, y.shape] = (1 + ends + total, left, right, steps)
