@@ -19,8 +19,30 @@ def strip(x: Column) -> Column:
     return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
+def tidy(x: Column) -> Column:
+    """Whether cleaning would leave x as it is: ASCII without runs of blanks, other white space or blanks at its ends. Null is not."""
+    bare = (F.length(x) == F.octet_length(x)) & (F.trim(x) == x) & ~F.contains(x, F.lit("  "))
+    for c in "\t\n\x0b\f\r":
+        bare = bare & ~F.contains(x, F.lit(c))
+    return bare
+
+
 def clean_text(x: Column) -> Column:
     """Typographic variants to plain ones, runs of blanks and tabs to one blank, trimmed."""
+    return F.when(tidy(x), x).otherwise(_cleaned(x))
+
+
+def joined_cells(cells: Column) -> Column:
+    """The cells of a row in one text, on which `tidy_cells` tells whether any needs cleaning: a null is a tab, ends stand by bars."""
+    return F.concat(F.lit("|"), F.array_join(cells, "|", "\t"), F.lit("|"))
+
+
+def tidy_cells(joined: Column) -> Column:
+    """Whether cleaning would leave all cells of a row as they are."""
+    return tidy(joined) & ~F.contains(joined, F.lit("| ")) & ~F.contains(joined, F.lit(" |"))
+
+
+def _cleaned(x: Column) -> Column:
     plain = F.translate(x, "\u00a0\u2019\u2018\u201c\u201d\u2013\u2014", " ''\"\"--")
     plain = F.replace(F.replace(plain, F.lit("\ufb01"), F.lit("fi")), F.lit("\ufb02"), F.lit("fl"))
     return strip(F.regexp_replace(plain, r"[ \t]+", " "))

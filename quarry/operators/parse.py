@@ -6,12 +6,12 @@ Everything is partitioned by document; order is (page, tables before text, line)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as lx
 from quarry.functions.frame import once
-from quarry.functions.text import clean_text, strip
+from quarry.functions.text import clean_text, joined_cells, strip, tidy_cells
 
 BLOCK_COLUMNS = ["doc_id", "block_no", "kind", "text", "section_no", "section_title", "subsection_no", "subsection_title", "page", "question", "row_subject"]
 
@@ -24,13 +24,14 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     sub, sec = F.regexp_extract(line, lx.SUBSECTION, 2), F.regexp_extract(line, lx.SECTION, 2)
-    body = strip(F.regexp_replace(line, lx.BULLET, ""))
+    marked = F.col("raw_line").rlike(lx.BULLET)  # white space before the marker is part of the pattern
+    body = F.when(line.rlike(lx.BULLET), strip(F.regexp_replace(line, lx.BULLET, ""))).otherwise(line)
     kind = (
         F.when(line.rlike(lx.SUBSECTION) & (F.length(sub) < 80), "sub")
         .when(line.rlike(lx.SECTION) & (F.length(sec) < 80) & ~line.endswith("."), "sec")
         .when(line.rlike(lx.FAQ_QUESTION), "q")
         .when(line.rlike(lx.FAQ_ANSWER), "a")
-        .when(strip(F.col("raw_line")).rlike(lx.BULLET), "bullet")
+        .when(marked, "bullet")
         .otherwise("prose")
     )
     cleaned = once(lines, {"line": clean_text(F.col("raw_line"))}).filter(F.col("line") != "")
@@ -76,14 +77,19 @@ def merge_paragraphs(paired: DataFrame) -> DataFrame:
     return islands.groupBy("doc_id", "block").agg(F.min("idx").alias("idx"), F.min("line_no").alias("line_no"), first("class"), ordered.alias("text"), first("section_no"), first("section_title"), first("subsection_no"), first("subsection_title"), first("page"), first("question"))
 
 
+def _clean_row(rows: DataFrame, name: str, cells: Column) -> DataFrame:
+    """`name`: the cells, cleaned, null as ''. Rows of tidy cells, told by one look at all cells joined, are left as they are."""
+    told = rows.withColumn("_joined", joined_cells(cells)).withColumn("_tidy", tidy_cells(F.col("_joined"))).drop("_joined")
+    return once(told, {name: F.when(F.col("_tidy"), cells).otherwise(F.transform(cells, lambda c: clean_text(F.coalesce(c, F.lit("")))))}).drop("_tidy")
+
+
 def linearize_tables(tables: DataFrame) -> DataFrame:
     """One sentence a table row: doc_id, page, table_no, row_no, row_subject, columns, text.
 
     The first row is the header (it must not be empty); rows without a subject or without further values are dropped.
     """
-    cleaned = lambda row: F.transform(row, lambda c: clean_text(F.coalesce(c, F.lit(""))))
-    t = once(tables.filter(F.size("cells") >= 2), {"columns": cleaned(F.col("cells")[0])}).filter(F.exists("columns", lambda c: c != ""))
-    rows = once(t.select("doc_id", "page", "table_no", "columns", F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("row_no", "row")), {"row": cleaned(F.col("row"))})
+    t = _clean_row(tables.filter(F.size("cells") >= 2), "columns", F.col("cells")[0]).filter(F.exists("columns", lambda c: c != ""))
+    rows = _clean_row(t.select("doc_id", "page", "table_no", "columns", F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("row_no", "row")), "row", F.col("row"))
     rows = rows.withColumn("row_subject", F.get("row", F.lit(0))).filter(F.coalesce(F.col("row_subject"), F.lit("")) != "")
     label = F.when(F.col("columns")[0] != "", F.col("columns")[0]).otherwise("Item")
     width = F.least(F.size("columns"), F.size("row")) - 1
@@ -113,13 +119,27 @@ def parse_blocks(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame
     filled = fill_sections(classify_lines(lines))
     text = merge_paragraphs(pair_questions(filled)).withColumns({"kind": F.col("class"), "row_subject": F.lit(None).cast("string"), "source": F.lit(1), "a": F.col("idx").cast("long"), "b": F.lit(0).cast("long")})
     text = text.withColumn("subsection_no", F.when(F.col("kind") == "faq", "").otherwise(F.col("subsection_no"))).withColumn("subsection_title", F.when(F.col("kind") == "faq", "").otherwise(F.col("subsection_title")))
-    columns = ["doc_id", "page", "source", "a", "b", "kind", "text", "section_no", "section_title", "subsection_no", "subsection_title", "question", "row_subject"]
-    blocks = text.select(columns)
-    if tables is not None:
-        rows = linearize_tables(tables).select("doc_id", "page", F.lit(0).alias("source"), F.col("table_no").cast("long").alias("a"), F.col("row_no").cast("long").alias("b"), F.lit("table_row").alias("kind"), "text", "row_subject")
-        heads = filled.select("doc_id", "page", F.lit(2).alias("source"), F.col("idx").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.struct("section_no", "section_title", "subsection_no", "subsection_title").alias("head"))
-        w = Window.partitionBy("doc_id").orderBy("page", "source", "a", "b").rowsBetween(Window.unboundedPreceding, -1)
-        both = rows.unionByName(heads, allowMissingColumns=True).withColumn("head", F.coalesce(F.last("head", ignorenulls=True).over(w), F.expr("named_struct('section_no', '', 'section_title', '', 'subsection_no', '', 'subsection_title', '')"))).filter("source = 0")
-        blocks = blocks.unionByName(both.select("doc_id", "page", "source", "a", "b", "kind", "text", "head.*", F.lit(None).cast("string").alias("question"), "row_subject"))
-    numbered = drop_noise(blocks).withColumn("block_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "source", "a", "b")).cast("long"))
-    return numbered.select(*BLOCK_COLUMNS)
+    own = ["section_no", "section_title", "subsection_no", "subsection_title"]
+    blocks = drop_noise(text.select("doc_id", "page", "source", "a", "b", "kind", "text", *own, "question", "row_subject"))
+    w = Window.partitionBy("doc_id").orderBy("page", "source", "a", "b")
+    if tables is None:
+        return blocks.withColumn("block_no", F.row_number().over(w).cast("long")).select(*BLOCK_COLUMNS)
+    place = lambda source, a, b: [F.lit(source).alias("source"), F.col(a).cast("long").alias("a"), b.cast("long").alias("b")]
+    rows = linearize_tables(tables).select("doc_id", "page", *place(0, "table_no", F.col("row_no")), F.lit("table_row").alias("kind"), "text", "row_subject")
+    heads = headings(lines).select("doc_id", "page", *place(2, "idx", F.lit(0)), F.struct(*own).alias("head"))
+    # one sort places rows of tables, blocks of text and headings; headings are not counted and go
+    both = drop_noise(rows).unionByName(blocks, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
+    both = both.withColumns({
+        "head": F.last("head", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "block_no": F.sum(F.when(F.col("source") == 2, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    }).filter("source <> 2")
+    in_force = {c: F.when(F.col("source") == 0, F.coalesce(F.col("head")[c], F.lit(""))).otherwise(F.col(c)) for c in own}
+    return both.withColumns(in_force).select(*BLOCK_COLUMNS)
+
+
+def headings(lines: DataFrame) -> DataFrame:
+    """The lines that are headings, with the section and subsection in force from each on; all of them begin with a digit."""
+    first = F.ascii("raw_line")  # a digit, or what cleaning may take off before one
+    told = once(lines, {"_begins": ((first <= 57) | (first > 127)) & clean_text(F.col("raw_line")).rlike(r"^\d")})  # told above the lines' shuffle, which is read twice
+    begun = told.filter("_begins").drop("_begins")
+    return fill_sections(classify_lines(begun).filter(F.col("class").isin("sec", "sub")))

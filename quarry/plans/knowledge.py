@@ -101,7 +101,8 @@ def _lines(spark, d):
 
 
 def _tables(spark, d):
-    return derived(spark, d, kb.KB_TABLES).repartition("doc_id")
+    """Dealt by document before cells are made of the rows, so that numbers are shuffled and not texts."""
+    return derived(spark, d, kb.KB_TABLES, {"lineitem": "l_orderkey"})
 
 
 def _blocks(spark, d):
