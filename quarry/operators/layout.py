@@ -5,8 +5,9 @@ into lines, a line from left to right into fragments (cells, where a gap is wide
 follow each other closely are a table, and the fragments of a table, swept from left to right together, fall into columns.
 Each sweep is a running maximum of the ends so far: what begins beyond it begins a new group.
 
-All windows and groups hold document and page, so a table of words is shuffled once. A page is swept in one task. Words without
-text, place or page take no part; order is that of place, then text, so that words in one place have a defined order.
+All windows and groups hold document and page, so a table of words is shuffled once, into as many parts as its counted words ask
+for, so that the sorts of a part stay in memory at any size. A page is swept in one task. Words without text, place or page
+take no part; order is that of place, then text, so that words in one place have a defined order.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from quarry.operators.parse import outside_tables, parse_blocks
 
 PAGE = ["doc_id", "page"]
+#: Words of a part on average: some 60 MB in each of the few sorts that a task holds at once.
+PART_WORDS = 500_000
 
 
 def sweep(df: DataFrame, within: list[str], order: list[str], start: str, end: str, gap: float, name: str) -> DataFrame:
@@ -33,9 +36,14 @@ def placed(words: DataFrame) -> DataFrame:
     return words.select(columns).dropna(subset=columns).filter("trim(text) <> ''")
 
 
+def dealt(words: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
+    """Placed words, dealt by page. The number of parts is stated, because small shuffled bytes (words compress well) would be joined to few large parts."""
+    return placed(words).repartition(max(words.sparkSession.sparkContext.defaultParallelism, -(-words.count() // part_words)), *PAGE)
+
+
 def word_lines(words: DataFrame, overlap: float) -> DataFrame:
-    """Words with `line`; words that overlap the line above by less than `overlap` begin a new one."""
-    return sweep(placed(words), PAGE, ["top", "bottom", "x0", "x1", "text"], "top", "bottom", -overlap, "line")
+    """Placed words with `line`; words that overlap the line above by less than `overlap` begin a new one."""
+    return sweep(words, PAGE, ["top", "bottom", "x0", "x1", "text"], "top", "bottom", -overlap, "line")
 
 
 def _joined(order: list[str]) -> Column:
@@ -43,7 +51,7 @@ def _joined(order: list[str]) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda s: s["text"]), " ")
 
 
-def find_tables(words: DataFrame, gap: float = 12.0, row_gap: float = 20.0, gutter: float = 1.0, overlap: float = 1.0, least_rows: int = 2) -> DataFrame:
+def find_tables(words: DataFrame, gap: float = 12.0, row_gap: float = 20.0, gutter: float = 1.0, overlap: float = 1.0, least_rows: int = 2, part_words: int = PART_WORDS) -> DataFrame:
     """doc_id, page, table_no (from 1, downwards), top, bottom, x0, x1, cells (rows of cells, null where a row has none).
 
     gap: width that divides cells; row_gap: height that divides tables; gutter: width that is left free between columns. A cell that reaches over
@@ -51,7 +59,7 @@ def find_tables(words: DataFrame, gap: float = 12.0, row_gap: float = 20.0, gutt
     is what parse.outside_tables, parse.linearize_tables and parse.parse_blocks take.
     """
     across = ["x0", "x1", "text"]
-    split = sweep(word_lines(words, overlap), [*PAGE, "line"], across, "x0", "x1", gap, "cell")
+    split = sweep(word_lines(dealt(words, part_words), overlap), [*PAGE, "line"], across, "x0", "x1", gap, "cell")
     cells = split.groupBy(*PAGE, "line", "cell").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), _joined(across).alias("text"))
     fragments = F.sort_array(F.collect_list(F.struct("x0", "x1", "text")))
     lines = cells.groupBy(*PAGE, "line").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), fragments.alias("fragments"))
@@ -71,9 +79,10 @@ def find_tables(words: DataFrame, gap: float = 12.0, row_gap: float = 20.0, gutt
     return numbered.select(*PAGE, "table_no", "top", "bottom", "x0", "x1", F.transform("rows", spread).alias("cells"))
 
 
-def words_to_lines(words: DataFrame, tables: DataFrame | None = None, overlap: float = 1.0) -> DataFrame:
+def words_to_lines(words: DataFrame, tables: DataFrame | None = None, overlap: float = 1.0, part_words: int = PART_WORDS) -> DataFrame:
     """doc_id, page, line_no (from 1 on each page), raw_line of the words that lie in no table."""
-    rest = placed(words) if tables is None else outside_tables(placed(words), tables.select(*PAGE, "top", "bottom"))
+    words = dealt(words, part_words)
+    rest = words if tables is None else outside_tables(words, tables.select(*PAGE, "top", "bottom"))
     lined = word_lines(rest, overlap)
     return lined.groupBy(*PAGE, F.col("line").alias("line_no")).agg(_joined(["x0", "x1", "text"]).alias("raw_line"))
 
