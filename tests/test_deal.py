@@ -1,6 +1,8 @@
 """Words are dealt into parts by their count."""
 
 from quarry.operators.layout import find_tables
+from quarry.operators.retrieve import bm25_scores
+from quarry.operators.stored_index import StoredIndex
 
 WORDS = "doc_id long, page int, x0 double, x1 double, top double, bottom double, text string"
 
@@ -11,3 +13,17 @@ def test_parts_follow_the_count_of_words_and_change_no_table(spark):
     few, many = find_tables(df), find_tables(df, part_words=10)
     assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (4, 24)  # a task a core, or 240 words in tens
     assert few.count() == 40 and sorted(few.collect()) == sorted(many.collect())
+
+
+def test_a_bucket_is_written_by_as_many_tasks_as_its_postings_ask_for(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", " ".join(f"w{(i * j) % 37}" for j in range(1, 12))) for i in range(200)], "id string, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w36 w5")], "query_id int, text string")
+    whole, split = (StoredIndex(spark, f"{tmp_path}/{n}", buckets=4, task_postings=n) for n in (1_000_000, 100))
+    for index in (whole, split):
+        index.add(docs, 0)
+    files = [len(list((tmp_path / str(n) / "postings" / "batch=0").glob("*.parquet"))) for n in (1_000_000, 100)]
+    assert files[0] <= 4 < files[1]
+    assert sorted(split.postings().collect()) == sorted(whole.postings().collect())
+    ranked = [sorted((r.query_id, r.id, round(r.score, 9)) for r in i.scores(asked).collect()) for i in (whole, split)]
+    plain = sorted((r.query_id, r.id, round(r.score, 9)) for r in bm25_scores(docs, asked).collect())
+    assert ranked == [plain, plain]
