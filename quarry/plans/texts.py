@@ -137,7 +137,7 @@ def bm25_stored(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", (F.coalesce("lang", F.lit("")) == "en").alias("en"))
     for batch, some in enumerate((docs.filter("en"), docs.filter("NOT en"))):
         stored.add(some.drop("en"), batch)
-    return retrieve.bm25_topk(stored.scores(_questions(spark, d))).withColumn("score", F.round("score", 3))
+    return stored.best(_questions(spark, d)).withColumn("score", F.round("score", 3))
 
 
 DENSE = """
