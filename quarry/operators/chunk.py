@@ -9,7 +9,7 @@ from quarry.config import DEFAULTS
 from quarry.functions import lexicon as lx
 from quarry.functions import text as tx
 from quarry.functions.frame import once
-from quarry.operators.packing import pack_rows, sentence_rows
+from quarry.operators.packing import scan_pieces
 from quarry.sources.folders import ensure_checkpoint_dir
 
 HEAD = ["section_no", "section_title", "subsection_no", "subsection_title", "page"]
@@ -57,48 +57,37 @@ def prose_chunks(grouped: DataFrame, target: int = DEFAULTS.chunk_target_tokens,
 def build_chunks(blocks: DataFrame, target: int = DEFAULTS.chunk_target_tokens, overlap: int = DEFAULTS.chunk_overlap_sentences, least: int = DEFAULTS.chunk_min_tokens, prefix: str = "chunk", long_run: int = 4096) -> DataFrame:
     """All chunks of the documents: atomic rows, then bullets, then prose of each run; ids name the document and count within it.
 
-    The grouped blocks are stored once. Runs of at most `long_run` blocks are folded each in a row of its own, longer ones
-    are packed on rows, whatever their length; both give the same chunks.
+    Runs of at most `long_run` blocks are folded each in a row of its own, longer ones are packed on rows, whatever their length; both
+    give the same chunks. The grouped blocks are stored once, unless all runs are packed: these are read once, and numbered in the same pass.
     """
+    if long_run <= 0:
+        return link_chunks(describe_chunks(packed_runs(run_groups(blocks), target, overlap, least), prefix))
     ensure_checkpoint_dir(blocks.sparkSession)
     grouped = run_groups(blocks).checkpoint()
     long = grouped.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > long_run).select(*RUN).checkpoint()
     if long.isEmpty():
         placed = folded_runs(grouped, target, overlap)
     else:
-        placed = folded_runs(grouped.join(long, RUN, "left_anti"), target, overlap).unionByName(packed_runs(grouped.join(long, RUN, "left_semi"), target, overlap))
+        placed = folded_runs(grouped.join(long, RUN, "left_anti"), target, overlap).unionByName(packed_runs(grouped.join(long, RUN, "left_semi"), target, overlap).drop("raw_text", "chunk_id"))
     placed = once(placed, {"raw_text": tx.strip(F.col("text"))})
     kept = placed.filter((F.col("raw_text") != "") & (tx.est_tokens(F.col("raw_text")) >= least))
     return link_chunks(describe_chunks(kept.withColumn("chunk_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("group_no", "class", "seq")) - 1).cast("long")), prefix))
 
 
-def packed_runs(grouped: DataFrame, target: int, overlap: int) -> DataFrame:
-    """The pieces of runs of any length, as `folded_runs` gives them; no run is held in a row."""
-    head, size = F.struct(*HEAD), tx.est_tokens(F.col("text")).cast("long")
-    anchor = grouped.groupBy(*RUN).agg(F.min_by(head, "block_no").alias("anchor"))
-    of_run = Window.partitionBy(*RUN)
-
-    def pieces(rows: DataFrame, klass: int, kind: str) -> DataFrame:
-        """rows: RUN, seq, text, own (a head, or null for the head of the run's first block)."""
-        none = F.lit(None).cast("string")
-        placed = rows.join(anchor, RUN).withColumn("own", F.coalesce("own", "anchor"))
-        return placed.select(*RUN, F.lit(klass).alias("class"), F.col("seq").cast("long").alias("seq"), F.lit(kind).alias("kind"), "text", none.alias("question"), none.alias("row_subject"), "own.*")
-
-    atomic = grouped.filter(F.col("kind").isin("faq", "table_row")).select(*RUN, F.lit(0).alias("class"), F.col("block_no").alias("seq"), "kind", "text", "question", "row_subject", *HEAD)
-    # a bullet of `target` tokens or more stands alone: it ends the list before it and begins none
-    w = of_run.orderBy("block_no")
-    sized = grouped.filter(F.col("kind") == "bullet").select(*RUN, "block_no", "text", size.alias("size"), F.when(size >= target, head).alias("own"))
-    apart = F.col("own").isNotNull() | F.lag("own").over(w).isNotNull()
-    bullets = sized.withColumn("new", F.when(apart, 1).otherwise(0)).withColumn("stretch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bullets = bullets.withColumn("pos", (F.row_number().over(Window.partitionBy(*RUN, "stretch").orderBy("block_no")) - 1).cast("long"))
-    lists = pack_rows(bullets.select(*RUN, "stretch", "pos", "size", "text", "own"), [*RUN, "stretch"], target, carry=["own"])
-    lists = lists.withColumns({"seq": F.row_number().over(of_run.orderBy("stretch", "window")) - 1, "text": F.array_join(F.transform("texts", lambda t: F.concat(F.lit("- "), t)), "\n")})
-    prose = sentence_rows(grouped.filter(F.col("kind") == "prose"), RUN, "block_no", tx.SENTENCE_CUT, r"[.!?]$", r"^[A-Z0-9]")
-    prose = prose.withColumn("text", tx.strip(F.col("text"))).filter(F.col("text") != "")
-    prose = prose.withColumn("pos", (F.row_number().over(of_run.orderBy("sentence")) - 1).cast("long"))
-    windows = pack_rows(prose.select(*RUN, "pos", size.alias("size"), "text"), RUN, target, overlap)
-    windows = windows.select(*RUN, F.col("window").alias("seq"), F.array_join("texts", " ").alias("text"), F.lit(None).cast(grouped.select(head).schema[0].dataType).alias("own"))
-    return atomic.unionByName(pieces(lists, 1, "bullets")).unionByName(pieces(windows, 2, "prose"))
+def packed_runs(grouped: DataFrame, target: int, overlap: int, least: int = 0) -> DataFrame:
+    """The pieces of runs of any length, as `folded_runs` gives them, with `raw_text` and `chunk_id`; no run is held in a row.
+
+    One pass over the blocks in order of document, run, class and place. Pieces without text or of fewer than `least` tokens are
+    left out; chunk_id counts the others of a document, where all its runs are given and lie in one partition, as run_groups leaves them.
+    """
+    first = F.when(F.row_number().over(Window.partitionBy(*RUN).orderBy("block_no")) == 1, F.lit(-1))
+    klass = F.when(F.col("kind").isin("faq", "table_row"), 0).when(F.col("kind") == "bullet", 1).when(F.col("kind") == "prose", 2)
+    rows = grouped.withColumn("_first", first).withColumn("class", F.explode(F.array_compact(F.array("_first", klass))))
+    columns = [*RUN, "class", "kind", "text", "question", "row_subject", *HEAD]
+    ordered = rows.sortWithinPartitions(*RUN, "class", "block_no").select(columns)
+    kinds = dict(ordered.dtypes)
+    made = {c: kinds.get(c, "long") for c in [*RUN, "class", "seq", "kind", "text", "question", "row_subject", *HEAD]} | {"raw_text": "string", "chunk_id": "long"}
+    return ordered.mapInArrow(lambda batches: scan_pieces(batches, target, overlap, least), ", ".join(f"{c} {t}" for c, t in made.items()))
 
 
 def folded_runs(grouped: DataFrame, target: int, overlap: int) -> DataFrame:
